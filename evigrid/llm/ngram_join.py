@@ -119,8 +119,8 @@ def forest(size: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def gram_signatures(docs: DataFrame, n: int, bands: int, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_grams, node, bands): digest of the n-gram set and band hashes; null without n-grams."""
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    """(doc_id, text_hash, n_grams, node, bands): digest of the n-gram set and band hashes; null without n-grams."""
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"))
     kind = src.schema["doc_id"].dataType.simpleString()
 
     def sign(batches):
@@ -129,13 +129,13 @@ def gram_signatures(docs: DataFrame, n: int, bands: int, rows: int, id_col: str
                 sets = gram_sets(texts, n)
                 band = iter(_band_hashes(sets, bands, rows).tolist())
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].slice(first, len(texts)), pa.array([len(s) for s in sets], pa.int64()),
+                    [batch["doc_id"].slice(first, len(texts)), batch["text_hash"].slice(first, len(texts)), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                      pa.array([next(band) if len(s) else None for s in sets], pa.list_(pa.int64()))],
-                    names=["doc_id", "n_grams", "node", "bands"],
+                    names=["doc_id", "text_hash", "n_grams", "node", "bands"],
                 )
 
-    return src.mapInArrow(sign, f"doc_id {kind}, n_grams long, node binary, bands array<long>")
+    return src.mapInArrow(sign, f"doc_id {kind}, text_hash long, n_grams long, node binary, bands array<long>")
 
 
 def ngram_jaccard_join(
@@ -144,7 +144,7 @@ def ngram_jaccard_join(
 ) -> DataFrame:
     """Join each document with all others whose sets of word n-grams have a Jaccard similarity >= threshold.
 
-    Returns per row: doc_id, n_grams, class_id (smallest doc_id with the same n-gram set), n_links (other rows linked
+    Returns per row: doc_id, text_hash, n_grams, class_id (smallest doc_id with the same n-gram set), n_links (other rows linked
     directly, copies included), component_id (smallest doc_id reachable by links, itself included), kept (the row is the
     first of its component: doc_id equals component_id). Null, empty and blank texts have no n-grams and link with
     nothing. Repeated rows are rows like others. Null ids take part; a component of null ids alone has a null id and is
@@ -197,10 +197,10 @@ def ngram_jaccard_join(
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     done = classes.select("node", "class_id", "weight").join(links, "node", "left").join(named.select("node", "component_id", F.lit(True).alias("linked")), "node", "left")
     done = done.select("node", "class_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("class_id")).alias("component_id"))
-    joined = signed.select("doc_id", "n_grams", "node").join(done, "node", "left")
+    joined = signed.select("doc_id", "text_hash", "n_grams", "node").join(done, "node", "left")
     alone = F.col("node").isNull()
     return joined.select(
-        "doc_id", "n_grams", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        "doc_id", "text_hash", "n_grams", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -226,11 +226,13 @@ def _with_sets(src: DataFrame, members: DataFrame, n: int) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that link to an earlier one: of each component the row with the smallest id stays.
 
-    All columns stay as they are. Rows that repeat an id are told apart by their text; of equal rows one stays if they
-    have n-grams. Rows without n-grams all stay.
+    All columns stay as they are. Rows that repeat an id are told apart by their text; of rows with equal id and text
+    one stays if they have n-grams. Rows without n-grams all stay.
     """
     joined = ngram_jaccard_join(docs, n, threshold, id_col=id_col, text_col=text_col)
-    keys = joined.where("kept and n_grams > 0").select(F.col("doc_id").alias("_kept_id")).distinct()
-    grams = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")) > 0
-    kept = docs.where(grams).join(keys, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi").dropDuplicates([id_col])
+    keys = joined.where("kept and n_grams > 0").select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    grams = text.rlike(r"[^\x20\x09-\x0D]")
+    same = F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.xxhash64(text) == F.col("_kept_hash"))
+    kept = docs.where(grams).join(keys.distinct(), same, "left_semi").dropDuplicates([id_col, text_col])
     return kept.unionByName(docs.where(~grams))

@@ -1,3 +1,76 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-ORACLE_SQL: dict[str, str] = {}
+OP5 = r"""
+WITH l AS (
+  SELECT doc_id, u.pos, u.line,
+         translate(trim(u.line, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents) d,
+       LATERAL (SELECT unnest(range(1, len(ls) + 1)) AS pos, unnest(ls) AS line) u
+), f AS (
+  SELECT key, max(doc_id) AS keeper FROM l WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+), m AS (
+  SELECT l.doc_id, l.pos, l.line, (f.key IS NOT NULL AND f.keeper <> l.doc_id) AS gone FROM l LEFT JOIN f USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+OP1 = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(text, '')) AS tm FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM s
+), c AS (
+  SELECT *, source_size * 2.0::DOUBLE AS cap FROM w
+), l AS (
+  SELECT *, (sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE AS total, sum(weight) OVER () AS all_weight,
+    coalesce(sum(cap) OVER (ORDER BY cap / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cb,
+    coalesce(sum(weight) OVER (ORDER BY cap / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS wb
+  FROM c
+), o AS (
+  SELECT *, (total - cb) / (all_weight - wb) AS level FROM l
+), x AS (
+  SELECT arg_min(level, cap / weight) FILTER (WHERE level * weight <= cap) AS water FROM o
+), t AS (
+  SELECT source, source_size, CASE WHEN water IS NULL THEN cap ELSE least(cap, water * weight) END AS target FROM o, x
+), b AS (
+  SELECT *, greatest(1, floor(sum(target) OVER () / 1048576))::BIGINT AS block FROM t
+), seats AS (
+  SELECT *, floor(sum(target) OVER () / block)::BIGINT AS seats FROM b
+), q1 AS (
+  SELECT *, target / (2 * k + 1) AS quotient FROM seats, LATERAL (SELECT unnest(range(0, (ceil(target / block) + 12)::BIGINT)) AS k) WHERE target > 0
+), q2 AS (
+  SELECT source, count(*) AS quota FROM (SELECT *, row_number() OVER (ORDER BY quotient DESC, source ASC NULLS LAST) AS r FROM q1) WHERE r <= seats GROUP BY source
+), q AS (
+  SELECT seats.*, coalesce(quota, 0) AS source_quota, greatest(1, floor(source_size / (block * 256)))::INT AS shards
+  FROM seats LEFT JOIN q2 ON seats.source IS NOT DISTINCT FROM q2.source
+), p AS (
+  SELECT d.*, source_size, target, block, source_quota, md5('17|' || coalesce(doc_id::VARCHAR, '') || '|' || tm) AS place, shards
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+), h AS (
+  SELECT *, (('0x' || substr(place, 1, 8))::BIGINT % shards)::INT AS shard FROM p
+), sh AS (
+  SELECT source, shard, sum(size) AS shard_size, any_value(source_quota) AS source_quota FROM h GROUP BY source, shard
+), sz AS (
+  SELECT *, sum(shard_size) OVER (PARTITION BY source) AS total FROM sh
+), r1 AS (
+  SELECT *, shard_size / (2 * k + 1) AS quotient
+  FROM sz, LATERAL (SELECT unnest(range(0, (ceil(shard_size * source_quota / total) + 12)::BIGINT)) AS k) WHERE shard_size > 0
+), r2 AS (
+  SELECT source, shard, count(*) AS quota
+  FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY quotient DESC, shard) AS r FROM r1) WHERE r <= source_quota GROUP BY source, shard
+), z AS (
+  SELECT h.*, sz.shard_size, least(coalesce(r2.quota, 0) * block, 2 * sz.shard_size) AS wanted,
+    sum(size) OVER (PARTITION BY h.source, h.shard ORDER BY place, doc_id, tm ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS start
+  FROM h JOIN sz ON h.source IS NOT DISTINCT FROM sz.source AND h.shard = sz.shard
+  LEFT JOIN r2 ON h.source IS NOT DISTINCT FROM r2.source AND h.shard = r2.shard
+)
+SELECT doc_id, size, source_size, target,
+  (CASE WHEN shard_size > 0 THEN wanted // shard_size * size + greatest(0, least(size, wanted % shard_size - start)) ELSE 0 END)::BIGINT AS taken
+FROM z
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_source_mix": OP1, "op5_line_dedup": OP5}

@@ -7,8 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .cap_filters import link_vectors
+from .language_crf import CrfModel, fit_crf, label_languages, language_sample
+from .line_dedup import dedup_lines
+from .mixing import mix_sources
+from .mpegts import encode_media, parse_media
 from .ngram_join import ngram_jaccard_join
 from .packing import pack_by_retrieval
+from .sharding import shard_by_ring
 from .substring_dedup import substring_dedup
 from .toxicity import ToxicModel, fit_toxicity, labelled_sample, score_toxicity
 
@@ -34,12 +40,50 @@ def tokenizer_files() -> dict[str, str]:
     return {"tokenizer": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
 
 
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op2_toxicity_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(documents(spark, sf_dir), toxic_model(spark, sf_dir)).select("doc_id", held_out().alias("held_out"), "score", "predicted", "toxic_windows")
 
 
+def op3_cap_filter_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def language_model(spark: SparkSession, sf_dir: str) -> CrfModel:
+    """Learned from at most 2000 documents, none of the held-out fold."""
+    return fit_crf(*language_sample(documents(spark, sf_dir)))
+
+
+def op4_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_languages(documents(spark, sf_dir), language_model(spark, sf_dir)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op6_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """media_bytes and media_sha256 are of the stored stream; the payload is what its parse gives back."""
+    media = encode_media(documents(spark, sf_dir))
+    read = parse_media(media)
+    tail = F.crc32(F.substring("payload", F.greatest(F.lit(1), F.length("payload") - 15), F.lit(16)))
+    feature = F.concat_ws(":", "programs", "streams", "packets", "units", "faults", F.size("random_access"), F.element_at("timestamps", -1))
+    return read.select(
+        "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), tail.alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"),
+    )
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join(documents(spark, sf_dir))
+    return ngram_jaccard_join(documents(spark, sf_dir)).drop("text_hash")
+
+
+def op8_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shard_by_ring(documents(spark, sf_dir))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op9_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,5 +96,9 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_toxicity_compression, op7_ngram_jaccard_join, op9_retrieval_packing, op10_substring_dedup)
-}
+    f.__name__: f
+    for f in (
+        op1_source_mix, op2_toxicity_compression, op3_cap_filter_links, op4_language_crf, op5_line_dedup, op6_transport_streams,
+        op7_ngram_jaccard_join, op8_bounded_ring, op9_retrieval_packing, op10_substring_dedup,
+    )
+}
