@@ -115,13 +115,16 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     them). Documents that the mix doesn't take go. Equal rows are taken alike.
     """
     id_col, text_col, source_col = options.get("id_col", "doc_id"), options.get("text_col", "text"), options.get("source_col", "source")
-    taken = mix_sources(docs, **options).groupBy("doc_id", "source", "text_md5").agg(F.sum("taken").alias("_sum"), F.max("size").alias("_size"), F.count("*").alias("_rows"))
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_md5").alias("_md5"), "_sum", "_size", "_rows")
-    md5 = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
-    joined = docs.dropDuplicates([id_col, text_col, source_col]).withColumn("_own", md5).join(taken, F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_own") == F.col("_md5")))
-    rounds = F.when(F.col("_size") > 0, F.floor(F.col("_sum") / F.col("_size"))).otherwise(F.lit(0)).cast("int")
-    joined = joined.withColumn("_rounds", rounds).withColumn("_rest", (F.col("_sum") - F.col("_rounds") * F.col("_size")).cast("int"))
-    copies = joined.withColumn("_part", F.explode(F.sequence(F.when(F.col("_rest") > 0, 0).otherwise(1), F.greatest("_rounds", F.when(F.col("_rest") > 0, 0).otherwise(1))))).where((F.col("_part") > 0) & (F.col("_rounds") >= F.col("_part")) | (F.col("_part") == 0))
-    words = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    text = F.when(F.col("_part") == 0, F.array_join(F.slice(words, 1, F.greatest("_rest", F.lit(1))), "")).otherwise(F.col(text_col))
-    return copies.withColumn(text_col, text).select(*docs.columns)
+    taken = mix_sources(docs, **options).groupBy("doc_id", "source", "text_md5").agg(F.sum("taken").alias("sum"), F.max("size").alias("size"))
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"),
+        F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_md5"),
+    )
+    rows = _null_safe(rows.dropDuplicates(["doc_id", "source", "text_md5"]), taken, ["doc_id", "source", "text_md5"])
+    rounds = F.when(F.col("size") > 0, F.floor(F.col("sum") / F.col("size"))).otherwise(F.lit(0)).cast("int")
+    rows = rows.withColumn("rounds", rounds).withColumn("rest", (F.col("sum") - F.col("rounds") * F.col("size")).cast("int"))
+    whole = F.array_repeat(F.lit(True), F.col("rounds"))
+    rows = rows.withColumn("whole", F.explode(F.when(F.col("rest") > 0, F.array_append(whole, F.lit(False))).otherwise(whole)))
+    words = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    text = F.when(F.col("whole"), F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.greatest("rest", F.lit(1))), ""))
+    return rows.withColumn("row", F.col("row").withField(text_col, text)).select("row.*")

@@ -232,7 +232,7 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, id
     joined = ngram_jaccard_join(docs, n, threshold, id_col=id_col, text_col=text_col)
     keys = joined.where("kept and n_grams > 0").select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    grams = text.rlike(r"[^\x20\x09-\x0D]")
-    same = F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.xxhash64(text) == F.col("_kept_hash"))
-    kept = docs.where(grams).join(keys.distinct(), same, "left_semi").dropDuplicates([id_col, text_col])
-    return kept.unionByName(docs.where(~grams))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.rlike(r"[^\x20\x09-\x0D]").alias("grams"))
+    same = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("text_hash") == F.col("_kept_hash"))
+    kept = rows.where("grams").join(keys.distinct(), same, "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    return kept.unionByName(rows.where("not grams")).select("row.*")
