@@ -173,9 +173,9 @@ def dates_of(docs: DataFrame, pattern: str, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), F.posexplode(F.arrays_zip(whole.alias("w"), parts[0].alias("d"), parts[1].alias("m"), parts[2].alias("y"))).alias("nth", "x"))
     same = F.row_number().over(Window.partitionBy("doc_id", "x.w").orderBy("nth"))
     rows = rows.withColumn("k", same)
-    before = F.length(F.array_join(F.slice(F.split("_text", F.concat(F.lit(r"\Q"), F.col("x.w"), F.lit(r"\E"))), 1, F.col("k")), F.col("x.w")))
+    before = F.length(F.call_function("substring_index", F.col("_text"), F.col("x.w"), F.col("k")))
     month = F.coalesce(*[F.when(F.lower("x.m").startswith(k), F.lit(v)) for k, v in sorted(dims.MONTHS.items(), key=lambda kv: -len(kv[0]))])
-    date = F.try_to_date(F.concat_ws("-", F.col("x.y"), F.lpad(month.cast("string"), 2, "0"), F.lpad("x.d", 2, "0")), F.lit("yyyy-MM-dd"))
+    date = F.try_to_date(F.concat_ws("-", F.col("x.y"), F.lpad(month.cast("string"), 2, "0"), F.lpad("x.d", 2, "0")), "yyyy-MM-dd")
     return rows.select("doc_id", before.alias("pos"), date.alias("date"), F.col("x.w").alias("text")).where("date is not null")
 
 

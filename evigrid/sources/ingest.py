@@ -160,7 +160,7 @@ def adaptive_chunks(docs: DataFrame, limit: int = 4000, carry: int = 200, id_col
 
 def version_date(name: Column) -> Column:
     """FN-02: DD-MM-YYYY in a file name."""
-    return F.try_to_date(F.nullif(F.regexp_extract(name, r"(\d{2}-\d{2}-\d{4})", 1), F.lit("")), F.lit("dd-MM-yyyy"))
+    return F.try_to_date(F.nullif(F.regexp_extract(name, r"(\d{2}-\d{2}-\d{4})", 1), F.lit("")), "dd-MM-yyyy")
 
 
 def stamp_of(name: Column) -> Column:
