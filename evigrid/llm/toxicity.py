@@ -17,17 +17,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Distances in bytes from which a window counts, each with a calibrated weight; windows from CLEAR on are reported.
+THRESHOLDS, CLEAR, MOST = (1, 2, 3, 4, 5), 3, 3
 _PUNCTUATION = ".,;:!?\"'()[]|*%&$#"
 
 
 @dataclass
 class ToxicModel:
-    """What executors need: two raw dictionaries, the window, the distance threshold and the calibrated weights."""
+    """What executors need: two raw dictionaries, the window and the calibrated weights of the distance thresholds."""
 
     ordinary: bytes
     toxic: bytes
     words: int
-    threshold: int
     weights: tuple[float, ...]
 
 
@@ -72,9 +73,9 @@ def _train(samples: list[bytes], size: int) -> bytes:
         return (b"".join(ranked) or b" " * 8)[-size:].rjust(8)
 
 
-def _features(distance: np.ndarray, threshold: int) -> list[float]:
-    hits = distance >= threshold
-    return [1.0, float(max(0, distance.max(initial=0))), math.log1p(float(distance[hits].sum()))]
+def _features(distance: np.ndarray) -> list[float]:
+    """Windows at or over each threshold (three or more count alike), and the length, since long texts have more chance hits."""
+    return [1.0, *(float(min(MOST, int((distance >= t).sum()))) for t in THRESHOLDS), math.log1p(len(distance))]
 
 
 def fit_toxicity(texts: list[str], labels: list[int], prior: float | None = None, words: int = 8, dictionary: int = 16_384, least: float = 14.0) -> ToxicModel:
@@ -128,29 +129,20 @@ def fit_toxicity(texts: list[str], labels: list[int], prior: float | None = None
     for t, y in rest:
         w = _windows(t, words)
         measured.append((_lengths(pair[0], w) - _lengths(pair[1], w), y))
-    best = None
-    for threshold in range(1, 9):
-        if measured:
-            x, y = np.array([_features(d, threshold) for d, _ in measured]), np.array([y for _, y in measured], float)
-        else:
-            x, y = np.zeros((1, 3)), np.zeros(1)
-        w = np.zeros(x.shape[1])
-        penalty = np.diag([1e-3, *[0.05] * (x.shape[1] - 1)])
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
-            w = w + step
-            if np.abs(step).max() < 1e-6:
-                break
-        p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-9, 1 - 1e-9)
-        loss = -float((y * np.log(p) + (1 - y) * np.log(1 - p)).sum())
-        if best is None or loss < best[0] - 1e-9:
-            best = (loss, threshold, tuple(float(v) for v in w))
-    weights = best[2]
+    x = np.array([_features(d) for d, _ in measured] or [_features(np.zeros(0))])
+    y = np.array([y for _, y in measured] or [0], float)
+    w, penalty = np.zeros(x.shape[1]), np.diag([1e-3, *[0.05] * (x.shape[1] - 1)])
+    for _ in range(50):  # logistic regression by Newton steps
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
+        w = w + step
+        if np.abs(step).max() < 1e-6:
+            break
+    weights = tuple(float(v) for v in w)
     own_share = (sum(y for _, y in pairs) + 0.5) / (len(pairs) + 1)
     if prior is not None and 0 < prior < 1:
         weights = (weights[0] + math.log(prior / (1 - prior)) - math.log(own_share / (1 - own_share)), *weights[1:])
-    return ToxicModel(ordinary, toxic, words, best[1], weights)
+    return ToxicModel(ordinary, toxic, words, weights)
 
 
 class Scorer:
@@ -166,9 +158,9 @@ class Scorer:
         cut = np.cumsum([len(ws) for ws in windows])[:-1]
         score, hits = [], []
         for d in np.split(distance, cut):
-            z = float(np.dot(_features(d, self.model.threshold), self.model.weights))
+            z = float(np.dot(_features(d), self.model.weights))
             score.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-            hits.append(int((d >= self.model.threshold).sum()))
+            hits.append(int((d >= CLEAR).sum()))
         return score, hits
 
 
