@@ -182,8 +182,8 @@ def first_non_empty(candidates: DataFrame, query: str, priority: str) -> DataFra
 
 def list_reports(spark: SparkSession, path: str) -> DataFrame:
     """SRC-20: Markdown reports with the score of their sidecar, else of their text, newest first."""
-    texts = spark.read.option("wholetext", "true").text(f"{path}/*.md").select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.md$", 1).alias("report_id"), F.col("value").alias("text"))
-    side = spark.read.option("wholetext", "true").text(f"{path}/*.json").select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1).alias("report_id"), F.from_json("value", "reliability double, total long").alias("meta"))
+    texts = spark.read.text(f"{path}/*.md", wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.md$", 1).alias("report_id"), F.col("value").alias("text"))
+    side = spark.read.text(f"{path}/*.json", wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1).alias("report_id"), F.from_json("value", "reliability double, total long").alias("meta"))
     found = F.regexp_extract("text", r"(\d{1,3})\s*%", 1).try_cast("double") / 100
     rows = texts.join(side, "report_id", "left").select("report_id", F.coalesce("meta.reliability", found).alias("score"), stamp_of(F.col("report_id")).alias("created_at"))
     return rows.orderBy(F.col("created_at").desc_nulls_last(), "report_id")

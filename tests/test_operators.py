@@ -337,7 +337,7 @@ def test_report(spark, tmp_path):
     assert "57% █████░░░░░" in out[1] and out[1].index("Один") < out[1].index("Два") and "[S1]" not in out[1] and "один" not in out[1]
     assert "N/A" in out[2] and "Конфликты" not in out[2]
     report.write_reports(report.render_report(summary, conflicts, facts, "a"), "a", str(tmp_path / "r"))
-    assert spark.read.option("wholetext", "true").text(str(tmp_path / "r")).count() == 2
+    assert len(spark.read.text(str(tmp_path / "r"), wholetext=True).collect()) == 2
 
 
 def test_gate_and_mutation(spark):
@@ -356,3 +356,11 @@ def test_golden_scores(spark):
     v = spark.createDataFrame([("k", 1, "Штраф 500", "CONTRADICTED"), ("k", 2, "срок", "UNVERIFIED"), ("k", 3, "иное", "CONTRADICTED")], "case string, seq int, text string, status string")
     r = evaluation.golden_scores(expected, v).first()
     assert (r["recall"], r["precision"], r["f1"]) == (0.5, 0.5, 0.5)
+
+
+def test_report_listing(spark, tmp_path):
+    (tmp_path / "a_20240102_030405.md").write_text("# A\n\nНадёжность: 40 %\n")
+    (tmp_path / "b_20240202_030405.md").write_text("# B\n\nбез оценки")
+    (tmp_path / "b_20240202_030405.json").write_text('{"reliability": 0.5, "total": 3}')
+    out = ingest.list_reports(spark, str(tmp_path)).collect()
+    assert [(r["report_id"][0], r["score"]) for r in out] == [("b", 0.5), ("a", 0.4)]
