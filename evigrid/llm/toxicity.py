@@ -17,6 +17,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import hashed_share
+from .textbytes import mix
+
 #: Distances in bytes from which a window counts, each with a calibrated weight; windows from CLEAR on are reported.
 THRESHOLDS, CLEAR, MOST = (1, 2, 3, 4, 5), 3, 3
 _PUNCTUATION = ".,;:!?\"'()[]|*%&$#"
@@ -37,11 +40,6 @@ def _windows(text: str, words: int) -> list[bytes]:
     return [(" " + " ".join(every[i : i + words]) + " ").encode() for i in range(0, len(every), words)]
 
 
-def _units(word: str) -> list[str]:
-    """The word and its stems, the texts that may tell toxic words from others."""
-    return [word, *(word[:n] + "~" for n in range(4, min(len(word), 9)))]
-
-
 def _lengths(compressor: zstandard.ZstdCompressor, windows: list[bytes]) -> np.ndarray:
     if not windows:
         return np.zeros(0, np.int64)
@@ -78,6 +76,55 @@ def _features(distance: np.ndarray) -> list[float]:
     return [1.0, *(float(min(MOST, int((distance >= t).sum()))) for t in THRESHOLDS), math.log1p(len(distance))]
 
 
+def _telling_units(pairs: list[tuple[str, int]], least: float):
+    """Words of toxic texts with the unit that tells most of each, and the words that count in a text.
+
+    A word counts once a text, and not where copies and shared passages repeat its neighbours. Units (words and
+    their stems) are counted by texts as arrays of numbers, so that memory follows the distinct words.
+    """
+    number: dict[str, int] = {"": 0}
+    texts = []
+    for t, _ in pairs:
+        bare = [w.strip(_PUNCTUATION) for w in t.lower().split()]
+        texts.append(np.array([number.setdefault(w, len(number)) for w in bare], np.int64))
+    names = list(number)
+    size = np.array([len(t) for t in texts])
+    word, text = np.concatenate([*texts, np.zeros(0, np.int64)]), np.repeat(np.arange(len(texts)), size)
+    edge = np.zeros(len(word) + 2, np.int64)
+    edge[1:-1] = word
+    before, after = np.where(np.append(True, text[1:] != text[:-1])[: len(word)], 0, edge[:-2]), np.where(np.append(text[1:] != text[:-1], True)[: len(word)], 0, edge[2:])
+    around = mix((before * 1_000_003 + word).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + after.astype(np.uint64))
+    first = np.unique(around, return_index=True)[1]
+    first = first[word[first] > 0]
+    pair = np.unique(text[first] * len(names) + word[first])
+    text, word = pair // len(names), pair % len(names)
+    label = np.array([y for _, y in pairs], np.int64)
+    counted = np.unique(text)
+    share = (label[counted].sum() + 0.5) / (len(counted) + 1)
+    levels = []
+    for n in (0, *range(4, 9)):  # 0: whole words
+        stems: dict[str, int] = {}
+        of = np.array([-1 if n and len(w) <= n else stems.setdefault(w if not n else w[:n], len(stems)) for w in names], np.int64)
+        own = of[word]
+        held = np.unique(text[own >= 0] * max(1, len(stems)) + own[own >= 0])
+        y = label[held // max(1, len(stems))]
+        a, b = (np.bincount(held % max(1, len(stems)), y == k, len(stems)) for k in (1, 0))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = 2 * (np.where(a > 0, a * np.log(a / ((a + b) * share)), 0) + np.where(b > 0, b * np.log(b / ((a + b) * (1 - share))), 0))
+        levels.append((n, of, np.where((a > share * (a + b)) & (a > 9 * b), ratio, 0), int((a > 2).sum())))
+    # a stricter bound for more candidates: fewer than one in three of all words would pass it by chance
+    bound = max(least, 2 * (math.log(1 + sum(x[3] for x in levels)) + 1))
+    best = np.zeros(len(names))
+    choice = np.full(len(names), -1)
+    for n, of, ratio, _ in levels[1:] + levels[:1]:  # of equals the longest
+        value = np.where(of >= 0, ratio[np.maximum(of, 0)], 0) if len(ratio) else np.zeros(len(names))
+        better = (value >= bound) & (value >= best)
+        best[better], choice[better] = value[better], n
+    found = {int(k): (" " + (names[k][: choice[k]] if choice[k] else names[k] + " ")).encode() for k in np.flatnonzero(choice >= 0)}
+    ends = np.searchsorted(text, np.arange(len(pairs) + 1))
+    return found, lambda k: word[ends[k] : ends[k + 1]].tolist()
+
+
 def fit_toxicity(texts: list[str], labels: list[int], prior: float | None = None, words: int = 8, dictionary: int = 16_384, least: float = 14.0) -> ToxicModel:
     """Train dictionaries on three quarters of the labelled texts and calibrate on the rest. Depends on nothing but the texts.
 
@@ -86,44 +133,16 @@ def fit_toxicity(texts: list[str], labels: list[int], prior: float | None = None
     """
     pairs = [(t, int(y)) for t, y in zip(texts, labels, strict=True) if t and t.strip()]
     own, rest = [p for k, p in enumerate(pairs) if k % 4], [p for k, p in enumerate(pairs) if not k % 4]
-    docs = [0, 0]
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    contexts: set[int] = set()
-    bags = []
-    for t, y in own:  # a word counts once a text, and not where copies and shared passages repeat its neighbours
-        every = ["", *(w.strip(_PUNCTUATION) for w in t.lower().split()), ""]
-        fresh = set()
-        for k in range(1, len(every) - 1):
-            around = hash((every[k - 1], every[k], every[k + 1]))
-            if every[k] and around not in contexts:
-                contexts.add(around)
-                fresh.add(every[k])
-        bags.append((fresh, y))
-        docs[y] += bool(fresh)
-        seen[y].update({u for w in fresh for u in _units(w)})
-    share = (docs[1] + 0.5) / (sum(docs) + 1)
-
-    def ratio(unit: str) -> float:
-        a, b = seen[1][unit], seen[0][unit]
-        if a <= share * (a + b):
-            return 0.0
-        return 2 * sum(x * math.log(x / ((a + b) * p)) for x, p in ((a, share), (b, 1 - share)) if x)
-
-    # a stricter bound for more candidates: fewer than one in three of all words would pass it by chance
-    bound = max(least, 2 * (math.log(1 + sum(n > 2 for n in seen[1].values())) + 1))
-    strong = {u for u, n in seen[1].items() if n > 9 * seen[0][u] and ratio(u) >= bound}
-    value = {u: ratio(u) for u in strong}
-
-    def telling(word: str) -> str:
-        """The unit of the word that tells most, of equals the longest, without the rest of the word."""
-        unit = max(_units(word), key=lambda u: (value.get(u, 0), len(u)))
-        return " " + unit.removesuffix("~") + " " * (not unit.endswith("~"))
-
-    toxic_samples = [telling(w).encode() for bag, y in bags if y for w in sorted(bag) if any(u in strong for u in _units(w))]
-    ordinary_samples = [x for t, y in own if not y for x in _windows(t, words)]
+    strong, fresh = _telling_units(own, least)
+    toxic_samples = [x for k, (_, y) in enumerate(own) if y for x in sorted(strong[w] for w in fresh(k) if w in strong)]
+    ordinary_samples: list[bytes] = []
+    for t, y in own:
+        if not y and len(ordinary_samples) < 60_000:
+            ordinary_samples += _windows(t, words)
     units = [x for x, _ in Counter(toxic_samples).most_common()][::-1]
     toxic = _train(toxic_samples, dictionary // 4) + b"".join(units)[-dictionary:]
-    ordinary = _train(ordinary_samples[:200_000], dictionary)
+    ordinary = _train(ordinary_samples, dictionary)
+    del ordinary_samples, fresh
     pair = _compressors(ordinary, toxic)
     measured = []
     for t, y in rest:
@@ -173,10 +192,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = 3000, id_col
     held = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y"))
     known = known.where(F.pmod(F.crc32(F.col("_id").cast("string").cast("binary")), F.lit(4)) != 2).distinct()
-    prior = known.agg(F.avg("_y")).first()[0]
+    counts = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
+    prior = counts.get(1, 0) / sum(counts.values()) if counts else None
     rows = []
     for y in (0, 1):
-        chosen = known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(most)
+        chosen = known.where((F.col("_y") == y) & hashed_share("_id", most, counts.get(y, 0))).orderBy(F.xxhash64("_id"), "_id").limit(most)
         rows += docs.where(~held & F.col(text_col).isNotNull()).join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select("_id", F.col(text_col).alias("_t"), "_y").collect()
     rows.sort(key=lambda r: (str(r["_id"])[::-1], r["_t"], r["_y"]))
     return [r["_t"] for r in rows], [r["_y"] for r in rows], prior
