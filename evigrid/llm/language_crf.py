@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import hashed_share
 from .textbytes import mix, powers
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -240,8 +241,9 @@ def language_sample(docs: DataFrame, most: int = 2000, id_col: str = "doc_id", t
     """
     fold = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4))
     rows = docs.where((fold != 2) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    rows = rows.select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).orderBy("h", "i", "t").limit(most).collect()
-    return [r["t"] for r in rows], [r["l"] for r in rows]
+    rows = rows.where(hashed_share(id_col, most, rows.count())).select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
+    chosen = sorted(rows.collect(), key=lambda r: (r["h"], r["i"], r["t"]))[:most]
+    return [r["t"] for r in chosen], [r["l"] for r in chosen]
 
 
 def label_languages(docs: DataFrame, model: CrfModel, id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:
