@@ -21,6 +21,10 @@ from .common import connected_components, materialize
 from .ngram_join import forest
 
 
+#: Filters that every vector has in a code at least.
+LEAST = 4
+
+
 class ProductCode:
     """Seeded random product code for vectors of one dimension; filters are numbered by their codewords."""
 
@@ -50,19 +54,58 @@ class ProductCode:
                 high = self.threshold
 
     def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, filter) of every filter whose inner product with a unit vector is at least the threshold."""
+        """(row, filter) of every filter whose inner product with a unit vector is at least the threshold.
+
+        A vector with fewer than LEAST such filters gets its LEAST best ones; they are made of the LEAST best words of each block.
+        """
         turned = unit @ self.rotation
         inner = [turned[:, a:b] @ book.T for a, b, book in zip(self.cuts[:-1], self.cuts[1:], self.books, strict=True)]
         best = [x.max(1) for x in inner]
         rest = [sum(best[k + 1 :], np.zeros(len(unit))) for k in range(self.blocks)]
+        few = np.zeros((len(unit), 1))
+        for x in inner:
+            top = -np.partition(-x, min(LEAST, self.words) - 1, axis=1)[:, :LEAST]
+            few = (few[:, :, None] + top[:, None, :]).reshape(len(unit), -1)
+        few = np.sort(few, axis=1)[:, -min(LEAST, few.shape[1])]
+        least = np.minimum(self.threshold, few - 1e-9)
         row, code, total = np.arange(len(unit)), np.zeros(len(unit), np.int64), np.zeros(len(unit))
         for k in range(self.blocks):
             sums = total[:, None] + inner[k][row]
-            at, word = np.nonzero(sums + rest[k][row][:, None] >= self.threshold)
+            at, word = np.nonzero(sums + rest[k][row][:, None] >= least[row][:, None])
             row, code, total = row[at], code[at] * self.words + word, sums[at, word]
         return row, code
 
 
+def found_share(book: ProductCode, cosine: float, pairs: int, seed: int) -> float:
+    """Share of seeded random pairs at this cosine that meet in a filter of the code."""
+    random, met = np.random.RandomState(seed), 0
+    for first in range(0, pairs, 256):
+        x = random.normal(size=(2, min(256, pairs - first), book.cuts[-1]))
+        x[0] /= np.linalg.norm(x[0], axis=1, keepdims=True)
+        x[1] -= (x[0] * x[1]).sum(1, keepdims=True) * x[0]
+        x[1] = cosine * x[0] + math.sqrt(max(0.0, 1 - cosine * cosine)) * x[1] / np.linalg.norm(x[1], axis=1, keepdims=True)
+        (a, b), (c, d) = book.decode(x[0]), book.decode(x[1])
+        filters = book.words**book.blocks
+        met += len(np.unique(np.intersect1d(a * filters + b, c * filters + d) // filters))
+    return met / pairs
+
+
+def choose_codes(dim: int, vectors: int, threshold: float, hits: float = 12, codes: int = 3, members: int = 1024, seed: int = 5, recall: float = 0.998) -> list[ProductCode]:
+    """`codes` codes, or as many more as find a pair at the threshold with a probability of `recall`.
+
+    Rotations are random, so each code finds any pair of one cosine with the same chance, independently of the others. It
+    is measured with the decoder itself, less two standard errors.
+    """
+    books = [ProductCode(dim, vectors, hits, members, seed + r) for r in range(codes)]
+    if dim > 1:  # in one dimension there are only equal and opposite directions
+        pairs = 768
+        share = sum(found_share(book, threshold, pairs, seed + 1000 + r) for r, book in enumerate(books)) / codes
+        share = max(share - 2 * math.sqrt(share * (1 - share) / (codes * pairs)), 1 / (codes * pairs))
+        needed = math.ceil(math.log(1 - recall) / math.log1p(-min(share, 1 - 1e-9)))
+        books += [ProductCode(dim, vectors, hits, members, seed + r) for r in range(codes, needed)]
+    return books
+
+
 def link_vectors(
     vectors: DataFrame, threshold: float = 0.9, hits: float = 12, codes: int = 3, members: int = 1024, block: int = 1024, seed: int = 5,
     id_col: str = "vec_id", vector_col: str = "embedding",
@@ -72,8 +115,9 @@ def link_vectors(
     Returns per row: vec_id, n_links (other rows linked directly), component_id (smallest vec_id reachable), kept. Null,
     zero and empty vectors and those with null or non-finite components link with nothing; vectors of another length
     than the most frequent one are compared among their own. Equal vectors are one node and link with each other.
-    `codes` independent codes with about
-    `hits` filters a vector each find a pair at a cosine of 0.9 with a probability of about 0.998, closer pairs with more.
+    At least
+    `codes` independent codes with about `hits` filters a vector each, and more where the number of vectors asks for them,
+    find a pair at the threshold with a probability of about 0.998, closer pairs with more.
     Null ids take part but name no component unless alone. Other columns are ignored.
     """
     src = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -83,7 +127,8 @@ def link_vectors(
     signed = materialize(signed, "vectors")
     nodes = materialize(signed.where("node is not null").groupBy("node").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("weight"), F.first("v").alias("v")), "nodes")
     dims = {r["d"]: r["n"] for r in nodes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}
-    books = {d: [ProductCode(d, n, hits, members, seed + r) for r in range(codes)] for d, n in dims.items()}
+    books = {d: choose_codes(d, n, threshold, hits, codes, members, seed) for d, n in dims.items()}
+    most = max(map(len, books.values()), default=codes)
     single = "array<float>" in dict(vectors.dtypes)[vector_col]
     stored = np.dtype("<f4" if single else "<f8")  # as precise as the column
 
@@ -100,7 +145,7 @@ def link_vectors(
                     unit = _unit(x)
                     every = [book.decode(unit) for book in books[d]]
                     row = np.concatenate([a for a, _ in every])
-                    code = np.concatenate([(b * codes + r) * 65536 + d for r, (_, b) in enumerate(every)])  # no two codes or lengths share a filter
+                    code = np.concatenate([(b * most + r) * 65536 + d for r, (_, b) in enumerate(every)])  # no two codes or lengths share a filter
                     order = np.lexsort((code, row))
                     row, code = row[order], code[order]
                     ends = np.searchsorted(row, np.arange(len(part) + 1))

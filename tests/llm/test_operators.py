@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from evigrid.llm import mpegts
-from evigrid.llm.cap_filters import link_vectors
+from evigrid.llm.cap_filters import choose_codes, found_share, link_vectors
 from evigrid.llm.common import connected_components
 from evigrid.llm.language_crf import forward_backward, posteriors
 from evigrid.llm.line_dedup import dedup_lines
@@ -250,3 +250,11 @@ def test_vector_links(spark):
     assert got.sum() >= 0.98 * true.sum() > 0
 
 
+@pytest.mark.parametrize("vectors", [10**6, 10**7, 10**8, 10**9])
+def test_recall_of_filters_at_any_size(vectors):
+    books = choose_codes(64, vectors, 0.9)
+    missed = np.prod([1 - found_share(book, 0.9, 256, 77 + k) for k, book in enumerate(books)])
+    assert 1 - missed >= 0.995
+    random = np.random.RandomState(3).normal(size=(200, 64))
+    row, _ = books[0].decode(random / np.linalg.norm(random, axis=1, keepdims=True))
+    assert len(np.unique(row)) == 200
