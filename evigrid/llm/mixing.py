@@ -3,8 +3,9 @@
 Sources get equal-token blocks by highest quotients target / (2 * seats + 1). Each source's documents are dealt to
 shards by a seeded hash, and its blocks go to its shards by the same rule. In a shard the documents stand in a seeded
 order, and the shard's quota is a run of blocks from the start of that order, going round again when a source is
-wanted more than once. One row a source and one a shard are the only global tables: shards hold at least 256 blocks, so
-there are at most about blocks / 256 of them, whatever the size of the corpus.
+wanted more than once. One row a source and one a shard are the only global tables: shards hold at least 256 parts of
+2**20 of the mix, so there are at most about 4096 of them, whatever the size of the corpus. Blocks are smaller than such a
+part where a source's target is small.
 """
 
 from __future__ import annotations
@@ -75,23 +76,26 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 def mix_sources(
     docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17,
-    blocks: int = 1 << 20, shard_blocks: int = 256, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    blocks: int = 1 << 20, shard_blocks: int = 256, source_blocks: int = 128, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> DataFrame:
     """How many words the mix takes of each document.
 
     Returns per row: doc_id, source, size, source_size, target, quota (blocks of its shard), block_tokens, shard, taken.
     Null texts have no words; a null source is a source. Null ids and repeated rows are documents like others: equal rows
-    stand beside each other in the seeded order and each has its own share. Other columns are ignored.
+    stand beside each other in the seeded order and each has its own share. Other columns are ignored. A block is one of
+    `blocks` parts of all targets, and at most one of `source_blocks` parts of the smallest one, so that no source goes empty.
     """
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_md5"))
     src = materialize(src, "sizes")
     sizes = src.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, share, most)
     total = F.sum("target").over(Window.partitionBy())
-    block = F.greatest(F.lit(1), F.floor(total / F.lit(blocks))).cast("long")
-    targets = targets.withColumn("block_tokens", block).withColumn("seats", F.floor(total / F.col("block_tokens")).cast("long"))
+    wide = F.greatest(F.lit(1), F.floor(total / F.lit(blocks))).cast("long")
+    least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(Window.partitionBy())
+    block = F.greatest(F.lit(1), F.least("wide", F.floor(least / F.lit(source_blocks)))).cast("long")
+    targets = targets.withColumn("wide", wide).withColumn("block_tokens", block).withColumn("seats", F.floor(total / F.col("block_tokens")).cast("long"))
     quotas = sainte_lague(targets, [], ["source"], "target", "seats").drop("seats").withColumnRenamed("quota", "source_quota")
-    quotas = quotas.withColumn("shards", F.greatest(F.lit(1), F.floor(F.col("source_size") / (F.col("block_tokens") * shard_blocks))).cast("int"))
+    quotas = quotas.withColumn("shards", F.greatest(F.lit(1), F.floor(F.col("source_size") / (F.col("wide") * shard_blocks))).cast("int")).drop("wide")
     quotas = materialize(quotas, "quotas")
     key = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_md5"))
     rows = _null_safe(src.withColumn("place", F.md5(key.cast("binary"))), quotas, ["source"])

@@ -146,6 +146,16 @@ def test_mix_targets(spark):
     assert all(abs(taken[s] - target[s]) <= 2 for s in order)
 
 
+def test_mix_keeps_small_sources(spark):
+    rows = [(k, "w " * 1000, "large") for k in range(200)] + [(1000 + k, "w " * 10, "small") for k in range(10)] + [(2000, "w", "tiny")]
+    out = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1,), share=1.0, blocks=64).collect()
+    target, taken = {r["source"]: r["target"] for r in out}, Counter()
+    for r in out:
+        taken[r["source"]] += r["taken"]
+    assert target["small"] == 200 and target["tiny"] == 2  # a part of 64 has more than 3000 words
+    assert all(abs(taken[s] - target[s]) <= 2 for s in target)
+
+
 def test_ring_bounds_and_movement(spark):
     rows = [(k, "x" * (k * 37 % 200)) for k in range(6000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
