@@ -21,7 +21,7 @@ from .common import hashed_share
 from .textbytes import mix
 
 #: Distances in bytes from which a window counts, each with a calibrated weight; windows from CLEAR on are reported.
-THRESHOLDS, CLEAR, MOST = (1, 2, 3, 4, 5), 3, 3
+THRESHOLDS, CLEAR = (1, 2, 3, 4, 5), 3
 _PUNCTUATION = ".,;:!?\"'()[]|*%&$#"
 
 
@@ -72,8 +72,8 @@ def _train(samples: list[bytes], size: int) -> bytes:
 
 
 def _features(distance: np.ndarray) -> list[float]:
-    """Windows at or over each threshold (three or more count alike), and the length, since long texts have more chance hits."""
-    return [1.0, *(float(min(MOST, int((distance >= t).sum()))) for t in THRESHOLDS), math.log1p(len(distance))]
+    """Log of the windows at or over each threshold, and of the length: together their rates, since long texts have more chance hits."""
+    return [1.0, *(math.log1p(int((distance >= t).sum())) for t in THRESHOLDS), math.log1p(len(distance))]
 
 
 def _telling_units(pairs: list[tuple[str, int]], least: float):

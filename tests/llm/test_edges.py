@@ -1,5 +1,6 @@
 """Every operator on nulls, empty and very long texts, repeated rows, ties, clashing columns and empty tables."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from evigrid.llm.packing import pack_by_retrieval
 from evigrid.llm.queries import tokenizer_files
 from evigrid.llm.sharding import shard_by_ring
 from evigrid.llm.substring_dedup import substring_dedup
-from evigrid.llm.toxicity import drop_toxic, fit_toxicity, score_toxicity
+from evigrid.llm.toxicity import Scorer, drop_toxic, fit_toxicity, score_toxicity
 
 LONG = " ".join(f"w{i % 977}" for i in range(60_000))
 ROWS = [
@@ -64,3 +65,18 @@ def test_vectors(spark):
     assert {(1, 4, 1), (2, 4, 1), (9, 4, 1), (None, 4, 1)} <= out
     assert {(k, 0, k) for k in (3, 4, 5, 6, 7, 8, 10)} <= out
     assert link_vectors(df.limit(0)).collect() == []
+
+
+def test_toxic_windows_of_long_texts_all_count():
+    random = np.random.RandomState(4)
+    vocabulary, bad = [f"{a}{b}{c}" for a in ("lo", "mi", "ta") for b in ("ren", "sal", "vod", "kup") for c in ("a", "el", "ing", "ost", "um")], ["idiotic", "worthless", "moronic"]
+
+    def text(windows: int, toxic: int) -> str:
+        rows = random.choice(vocabulary, (windows, 8)).astype(object)
+        rows[np.linspace(0, windows - 1, toxic).astype(int), 4] = random.choice(bad, toxic)
+        return " ".join(rows.ravel())
+
+    labels = [int(k % 3 == 0) for k in range(600)]
+    scorer = Scorer(fit_toxicity([text(n := int(random.randint(3, 60)), y * max(1, n // 6)) for y in labels], labels))
+    few, many = scorer([text(6250, 3), text(6250, 1000)])[0]
+    assert many > 0.9 and few < many - 0.3
