@@ -1,6 +1,7 @@
 """Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text.
 
-Two dictionaries are trained with zstandard on a bounded sample of labelled texts. Every window of a text is compressed
+Two dictionaries are made from a bounded sample of labelled texts: zstandard trains the ordinary one on their windows, the
+toxic one is a list of words and stems chosen by log-likelihood (see the README). Every window of a text is compressed
 with the ordinary dictionary alone and with the toxic one before it; the bytes that the toxic dictionary saves are its
 distance. Thresholds on the distances are calibrated on sample texts that the dictionaries have not seen.
 """
@@ -40,6 +41,17 @@ def _windows(text: str, words: int) -> list[bytes]:
     return [(" " + " ".join(every[i : i + words]) + " ").encode() for i in range(0, len(every), words)]
 
 
+def _spread_windows(texts: list[str], words: int, most: int = 60_000) -> list[bytes]:
+    """At most `most` windows of the texts, all of them or at even steps over all texts."""
+    total = sum(-(-len(t.split()) // words) for t in texts)
+    out, at = [], 0
+    for t in texts:
+        own = _windows(t, words)
+        out += own if total <= most else [x for k, x in enumerate(own, at) if (k + 1) * most // total > k * most // total]
+        at += len(own)
+    return out
+
+
 def _lengths(compressor: zstandard.ZstdCompressor, windows: list[bytes]) -> np.ndarray:
     if not windows:
         return np.zeros(0, np.int64)
@@ -135,10 +147,7 @@ def fit_toxicity(texts: list[str], labels: list[int], prior: float | None = None
     own, rest = [p for k, p in enumerate(pairs) if k % 4], [p for k, p in enumerate(pairs) if not k % 4]
     strong, fresh = _telling_units(own, least)
     toxic_samples = [x for k, (_, y) in enumerate(own) if y for x in sorted(strong[w] for w in fresh(k) if w in strong)]
-    ordinary_samples: list[bytes] = []
-    for t, y in own:
-        if not y and len(ordinary_samples) < 60_000:
-            ordinary_samples += _windows(t, words)
+    ordinary_samples = _spread_windows([t for t, y in own if not y], words)
     units = [x for x, _ in Counter(toxic_samples).most_common()][::-1]
     toxic = _train(toxic_samples, dictionary // 4) + b"".join(units)[-dictionary:]
     ordinary = _train(ordinary_samples, dictionary)

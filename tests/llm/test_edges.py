@@ -14,7 +14,7 @@ from evigrid.llm.packing import pack_by_retrieval
 from evigrid.llm.queries import tokenizer_files
 from evigrid.llm.sharding import shard_by_ring
 from evigrid.llm.substring_dedup import substring_dedup
-from evigrid.llm.toxicity import Scorer, drop_toxic, fit_toxicity, score_toxicity
+from evigrid.llm.toxicity import Scorer, _spread_windows, drop_toxic, fit_toxicity, score_toxicity
 
 LONG = " ".join(f"w{i % 977}" for i in range(60_000))
 ROWS = [
@@ -80,3 +80,10 @@ def test_toxic_windows_of_long_texts_all_count():
     scorer = Scorer(fit_toxicity([text(n := int(random.randint(3, 60)), y * max(1, n // 6)) for y in labels], labels))
     few, many = scorer([text(6250, 3), text(6250, 1000)])[0]
     assert many > 0.9 and few < many - 0.3
+
+
+def test_ordinary_windows_come_from_all_texts():
+    texts = [" ".join([f"t{k}"] * 80) for k in range(100)]
+    held = [w.split()[0] for w in _spread_windows(texts, 8, 500)]
+    assert len(held) == 500 and {held.count(b"t%d" % k) for k in range(100)} == {5}
+    assert len(_spread_windows(texts, 8, 1000)) == 1000
