@@ -67,6 +67,20 @@ def test_vectors(spark):
     assert link_vectors(df.limit(0)).collect() == []
 
 
+def test_near_copies_under_one_id_or_none(spark):
+    words = [f"w{k}" for k in range(60)]
+    near = [" ".join(words[:55] + [x] + words[56:]) for x in ("a", "b", "c")]
+    far = "quite another text of some words here"
+    for ids, keep in (([None, None, None], 2), ([7, 7, 7], 2), ([7, None, 3], 2)):
+        df = spark.createDataFrame([(i, t) for i, t in zip(ids, near, strict=True)] + [(None, far)] * 2, "doc_id long, text string")
+        out = drop_near_duplicates(df).collect()
+        assert len(out) == keep and sum(r["text"] == far for r in out) == 1
+        if ids[2] == 3:
+            assert {r["doc_id"] for r in out} == {3, None}
+        joined = ngram_jaccard_join(df).collect()
+        assert sorted(r["n_links"] for r in joined) == [1, 1, 2, 2, 2]
+
+
 def test_toxic_windows_of_long_texts_all_count():
     random = np.random.RandomState(4)
     vocabulary, bad = [f"{a}{b}{c}" for a in ("lo", "mi", "ta") for b in ("ren", "sal", "vod", "kup") for c in ("a", "el", "ing", "ost", "um")], ["idiotic", "worthless", "moronic"]

@@ -1,6 +1,8 @@
 """Operators against brute force, exact round trips and held-out accuracy on small inputs."""
 
+import hashlib
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -16,7 +18,7 @@ from evigrid.llm.line_dedup import dedup_lines
 from evigrid.llm.mixing import mix_sources
 from evigrid.llm.ngram_join import choose_bands, ngram_jaccard_join
 from evigrid.llm.packing import Encoder, fill
-from evigrid.llm.queries import tokenizer_files
+from evigrid.llm.queries import op6_transport_streams, tokenizer_files
 from evigrid.llm.sharding import shard_by_ring
 from evigrid.llm.substring_dedup import substring_dedup
 from evigrid.llm.textbytes import window_hashes, word_hashes
@@ -42,8 +44,8 @@ def corpus(seed: int, n: int = 60) -> list[tuple[int, str]]:
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_substring_dedup(spark, seed):
+@pytest.mark.parametrize(("seed", "sizes"), [(1, {"batches": 3, "counters": 2}), (2, {"batches": 7, "counters": 9, "fan": 2}), (2, {})])
+def test_substring_dedup(spark, seed, sizes):
     rows = corpus(seed)
     words = {k: WORD.findall(t) for k, t in rows}
     count = Counter(tuple(w[i : i + 35]) for w in words.values() for i in range(len(w) - 34))
@@ -54,7 +56,7 @@ def test_substring_dedup(spark, seed):
             if count[tuple(w[i : i + 35])] > 1:
                 gone[i : i + 35] = [True] * 35
         kept[k] = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
-    out = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), batches=3, counters=2).collect()
+    out = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), **sizes).collect()
     assert {r["doc_id"]: r["kept_text"] for r in out} == kept
     assert all(sum(s["end"] - s["start"] for s in r["spans"]) == r["n_removed"] for r in out)
 
@@ -176,26 +178,87 @@ def test_ring_bounds_and_movement(spark):
 def test_transport_round_trip(payload):
     stream = mpegts.encode(payload)
     found = mpegts.parse(stream)
+    (one,) = found["elementary"]
     assert len(stream) % 188 == 0
-    assert found["payload"] == payload
-    assert found["faults"] == 0
-    assert found["programs"] == found["streams"] == 1
-    assert len(found["timestamps"]) == found["units"] == len(found["random_access"])
+    assert one["payload"] == payload
+    assert found["faults"] == one["repeats"] == 0
+    assert found["programs"] == one["program"] == 1
+    assert len(one["timestamps"]) == one["units"] == len(one["random_access"])
+
+
+PAYLOAD = bytes(range(256)) * 60
+PACKETS = [mpegts.encode(PAYLOAD)[k : k + 188] for k in range(0, len(mpegts.encode(PAYLOAD)), 188)]
+
+
+def of(*packets: bytes) -> tuple[bytes, int]:
+    found = mpegts.parse(b"".join(packets))
+    return b"".join(x["payload"] for x in found["elementary"]), found["faults"]
+
+
+def changed(packet: bytes, at: int, value: int) -> bytes:
+    return packet[:at] + bytes([value]) + packet[at + 1 :]
 
 
 def test_transport_faults():
-    payload = bytes(range(256)) * 60
-    stream = mpegts.encode(payload)
-    lost = stream[: 188 * 10] + stream[188 * 11 :]
-    assert mpegts.parse(lost)["faults"] >= 1
-    assert mpegts.parse(b"\x00" * 188)["payload"] == b""
-    assert mpegts.parse(stream + b"x")["faults"] == 1
-    damaged = bytearray(stream)
-    damaged[188 + 20] ^= 1  # in the program map
-    assert mpegts.parse(bytes(damaged))["streams"] == 0
+    assert of(*PACKETS) == (PAYLOAD, 0)
+    assert of(*PACKETS[:10], *PACKETS[11:])[1] >= 1
+    assert of(b"\x00" * 188)[0] == b"" and mpegts.parse(None)["elementary"] == []
+    assert of(*PACKETS, b"x") == (PAYLOAD, 1)
+    assert of(*PACKETS[:5], changed(PACKETS[5], 1, PACKETS[5][1] | 0x80), *PACKETS[6:])[1] >= 2
     assert mpegts.crc32_mpeg(b"123456789") == 0x0376E6E7
 
 
+def test_transport_tables_may_repeat_and_be_damaged():
+    pat, pmt = (changed(PACKETS[k], 20, PACKETS[k][20] ^ 1) for k in (0, 1))
+    assert of(PACKETS[0], pmt, *PACKETS[2:]) == (b"", 1)
+    assert of(pat, PACKETS[1], *PACKETS[2:6], *PACKETS[:2], *PACKETS[6:]) == (PAYLOAD, 1)
+    assert of(PACKETS[0], pmt, *PACKETS[2:], *PACKETS[:2]) == (PAYLOAD, 1)
+
+
+def test_transport_repeated_packets_and_announced_jumps():
+    assert of(*PACKETS[:6], PACKETS[5], *PACKETS[6:]) == (PAYLOAD, 0)
+    assert of(*PACKETS[:6], PACKETS[5], PACKETS[5], *PACKETS[6:]) == (PAYLOAD, 1)
+    unit = next(k for k in range(3, len(PACKETS)) if PACKETS[k][1] & 0x40)
+    jump = [changed(p, 3, p[3] & 0xF0 | (p[3] + 5) & 15) for p in PACKETS[unit:]]
+    assert of(*PACKETS[:unit], *jump) == (PAYLOAD, 1)
+    assert of(*PACKETS[:unit], changed(jump[0], 5, jump[0][5] | 0x80), *jump[1:]) == (PAYLOAD, 0)
+
+
+def test_transport_sections_over_packets_and_several_programs():
+    body = b"".join(k.to_bytes(2, "big") + (0xE000 | (0x200 + k)).to_bytes(2, "big") for k in range(2, 70))
+    section = b"\x00" + mpegts._section(0, 1, (1).to_bytes(2, "big") + (0xE000 | mpegts.PMT_PID).to_bytes(2, "big") + body)
+    long = [(bytes([0x47, 0 if k else 0x40, 0, 0x10 | k // 184]) + section[k : k + 184]).ljust(188, b"\xff") for k in range(0, len(section), 184)]
+    found = mpegts.parse(b"".join([*long, *PACKETS[1:]]))
+    assert (found["programs"], found["faults"], found["elementary"][0]["payload"]) == (69, 0, PAYLOAD)
+    second = mpegts._table_packet(0x202, mpegts._section(2, 2, (0xE101).to_bytes(2, "big") + b"\xf0\x00" + bytes([6]) + (0xE101).to_bytes(2, "big") + b"\xf0\x00")).tobytes()
+    moved = [changed(p, 2, 1) for p in PACKETS[2:]]
+    found = mpegts.parse(b"".join([*long, PACKETS[1], second, *(x for pair in zip(PACKETS[2:], moved, strict=True) for x in pair)]))
+    assert [(x["program"], x["pid"], x["payload"] == PAYLOAD) for x in found["elementary"]] == [(1, 0x100, True), (2, 0x101, True)]
+
+
+def test_transport_mutations_never_fail():
+    r = np.random.RandomState(0)
+    for k in range(20_000):
+        stream = bytearray(b"".join(PACKETS[: 4 + k % 8]))
+        for at, value in zip(np.append(r.randint(0, len(stream), 2), r.randint(0, 376)), r.randint(0, 256, 3), strict=True):
+            stream[at] = value
+        mpegts.parse(bytes(stream))
+
+
+def test_media_query_digests(spark, tmp_path):
+    texts = {1: "abc", 2: "", 3: None, 4: "é" * 96, 5: "x" * 20_000}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for r in op6_transport_streams(spark, str(tmp_path)).collect():
+        raw = (texts[r["doc_id"]] or "").encode()
+        payload = raw + b" " * (192 - len(raw) if len(raw) < 192 else -len(raw) % 192)
+        stream = mpegts.encode(payload)
+        assert (r["n_bytes"], r["payload_bytes"], r["media_bytes"]) == (len(raw), len(payload), len(stream))
+        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["media_sha256"] == hashlib.sha256(stream).hexdigest()
+        assert r["tail_crc32"] == zlib.crc32(payload[-16:])
+        units = -(-len(payload) // mpegts.PES_BYTES)
+        assert r["feature"] == f"1:1:{len(stream) // 188}:{units}:0:{units}:{(units - 1) * mpegts.PES_BYTES * 90000 // 8000}"
+
+
 def test_encoder_agrees_with_the_library():
     files = tokenizer_files()
     encode = Encoder(**{"path": files["tokenizer"], "ranks": files["ranks"], "pattern": files["pattern"]})
