@@ -1,10 +1,10 @@
 """N-gram Jaccard self-join: MinHash banding, then verification on the full n-gram sets.
 
 Plan. One pass makes each text's set of word n-grams, a digest of the set and its band hashes. Texts with equal sets
-collapse to one class, so copies never meet each other. Classes that share a band hash are linked to the smallest class
-of that band (a star, never all pairs), and the components of these links are the candidate groups. Only the classes in a
-group get their sets again; a group is dealt to tasks by pairs of blocks of at most `block` classes, which compare all
-their pairs by blocked matrix products and return sums and a spanning forest instead of pairs.
+collapse to one class, so copies never meet each other. The classes with one band hash are a bucket; buckets with the
+same classes are one bucket. Only classes that share a bucket get their sets again; a bucket is dealt to tasks by pairs of
+blocks of at most `block` classes, which compare their pairs by blocked matrix products and return sums and a spanning
+forest instead of pairs. A pair that shares several buckets counts in the first of them alone.
 """
 
 from __future__ import annotations
@@ -145,32 +145,34 @@ def ngram_jaccard_join(
     """Join each document with all others whose sets of word n-grams have a Jaccard similarity >= threshold.
 
     Returns per row: doc_id, text_hash, n_grams, class_id (smallest doc_id with the same n-gram set), n_links (other rows linked
-    directly, copies included), component_id (smallest doc_id reachable by links, itself included), kept (the row is the
-    first of its component: doc_id equals component_id). Null, empty and blank texts have no n-grams and link with
-    nothing. Repeated rows are rows like others. Null ids take part; a component of null ids alone has a null id and is
-    kept. Words are runs of anything but ASCII white space, unchanged. Columns other than id and text are ignored.
+    directly, copies included), component_id (smallest doc_id reachable by links, itself included), kept (the row has the
+    smallest doc_id of its component, null last, and of several such rows the smallest text_hash; equal rows alike). Null,
+    empty and blank texts have no n-grams, link with nothing and are kept. Repeated rows are rows like others. Null ids take
+    part; a component of null ids alone has a null id. Words are runs of anything but ASCII white space, unchanged.
+    Columns other than id and text are ignored.
     """
     bands, rows = choose_bands(threshold, recall)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     signed = materialize(gram_signatures(src, n, bands, rows), "grams")
-    classes = signed.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("class_id"), F.count("*").alias("weight"), F.first("bands").alias("bands")
-    )
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+    classes = signed.where("node is not null").groupBy("node").agg(F.min(first).alias("first"), F.count("*").alias("weight"), F.first("bands").alias("bands"))
     classes = materialize(classes, "classes")
     band = classes.select("node", F.explode("bands").alias("band"))
-    stars = band.groupBy("band").agg(F.min("node").alias("low"), F.count("*").alias("c")).where("c > 1")
-    groups = connected_components(band.join(stars, "band").where("node != low").select(F.col("node").alias("a"), F.col("low").alias("b")))
-    groups = materialize(groups, "groups")
-    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    members = groups.join(sizes, "component").join(classes.select("node", "class_id", "weight"), "node")
-    members = members.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = _with_sets(src, members, n).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("component", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "node", "weight", "grams")
+    # classes that share many bands are one bucket, not many: buckets are told apart by count and digests of their classes
+    buckets = band.groupBy("band").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
+    buckets = buckets.where("c > 1").groupBy("c", "x", "y").agg(F.min("band").alias("band"))
+    buckets = buckets.select("band", F.ceil(F.col("c") / F.lit(block)).cast("int").alias("blocks"))
+    places = band.join(buckets, "band").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("band", "blocks"))).alias("places"))  # at most one a band
+    members = materialize(places.join(classes.select("node", "first", "weight"), "node"), "members")
+    sets = _with_sets(src, members, n).select("node", "weight", "grams", F.transform("places", lambda x: x["band"]).alias("mine"), F.explode("places").alias("place"))
+    sets = sets.select("node", "weight", "grams", "mine", F.col("place.band").alias("band"), F.pmod(F.xxhash64(F.lit(2), "node"), F.col("place.blocks")).cast("int").alias("own"), F.col("place.blocks").alias("blocks"))
+    dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("band", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "node", "weight", "mine", "grams")
 
     def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        own, bi, bj = table["own"].to_numpy(), key[1].as_py(), key[2].as_py()
-        nodes = table["node"].to_pylist()
-        order = sorted({x: i for i, x in enumerate(nodes)}.values(), key=lambda i: (own[i], nodes[i]))
+        here, bi, bj = key[0].as_py(), key[1].as_py(), key[2].as_py()
+        own, nodes = table["own"].to_numpy(), table["node"].to_pylist()
+        order = sorted(range(len(nodes)), key=lambda i: (own[i], nodes[i]))
         sets = [np.frombuffer(x, np.uint64) for x in table["grams"].to_pylist()]
         weight = table["weight"].to_numpy()[order]
         cut = sum(own[i] == bi for i in order)
@@ -182,6 +184,11 @@ def ngram_jaccard_join(
             j = j + cut
         else:
             i = j = np.zeros(0, np.int64)
+        if len(i):
+            lists = table["mine"].to_pylist()
+            earlier = [frozenset(x for x in lists[k] if x < here) for k in order]
+            new = np.fromiter((earlier[a].isdisjoint(earlier[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
+            i, j = i[new], j[new]
         links = np.bincount(i, weight[j], len(order)) + np.bincount(j, weight[i], len(order))
         root = forest(len(order), i, j)
         out = np.flatnonzero(links)
@@ -190,44 +197,45 @@ def ngram_jaccard_join(
              "root": pa.array([nodes[order[root[k]]] for k in out], pa.binary())}
         )
 
-    found = materialize(dealt.groupBy("component", "bi", "bj").applyInArrow(compare, "node binary, links long, root binary"), "links")
+    found = materialize(dealt.groupBy("band", "bi", "bj").applyInArrow(compare, "node binary, links long, root binary"), "links")
     parts = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    named = parts.join(classes.select("node", "class_id"), "node")
-    named = named.join(named.groupBy("component").agg(F.min("class_id").alias("component_id")), "component")
+    named = parts.join(classes.select("node", "first"), "node")
+    named = named.join(named.groupBy("component").agg(F.min("first").alias("least")), "component")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    done = classes.select("node", "class_id", "weight").join(links, "node", "left").join(named.select("node", "component_id", F.lit(True).alias("linked")), "node", "left")
-    done = done.select("node", "class_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("class_id")).alias("component_id"))
+    done = classes.select("node", "first", "weight").join(links, "node", "left").join(named.select("node", "least"), "node", "left")
+    done = done.select("node", F.col("first.id").alias("class_id"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("least", "first").alias("least"))
     joined = signed.select("doc_id", "text_hash", "n_grams", "node").join(done, "node", "left")
     alone = F.col("node").isNull()
     return joined.select(
         "doc_id", "text_hash", "n_grams", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        F.when(alone, F.col("doc_id")).otherwise(F.col("least.id")).alias("component_id"),
+        (alone | (F.col("doc_id").eqNullSafe(F.col("least.id")) & (F.col("text_hash") == F.col("least.hash")))).alias("kept"),
+    )
 
 
 def _with_sets(src: DataFrame, members: DataFrame, n: int) -> DataFrame:
-    """members with the n-gram set of each node, made anew from one document of its class."""
-    wanted = members.select("node", "class_id", "component", "blocks", "own", "weight")
-    texts = src.join(wanted.withColumnRenamed("class_id", "_class"), F.col("doc_id").eqNullSafe(F.col("_class")))
+    """members with the n-gram set of each node, made anew from its first document (equal documents are taken once)."""
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    wanted = members.select("node", "places", "weight", F.col("first.id").alias("_id"), F.col("first.hash").alias("_hash"))
+    texts = src.withColumn("text_hash", text_hash).join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+    texts = texts.groupBy("node").agg(F.first("places").alias("places"), F.first("weight").alias("weight"), F.first("text").alias("text"))
+    names = ["node", "places", "weight"]
 
     def sets(batches):
         for batch in batches:
             for first, chunk in _in_pieces(batch):
-                made = gram_sets(chunk, n)
-                rest = [batch.column(c).slice(first, len(chunk)) for c in ("component", "blocks", "own", "node", "weight")]
-                same = [len(s) > 0 and hashlib.blake2b(s.tobytes(), digest_size=16).digest() == d for s, d in zip(made, rest[3].to_pylist(), strict=True)]
-                out = pa.RecordBatch.from_arrays([*rest, pa.array([s.tobytes() for s in made], pa.binary())], names=["component", "blocks", "own", "node", "weight", "grams"])
-                yield out.filter(pa.array(same))
+                rest = [batch.column(c).slice(first, len(chunk)) for c in names]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array([s.tobytes() for s in gram_sets(chunk, n)], pa.binary())], names=[*names, "grams"])
 
-    return texts.select("component", "blocks", "own", "node", "weight", "text").mapInArrow(sets, "component binary, blocks int, own int, node binary, weight long, grams binary")
+    return texts.mapInArrow(sets, "node binary, places array<struct<band:long,blocks:int>>, weight long, grams binary")
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that link to an earlier one: of each component the row with the smallest id stays.
 
-    All columns stay as they are. Rows that repeat an id are told apart by their text; of rows with equal id and text
-    one stays if they have n-grams. Rows without n-grams all stay.
+    All columns stay as they are. Null ids come last; rows that share an id are told apart by their text, and of rows with equal id
+    and text one stays if they have n-grams. Rows without n-grams (null, empty, blank) all stay.
     """
     joined = ngram_jaccard_join(docs, n, threshold, id_col=id_col, text_col=text_col)
     keys = joined.where("kept and n_grams > 0").select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"))
