@@ -73,4 +73,65 @@ SELECT doc_id, size, source_size, target,
 FROM z
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_source_mix": OP1, "op5_line_dedup": OP5}
+#: All pairs of vectors; the components by repeated steps along the links.
+OP3 = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e,
+         coalesce(len(embedding) > 0 AND len(list_filter(embedding::DOUBLE[], lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding::DOUBLE[], lambda x: x <> 0)) > 0, false) AS sound
+  FROM embeddings
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE a.sound AND b.sound AND list_cosine_similarity(a.e, b.e) >= 0.9
+), r AS (
+  SELECT vec_id AS node, vec_id AS seen FROM v UNION SELECT r.node, l.b FROM r JOIN l ON r.seen = l.a
+), c AS (
+  SELECT node AS vec_id, min(seen) AS component_id FROM r GROUP BY node
+)
+SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.vec_id) AS n_links, component_id, v.vec_id = component_id AS kept FROM v JOIN c USING (vec_id)
+"""
+
+#: Pairs of distinct n-gram sets that share a gram, copies collapsed; the components by repeated steps along the links.
+OP7 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), g AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))) END AS gs FROM w
+), d AS (
+  SELECT doc_id, len(gs) AS n_grams, gs, CASE WHEN len(gs) = 0 THEN 'none ' || doc_id ELSE md5(array_to_string(gs, chr(10))) END AS node FROM g
+), c AS (
+  SELECT node, min(doc_id) AS class_id, count(*) AS weight, any_value(gs) AS gs, any_value(n_grams) AS n_grams FROM d GROUP BY node
+), x AS (
+  SELECT node, n_grams, unnest(gs) AS gram FROM c
+), p AS (
+  SELECT a.node AS a, b.node AS b FROM x a JOIN x b ON a.gram = b.gram AND a.node <> b.node
+  GROUP BY a.node, b.node HAVING count(*) / (any_value(a.n_grams) + any_value(b.n_grams) - count(*)) >= 0.8
+), r AS (
+  SELECT node, node AS seen FROM c UNION SELECT r.node, p.b FROM r JOIN p ON r.seen = p.a
+), m AS (
+  SELECT r.node, min(c.class_id) AS component_id FROM r JOIN c ON r.seen = c.node GROUP BY r.node
+), k AS (
+  SELECT p.a AS node, sum(c.weight)::BIGINT AS others FROM p JOIN c ON p.b = c.node GROUP BY p.a
+)
+SELECT doc_id, d.n_grams, class_id, weight - 1 + coalesce(others, 0) AS n_links, component_id, doc_id = component_id AS kept
+FROM d JOIN c USING (node) JOIN m USING (node) LEFT JOIN k USING (node)
+"""
+
+OP10 = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), h AS (
+  SELECT row_id, i, count(*) OVER (PARTITION BY key) AS c
+  FROM (SELECT row_id, i, md5_number(array_to_string(ws[i:i + 34], ' ')) AS key FROM (SELECT row_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35))
+), p AS (
+  SELECT row_id, unnest(range(1, len(ws) + 1)) AS pos, unnest(ws) AS word FROM w
+), m AS (
+  SELECT p.row_id, p.pos, p.word, coalesce(max(CASE WHEN h.c > 1 THEN h.i END) OVER (PARTITION BY p.row_id ORDER BY p.pos), -99) >= p.pos - 34 AS gone
+  FROM p LEFT JOIN h ON h.row_id = p.row_id AND h.i = p.pos
+), a AS (
+  SELECT row_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT gone) AS kept FROM m GROUP BY row_id
+)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN a USING (row_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_source_mix": OP1, "op3_cap_filter_links": OP3, "op5_line_dedup": OP5, "op7_ngram_jaccard_join": OP7, "op10_substring_dedup": OP10}

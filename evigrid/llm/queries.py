@@ -67,12 +67,13 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """media_bytes and media_sha256 are of the stored stream; the payload is what its parse gives back."""
-    media = encode_media(documents(spark, sf_dir))
-    read = parse_media(media)
-    tail = F.crc32(F.substring("payload", F.greatest(F.lit(1), F.length("payload") - 15), F.lit(16)))
-    feature = F.concat_ws(":", "programs", "streams", "packets", "units", "faults", F.size("random_access"), F.element_at("timestamps", -1))
+    read = parse_media(encode_media(documents(spark, sf_dir)))
+    one = F.get(F.col("elementary"), F.lit(0))
+    payload = F.coalesce(one["payload"], F.lit(b""))
+    tail = F.crc32(F.substring(payload, F.greatest(F.lit(1), F.length(payload) - 15), F.lit(16)))
+    feature = F.concat_ws(":", "programs", F.size("elementary"), "packets", one["units"], "faults", F.size(one["random_access"]), F.try_element_at(one["timestamps"], F.lit(-1)))
     return read.select(
-        "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), tail.alias("tail_crc32"),
+        "doc_id", "n_bytes", F.length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"), tail.alias("tail_crc32"),
         F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"),
     )
 

@@ -80,14 +80,14 @@ def word_hashes(texts: list[bytes], chunk: int = 1 << 20) -> tuple[np.ndarray, n
     return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), np.cumsum(counts)
 
 
-def window_hashes(words: np.ndarray, ptr: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+def window_hashes(words: np.ndarray, ptr: np.ndarray, window: int, base: int = _WORD_BASE) -> tuple[np.ndarray, np.ndarray]:
     """Rabin-Karp hash of every run of `window` words inside one text: (hash, index of its first word).
 
     Prefix sums of hash * base**i modulo 2**64; a window is the difference of two, shifted by base**-i and mixed.
     """
     if len(words) < window:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    up, down = powers(_WORD_BASE, len(words) + 1)
+    up, down = powers(base, len(words) + 1)
     prefix = np.zeros(len(words) + 1, dtype=np.uint64)
     np.cumsum(words * up[: len(words)], out=prefix[1:])
     left = np.repeat(ptr[1:], np.diff(ptr)) - np.arange(len(words))
