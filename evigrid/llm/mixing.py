@@ -2,10 +2,10 @@
 
 Sources get equal-token blocks by highest quotients target / (2 * seats + 1). Each source's documents are dealt to
 shards by a seeded hash, and its blocks go to its shards by the same rule. In a shard the documents stand in a seeded
-order, and the shard's quota is a run of blocks from the start of that order, going round again when a source is
-wanted more than once. One row a source and one a shard are the only global tables: shards hold at least 256 parts of
-2**20 of the mix, so there are at most about 4096 of them, whatever the size of the corpus. Blocks are smaller than such a
-part where a source's target is small.
+order that is cut into runs of whole blocks; as often as the quota covers the shard all of it is taken, and the rest of the quota
+takes runs by seeded rank, the last one in part. One row a source and one a shard are the only global tables: shards
+hold at least 256 parts of 2**20 of the mix, so there are at most about 4096 of them, with at most 512 runs each, whatever the
+size of the corpus. Blocks are smaller than such a part where a source's target is small.
 """
 
 from __future__ import annotations
@@ -100,35 +100,84 @@ def mix_sources(
     key = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_md5"))
     rows = _null_safe(src.withColumn("place", F.md5(key.cast("binary"))), quotas, ["source"])
     rows = rows.withColumn("shard", F.pmod(F.conv(F.substring("place", 1, 8), 16, 10).cast("long"), F.col("shards")).cast("int"))
-    shards = rows.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
-    shards = sainte_lague(shards, ["source"], ["shard"], "shard_size", "source_quota").select("source", "shard", "shard_size", "quota")
-    rows = _null_safe(rows, shards, ["source", "shard"])
+    shards = rows.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"), F.first("block_tokens").alias("block"))
+    shards = sainte_lague(shards, ["source"], ["shard"], "shard_size", "source_quota")
+    shards = materialize(_selected_runs(shards.select("source", "shard", "shard_size", "quota", "block"), most, seed), "shards")
+    rows = _null_safe(rows, shards.drop("block"), ["source", "shard"])
     order = Window.partitionBy("source", "shard").orderBy("place", "doc_id", "text_md5").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("start", F.sum("size").over(order) - F.col("size"))
-    rows = rows.withColumn("wanted", F.least(F.col("quota") * F.col("block_tokens"), (F.col("shard_size") * F.lit(most)).cast("long")))
-    rounds = F.when(F.col("shard_size") > 0, F.floor(F.col("wanted") / F.col("shard_size"))).otherwise(F.lit(0)).cast("long")
-    rest = F.col("wanted") - rounds * F.col("shard_size")
-    taken = rounds * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start")))
+    rows = rows.withColumn("end", F.sum("size").over(order)).withColumn("start", F.col("end") - F.col("size"))
+
+    def taken_before(at: Column) -> Column:
+        """Words of the selected runs before a word of the shard."""
+        run = F.get("runs", F.floor(at / F.col("run_tokens")).cast("int"))
+        inside = run["before"] + F.least(run["took"], at - F.floor(at / F.col("run_tokens")) * F.col("run_tokens"))
+        return F.when(at >= F.col("shard_size"), F.col("rest")).otherwise(F.coalesce(inside, F.lit(0)))
+
+    taken = F.col("rounds") * F.col("size") + taken_before(F.col("end")) - taken_before(F.col("start"))
     return rows.select("doc_id", "source", "size", "source_size", "target", "block_tokens", "shard", "quota", taken.cast("long").alias("taken"), "text_md5")
 
 
+def _selected_runs(shards: DataFrame, most: float, seed: int) -> DataFrame:
+    """shards with rounds (whole times the shard is taken), rest (words beyond), run_tokens and runs (took, before) by number.
+
+    What a quota asks above `most` times its shard goes to the source's other shards, in order, as far as they have room.
+    """
+    source = Window.partitionBy("source")
+    before = source.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    asked = F.col("quota") * F.col("block")
+    cap = F.floor(F.col("shard_size") * F.lit(float(most)))
+    rows = shards.withColumns({"over": F.greatest(F.lit(0), asked - cap), "room": F.greatest(F.lit(0), cap - asked)})
+    rows = rows.withColumns({"excess": F.sum("over").over(source), "room_before": F.coalesce(F.sum("room").over(before), F.lit(0))})
+    given = F.greatest(F.lit(0), F.least(F.col("room"), F.col("excess") - F.col("room_before")))
+    rows = rows.withColumn("wanted", F.least(asked, cap) + given)
+    some = F.col("shard_size") > 0
+    rows = rows.withColumn("rounds", F.when(some, F.floor(F.col("wanted") / F.col("shard_size"))).otherwise(F.lit(0)).cast("long"))
+    rows = rows.withColumn("rest", (F.col("wanted") - F.col("rounds") * F.col("shard_size")).cast("long"))
+    rows = rows.withColumn("run_tokens", F.col("block") * F.greatest(F.lit(1), F.floor(F.col("shard_size") / (F.col("block") * 256))))
+    rows = rows.withColumn("n_runs", F.ceil(F.col("shard_size") / F.col("run_tokens")))
+    runs = rows.where("rest > 0").select("source", "shard", "shard_size", "rest", "run_tokens", F.explode(F.sequence(F.lit(0), F.col("n_runs") - 1)).alias("run"))
+    runs = runs.withColumn("length", F.least("run_tokens", F.col("shard_size") - F.col("run") * F.col("run_tokens")))
+    rank = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("run"), F.coalesce("source", F.lit("")), F.col("shard").cast("string"), F.col("run").cast("string")).cast("binary"))
+    shard = Window.partitionBy("source", "shard")
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    earlier = F.sum("length").over(shard.orderBy(rank, "run").rowsBetween(*upto)) - F.col("length")
+    runs = runs.withColumn("took", F.greatest(F.lit(0), F.least(F.col("length"), F.col("rest") - earlier)))
+    runs = runs.withColumn("before", F.sum("took").over(shard.orderBy("run").rowsBetween(*upto)) - F.col("took"))
+    runs = runs.groupBy("source", "shard").agg(F.array_sort(F.collect_list(F.struct("run", "took", "before"))).alias("runs"))  # at most 512
+    return _null_safe(rows.select("source", "shard", "shard_size", "quota", "block", "rounds", "rest", "run_tokens"), runs, ["source", "shard"])
+
+
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """docs as the mix takes them: a row for each whole time, and the words that are taken beyond as a shorter text.
 
-    Keeps the columns of docs; only the text of the shorter rows changes (its first words with the white space before
-    them). Documents that the mix doesn't take go. Equal rows are taken alike.
+    Keeps the columns of docs; only the text of the shorter rows changes (its first words, as many as are taken, with the
+    white space before them). Documents that the mix doesn't take go. Rows that share id, source and text share what is
+    taken of them: whole times first, then the rest in the order of the rows' hashes. Null texts and ids are handled as
+    by mix_sources.
     """
     id_col, text_col, source_col = options.get("id_col", "doc_id"), options.get("text_col", "text"), options.get("source_col", "source")
-    taken = mix_sources(docs, **options).groupBy("doc_id", "source", "text_md5").agg(F.sum("taken").alias("sum"), F.max("size").alias("size"))
-    rows = docs.select(
-        F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"),
-        F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_md5"),
-    )
-    rows = _null_safe(rows.dropDuplicates(["doc_id", "source", "text_md5"]), taken, ["doc_id", "source", "text_md5"])
-    rounds = F.when(F.col("size") > 0, F.floor(F.col("sum") / F.col("size"))).otherwise(F.lit(0)).cast("int")
-    rows = rows.withColumn("rounds", rounds).withColumn("rest", (F.col("sum") - F.col("rounds") * F.col("size")).cast("int"))
-    whole = F.array_repeat(F.lit(True), F.col("rounds"))
-    rows = rows.withColumn("whole", F.explode(F.when(F.col("rest") > 0, F.array_append(whole, F.lit(False))).otherwise(whole)))
-    words = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    text = F.when(F.col("whole"), F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.greatest("rest", F.lit(1))), ""))
-    return rows.withColumn("row", F.col("row").withField(text_col, text)).select("row.*")
+    keys = ["doc_id", "source", "text_md5"]
+    taken = mix_sources(docs, **options).groupBy(*keys).agg(F.sum("taken").alias("sum"), F.max("size").alias("size"), F.count("*").alias("all_rows"))
+    names = {c: f"_c{k}" for k, c in enumerate(docs.columns)}  # kept apart from the columns below
+    rows = docs.toDF(*names.values()).groupBy(*names.values()).agg(F.count("*").alias("copies"))
+    text_in = F.col(names[text_col])
+    rows = rows.withColumns({
+        "row_hash": F.xxhash64(*names.values()), "doc_id": F.col(names[id_col]), "source": F.col(names[source_col]), "text_md5": F.md5(F.coalesce(text_in, F.lit("")).cast("binary")),
+    })
+    rows = _null_safe(rows, taken, keys)
+    some = F.col("size") > 0
+    each = F.when(some, F.floor(F.col("sum") / (F.col("size") * F.col("all_rows")))).otherwise(F.lit(0)).cast("long")
+    alike = Window.partitionBy(*keys).orderBy("row_hash").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("each", each).withColumn("left", F.col("sum") - F.col("each") * F.col("size") * F.col("all_rows"))
+    rows = rows.withColumn("earlier", F.when(F.col("copies") == F.col("all_rows"), F.lit(0)).otherwise(F.coalesce(F.sum("copies").over(alike), F.lit(0))))
+    extra = F.greatest(F.lit(0), F.least(F.col("copies") * F.col("size"), F.col("left") - F.col("earlier") * F.col("size")))
+    rows = rows.withColumn("words", F.col("each") * F.col("size") * F.col("copies") + extra)
+    rows = rows.withColumn("whole", F.when(some, F.floor(F.col("words") / F.col("size"))).otherwise(F.lit(0)).cast("long"))
+    rows = rows.withColumn("part", (F.col("words") - F.col("whole") * F.col("size")).cast("int"))
+    # arrays of at most 1024 numbers, however often a row repeats
+    rows = rows.withColumn("n", F.col("whole") + (F.col("part") > 0).cast("long")).where("n > 0")
+    rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 1024))))
+    rows = rows.withColumn("nth", F.explode(F.sequence(F.col("chunk") * 1024, F.least(F.col("n"), (F.col("chunk") + 1) * 1024) - 1)))
+    words = F.regexp_extract_all(text_in, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    text = F.when(F.col("nth") < F.col("whole"), text_in).otherwise(F.array_join(F.slice(words, 1, F.greatest("part", F.lit(1))), ""))
+    return rows.select(*[(text if c == text_col else F.col(k)).alias(c) for c, k in names.items()])

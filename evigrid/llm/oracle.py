@@ -37,7 +37,8 @@ WITH d AS (
 ), t AS (
   SELECT source, source_size, CASE WHEN water IS NULL THEN cap ELSE least(cap, water * weight) END AS target FROM o, x
 ), b AS (
-  SELECT *, greatest(1, floor(sum(target) OVER () / 1048576))::BIGINT AS block FROM t
+  SELECT *, greatest(1, least(wide, floor(min(target) FILTER (WHERE target > 0) OVER () / 128)))::BIGINT AS block
+  FROM (SELECT *, greatest(1, floor(sum(target) OVER () / 1048576))::BIGINT AS wide FROM t)
 ), seats AS (
   SELECT *, floor(sum(target) OVER () / block)::BIGINT AS seats FROM b
 ), q1 AS (
@@ -45,7 +46,7 @@ WITH d AS (
 ), q2 AS (
   SELECT source, count(*) AS quota FROM (SELECT *, row_number() OVER (ORDER BY quotient DESC, source ASC NULLS LAST) AS r FROM q1) WHERE r <= seats GROUP BY source
 ), q AS (
-  SELECT seats.*, coalesce(quota, 0) AS source_quota, greatest(1, floor(source_size / (block * 256)))::INT AS shards
+  SELECT seats.*, coalesce(quota, 0) AS source_quota, greatest(1, floor(source_size / (wide * 256)))::INT AS shards
   FROM seats LEFT JOIN q2 ON seats.source IS NOT DISTINCT FROM q2.source
 ), p AS (
   SELECT d.*, source_size, target, block, source_quota, md5('17|' || coalesce(doc_id::VARCHAR, '') || '|' || tm) AS place, shards
@@ -53,7 +54,7 @@ WITH d AS (
 ), h AS (
   SELECT *, (('0x' || substr(place, 1, 8))::BIGINT % shards)::INT AS shard FROM p
 ), sh AS (
-  SELECT source, shard, sum(size) AS shard_size, any_value(source_quota) AS source_quota FROM h GROUP BY source, shard
+  SELECT source, shard, sum(size) AS shard_size, any_value(source_quota) AS source_quota, any_value(block) AS block FROM h GROUP BY source, shard
 ), sz AS (
   SELECT *, sum(shard_size) OVER (PARTITION BY source) AS total FROM sh
 ), r1 AS (
@@ -62,14 +63,29 @@ WITH d AS (
 ), r2 AS (
   SELECT source, shard, count(*) AS quota
   FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY quotient DESC, shard) AS r FROM r1) WHERE r <= source_quota GROUP BY source, shard
+), y1 AS (
+  SELECT sz.source, sz.shard, sz.shard_size, sz.block, coalesce(r2.quota, 0) * sz.block AS asked, 2 * sz.shard_size AS cap
+  FROM sz LEFT JOIN r2 ON sz.source IS NOT DISTINCT FROM r2.source AND sz.shard = r2.shard
+), y2 AS (
+  SELECT *, sum(greatest(0, asked - cap)) OVER (PARTITION BY source) AS excess,
+    coalesce(sum(greatest(0, cap - asked)) OVER (PARTITION BY source ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room_before FROM y1
+), y3 AS (
+  SELECT source, shard, shard_size, least(asked, cap) + greatest(0, least(greatest(0, cap - asked), excess - room_before)) AS wanted,
+    block * greatest(1, shard_size // (block * 256)) AS run_tokens FROM y2
+), n1 AS (
+  SELECT *, least(run_tokens, shard_size - run * run_tokens) AS length, wanted % shard_size AS rest
+  FROM y3, LATERAL (SELECT unnest(range(0, ceil(shard_size / run_tokens)::BIGINT)) AS run) WHERE shard_size > 0
+), n2 AS (
+  SELECT *, greatest(0, least(length, rest - (sum(length) OVER (PARTITION BY source, shard ORDER BY md5('17|run|' || coalesce(source, '') || '|' || shard || '|' || run), run ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - length))) AS took FROM n1
 ), z AS (
-  SELECT h.*, sz.shard_size, least(coalesce(r2.quota, 0) * block, 2 * sz.shard_size) AS wanted,
+  SELECT h.*, y3.shard_size, y3.wanted,
     sum(size) OVER (PARTITION BY h.source, h.shard ORDER BY place, doc_id, tm ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS start
-  FROM h JOIN sz ON h.source IS NOT DISTINCT FROM sz.source AND h.shard = sz.shard
-  LEFT JOIN r2 ON h.source IS NOT DISTINCT FROM r2.source AND h.shard = r2.shard
+  FROM h JOIN y3 ON h.source IS NOT DISTINCT FROM y3.source AND h.shard = y3.shard
 )
 SELECT doc_id, size, source_size, target,
-  (CASE WHEN shard_size > 0 THEN wanted // shard_size * size + greatest(0, least(size, wanted % shard_size - start)) ELSE 0 END)::BIGINT AS taken
+  (CASE WHEN shard_size > 0 THEN wanted // shard_size * size ELSE 0 END + coalesce((
+    SELECT sum(greatest(0, least(z.start + z.size, n2.run * n2.run_tokens + n2.took) - greatest(z.start, n2.run * n2.run_tokens)))
+    FROM n2 WHERE n2.source IS NOT DISTINCT FROM z.source AND n2.shard = z.shard), 0))::BIGINT AS taken
 FROM z
 """
 

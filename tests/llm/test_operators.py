@@ -15,7 +15,7 @@ from evigrid.llm.cap_filters import choose_codes, found_share, link_vectors
 from evigrid.llm.common import connected_components
 from evigrid.llm.language_crf import forward_backward, posteriors
 from evigrid.llm.line_dedup import dedup_lines
-from evigrid.llm.mixing import mix_sources
+from evigrid.llm.mixing import mix_sources, mixed_documents
 from evigrid.llm.ngram_join import choose_bands, ngram_jaccard_join
 from evigrid.llm.packing import Encoder, fill
 from evigrid.llm.queries import op6_transport_streams, tokenizer_files
@@ -158,6 +158,26 @@ def test_mix_keeps_small_sources(spark):
     assert all(abs(taken[s] - target[s]) <= 2 for s in target)
 
 
+def test_mix_takes_seeded_blocks_from_all_over_a_shard(spark):
+    rows = [(k, "w " * 50, "a" if k % 10 else "b") for k in range(3000)]
+    out = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 1), share=0.5).collect()
+    a = [r["taken"] for r in out if r["source"] == "a"]
+    assert all(0 <= x <= 50 for x in a) and sum(a) == pytest.approx(next(r["target"] for r in out if r["source"] == "a"), abs=2)
+    assert len(set(a)) > 10  # runs are shorter than documents and lie in most of them
+    again = mix_sources(spark.createDataFrame(rows[::-1], "doc_id long, text string, source string"), weights=(1, 1), share=0.5).collect()
+    assert {r["doc_id"]: r["taken"] for r in again} == {r["doc_id"]: r["taken"] for r in out}
+
+
+def test_mixed_documents_keep_every_row(spark):
+    rows = [(1, "a b c d", "s", "en"), (1, "a b c d", "s", "fr"), (1, "a b c d", "s", "fr"), (2, "e f", "s", "en"), (None, None, None, None)]
+    out = Counter(tuple(r) for r in mixed_documents(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), share=2.0).collect())
+    assert out == {rows[0]: 2, rows[1]: 4, rows[3]: 2}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    some = mixed_documents(docs, share=1.5).collect()
+    words = sum(len(r["text"].split()) for r in some)
+    assert abs(words - 21) <= 1 and all("a b c d e f".find(r["text"]) >= 0 for r in some)
+
+
 def test_ring_bounds_and_movement(spark):
     rows = [(k, "x" * (k * 37 % 200)) for k in range(6000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
