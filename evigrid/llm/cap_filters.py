@@ -147,20 +147,20 @@ def link_vectors(
                     row = np.concatenate([a for a, _ in every])
                     code = np.concatenate([(b * most + r) * 65536 + d for r, (_, b) in enumerate(every)])  # no two codes or lengths share a filter
                     order = np.lexsort((code, row))
-                    row, code = row[order], code[order]
-                    ends = np.searchsorted(row, np.arange(len(part) + 1))
-                    before = [code[ends[r] : i] for i, r in enumerate(row)]
+                    ends = np.searchsorted(row[order], np.arange(len(part) + 1))
+                    at = pa.array(part, pa.int64())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(code), batch["node"].take(pa.array([part[r] for r in row], pa.int64())), batch["weight"].take(pa.array([part[r] for r in row], pa.int64())),
-                         pa.array([x[r].astype(stored).tobytes() for r in row], pa.binary()), pa.array([b.tobytes() for b in before], pa.binary())],
-                        names=["cap", "node", "weight", "unit", "before"],
+                        [batch["node"].take(at), batch["weight"].take(at), pa.array([v.astype(stored).tobytes() for v in x], pa.binary()),
+                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(code[order], pa.int64()))],
+                        names=["node", "weight", "unit", "caps"],
                     )
 
-    layout = "cap long, node string, weight long, unit binary, before binary"
-    hits_of = nodes.select("node", "weight", "v").mapInArrow(caps, layout)
-    sizes = nodes.select("node", "weight", "v").mapInArrow(caps, layout).groupBy("cap").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1")
+    decoded = materialize(nodes.select("node", "weight", "v").mapInArrow(caps, "node string, weight long, unit binary, caps array<long>"), "decoded")
+    sizes = decoded.select(F.explode("caps").alias("cap")).groupBy("cap").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1")
     sizes = materialize(sizes, "caps")
-    dealt = hits_of.join(sizes.select("cap", "blocks"), "cap").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    hits_of = decoded.select("node", "weight", "unit", "caps", F.posexplode("caps").alias("nth", "cap"))
+    dealt = hits_of.join(sizes.select("cap", "blocks"), "cap").withColumn("before", F.slice("caps", F.lit(1), F.col("nth")))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("cap", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "node", "weight", "unit", "before")
 
@@ -174,7 +174,7 @@ def link_vectors(
         if bi == bj:
             i, j = i[i < j], j[i < j]
         if len(i):
-            lists = [np.frombuffer(x, np.int64) for x in table["before"].to_pylist()]
+            lists = [np.asarray(x, np.int64) for x in table["before"].to_pylist()]
             used = np.unique(np.concatenate((i, j)))
             seen, inverse = np.unique(np.concatenate([lists[k] for k in used]), return_inverse=True)
             place = np.full(len(own), -1)

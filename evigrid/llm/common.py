@@ -16,9 +16,11 @@ STRIP_CHARS = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """Folder that the driver and all executors share: spark.checkpoint.dir. Unset is an error except in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = os.path.join(tempfile.gettempdir(), "evigrid-shared")
     return root.rstrip("/")
 

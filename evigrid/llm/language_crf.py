@@ -9,35 +9,82 @@ all words of a text and averages the words' posteriors.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
+from collections import Counter
 from dataclasses import dataclass
+from functools import cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_share
 from .textbytes import mix, powers
 
-_WORD = re.compile(r"[^\W\d_]+")
+
+
+def _ranges(kind: str) -> str:
+    """The code points of a Unicode category (by its first letter) as ranges of a character class."""
+    own = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == kind]
+    runs = [[c for _, c in run] for _, run in groupby(enumerate(own), lambda x: x[1] - x[0])]
+    return "".join(f"{re.escape(chr(r[0]))}-{re.escape(chr(r[-1]))}" for r in runs)
+
+
+#: Words of texts without marks and numbers that look like letters.
+_PLAIN = re.compile(r"[^\W\d_]+")
+
+
+@cache
+def _word() -> tuple[re.Pattern, frozenset]:
+    """A letter and the letters and combining marks after it, and the characters for which _PLAIN won't do."""
+    odd = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if (k := unicodedata.category(c))[0] == "M" or k in ("Nl", "No"))
+    return re.compile("[{0}][{0}{1}]*".format(_ranges("L"), _ranges("M"))), odd
+
+
 SLOTS = 1 << 17
+#: Languages that are learned at most: the most frequent ones.
+MOST_LANGUAGES = 256
 
 
 @dataclass
 class CrfModel:
-    """Labels, one row of weights per feature slot, transitions[from, to] and the weights of a sequence's first label."""
+    """Labels, one row of weights per feature slot, transitions[from, to], the weights of a sequence's first label, and the
+    lexicon: for each label the words that tell it."""
 
     labels: list[str]
     weights: np.ndarray
     transitions: np.ndarray
     start: np.ndarray
+    lexicon: dict[str, int]
 
 
-def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def build_lexicon(texts: list[list[str]], langs: list[int], least: int = 3, share: float = 0.9, most: int = 20_000) -> dict[str, int]:
+    """Words that stand in at least `least` texts of one language, which has at least `share` of the word's texts.
+
+    Shares are of each language's texts, so that frequent languages don't claim every word; at most `most` words of a language, the
+    most frequent ones (ties by the word).
+    """
+    size = Counter(langs)
+    held: dict[str, Counter] = {}
+    for words, lang in zip(texts, langs, strict=True):
+        for w in set(words):
+            held.setdefault(w, Counter())[lang] += 1
+    told: dict[int, list[tuple[int, str]]] = {}
+    for w, by in held.items():
+        rate = {k: n / size[k] for k, n in by.items()}
+        best = max(rate, key=lambda k: (rate[k], -k))
+        if by[best] >= least and rate[best] >= share * sum(rate.values()):
+            told.setdefault(best, []).append((-by[best], w))
+    return {w: k for k, own in told.items() for _, w in sorted(own)[:most]}
+
+
+def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Feature slots of all words and the word each belongs to.
 
-    Lexicon entry, prefixes and suffixes of 1 to 4, bigrams and trigrams with the word's bounds, all as hashes of code
-    points, computed for all words at once.
+    Lexicon entry (the label that the word tells, if any), the word, prefixes and suffixes of 1 to 4, bigrams and trigrams with
+    the word's bounds, all but the first as hashes of code points, computed for all words at once.
     """
     code = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     size = np.array([len(w) + 2 for w in words])
@@ -59,18 +106,24 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(end[owner] - np.arange(len(code)) >= k)
         slots.append(spans(at, at + k, 4))
         owners.append(owner[at])
+    told = np.fromiter((lexicon.get(w, -1) for w in words), np.int64, len(words))
+    known = np.flatnonzero(told >= 0)
+    slots.append(mix(told[known].astype(np.uint64), 5) % np.uint64(SLOTS))
+    owners.append(known)
     return np.concatenate(slots).astype(np.int64), np.concatenate(owners)
 
 
-def emissions(words: list[str], weights: np.ndarray) -> np.ndarray:
+def emissions(words: list[str], weights: np.ndarray, lexicon: dict[str, int]) -> np.ndarray:
     """Sum of the words' weights (words, labels)."""
-    slots, owner = features(words)
+    slots, owner = features(words, lexicon)
     return np.stack([np.bincount(owner, weights[slots, k], len(words)) for k in range(weights.shape[1])], 1)
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, in lower case."""
-    return _WORD.findall((text or "").lower())
+    """Letters with their combining marks, in lower case."""
+    lower = (text or "").lower()
+    pattern, odd = _word()
+    return (_PLAIN if odd.isdisjoint(lower) else pattern).findall(lower)
 
 
 def forward_backward(emission: np.ndarray, mask: np.ndarray, transitions: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,9 +184,11 @@ def fit_crf(texts: list[str], langs: list[str], steps: int = 240, batch: int = 4
     """Fit by AdaGrad on random sequences of `length` words, each of one to three pieces of texts with their labels."""
     labels = sorted(set(langs))
     n = max(1, len(labels))
-    model = CrfModel(labels, np.zeros((SLOTS, n)), np.zeros((n, n)), np.zeros(n))
     split = [(words_of(t), labels.index(y)) for t, y in zip(texts, langs, strict=True)]
     split = [x for x in split if x[0]]
+    # the lexicon is of every second text, so that the others show how words outside it look
+    lexicon = build_lexicon([w for w, _ in split[::2]], [y for _, y in split[::2]])
+    model = CrfModel(labels, np.zeros((SLOTS, n)), np.zeros((n, n)), np.zeros(n), lexicon)
     if not split or n == 1:
         return model
     by_label = [[w for w, y in split if y == k] for k in range(n)]
@@ -153,7 +208,7 @@ def fit_crf(texts: list[str], langs: list[str], steps: int = 240, batch: int = 4
                 truth[r, len(row) : len(row) + take] = k
                 row += source[at : at + take]
             words += row
-        flat, owner = features(words)
+        flat, owner = features(words, lexicon)
         emission = np.stack([np.bincount(owner, model.weights[flat, k], len(words)) for k in range(n)], 1).reshape(batch, length, n)
         mask = np.ones((batch, length), bool)
         posterior, pairs, _ = forward_backward(emission, mask, model.transitions, model.start)
@@ -191,7 +246,7 @@ class Labeller:
             self.table = np.concatenate((self.table, np.zeros_like(self.table)))
         for first in range(0, len(new), 4096):
             part = new[first : first + 4096]
-            self.table[at + first : at + first + len(part)] = emissions(part, self.model.weights)
+            self.table[at + first : at + first + len(part)] = emissions(part, self.model.weights, self.model.lexicon)
         self.index.update(zip(new, range(at, at + len(new)), strict=True))
         return self.table[np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))]
 
@@ -235,14 +290,31 @@ class Labeller:
 
 
 def language_sample(docs: DataFrame, most: int = 2000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], list[str]]:
-    """At most `most` whole texts with their languages, by hash of the id, of ids whose crc32 modulo 4 is not 2.
+    """About `most` whole texts at most with their languages, of ids whose crc32 modulo 4 is not 2, by hash of the id.
 
-    Null ids, texts and languages are left out. Every language is learned of which the sample has a text.
+    Each language has an equal share of the sample, so that rare ones are learned too; of more than MOST_LANGUAGES languages
+    the most frequent ones. Null ids, texts and languages are left out; without any row both lists are empty.
     """
     fold = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4))
     rows = docs.where((fold != 2) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    rows = rows.where(hashed_share(id_col, most, rows.count())).select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    chosen = sorted(rows.collect(), key=lambda r: (r["h"], r["i"], r["t"]))[:most]
+    rows = rows.select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
+    counts = {r["l"]: r["count"] for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MOST_LANGUAGES).collect()}
+    if not counts:
+        return [], []
+    # what a language leaves of its share goes to the larger ones
+    left, shares = most, {}
+    for k, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        shares[lang] = min(n, max(1, left // (len(counts) - k)))
+        left -= shares[lang]
+    cut = F.lit(0)
+    for lang, n in counts.items():  # half as many rows again are sent to the driver, by hash, and the smallest hashes are taken
+        cut = F.when(F.col("l") == lang, F.lit(int(min(1.0, 1.5 * (shares[lang] + 8) / n) * (1 << 30)))).otherwise(cut)
+    rows = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "i"), F.lit(1 << 30)) < cut)
+    chosen, taken = [], Counter()
+    for r in sorted(rows.collect(), key=lambda r: (r["h"], r["i"], r["t"])):
+        taken[r["l"]] += 1
+        if taken[r["l"]] <= shares[r["l"]]:
+            chosen.append(r)
     return [r["t"] for r in chosen], [r["l"] for r in chosen]
 
 

@@ -4,8 +4,9 @@ A run is a bucketed, sorted table of (hash, hash2, n, keeper): a line's 128-bit
 it and the largest id among them. Batches arrive by falling document id. Each batch merge-anti-joins the settled run (the
 lines already known to be frequent; their keeper is in a run, since later ids are smaller) and adds what is left as a run of level 0; when a
 level holds `fanout` runs they are compacted into one run of the next level, and lines that have reached the
-frequency move to the settled run. Runs of a store have equal buckets, so that the merge joins read them without another
-exchange or sort.
+frequency move to the settled run. Lines below the frequency stay in the batches' runs, since their counts are needed; so a
+batch is joined against the settled runs alone. Runs of a store have equal buckets, so that a batch meets them
+without an exchange of the runs; Spark sorts both sides again, as bucket files don't promise their order.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ class LineRuns:
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
         self.settled: list[str] = []
+        self.names: list[str] = []  # of every run ever written
 
     def _write(self, rows: DataFrame) -> str:
         """rows as one sorted run: a file a bucket."""
@@ -43,6 +45,7 @@ class LineRuns:
             .bucketBy(self.buckets, "hash", "hash2").sortBy("hash", "hash2")
             .option("path", f"{shared_dir(self.spark)}/evigrid/{name}").option("compression", "zstd").saveAsTable(name)
         )
+        self.names.append(name)
         return name
 
     def _union(self, names: list[str]) -> DataFrame:
@@ -78,6 +81,11 @@ class LineRuns:
             self.settled = [self._write(self._merged(self.settled))]
         self._place(self._write(merged.where(F.col("n") < self.min_docs)), level + 1)
 
+    def drop(self) -> None:
+        """Forget the tables of all runs, once what frequent() gave has been written; their files go with the shared folder."""
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
     def frequent(self) -> DataFrame:
         """(hash, hash2, keeper) of all lines in at least min_docs documents."""
         # a settled line may have entries in older runs too, whose ids are larger
@@ -115,6 +123,7 @@ def dedup_lines(
         distinct = own.groupBy("hash", "hash2").agg(F.countDistinct(F.struct("_id")).alias("n"), F.max("_id").alias("keeper"))
         store.add(distinct)
     frequent = materialize(store.frequent(), "frequent")
+    store.drop()
     gone = found.join(frequent, ["hash", "hash2"]).where(~F.col("_id").eqNullSafe(F.col("keeper")))
     gone = gone.groupBy("_id", "_same").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("_gone"))
     gone = gone.select(F.col("_id").alias("_gid"), F.col("_same").alias("_gsame"), "_gone")

@@ -62,13 +62,14 @@ def shard_by_ring(
 
     A row's load is its text's UTF-8 bytes plus 1 (null text: 1). A cut falls between two rows, so a shard may exceed its
     bound by half a row for each arc that is cut. Returns per row: doc_id, size, text_crc32, home (the shard without
-    bounds), shard, slot (gapless in the shard, in ring order). Null ids share a place; rows at one place are in the
-    order of their texts' hashes, and equal rows in any order. Other columns are ignored.
+    bounds), shard, slot (gapless in the shard, in ring order). The place of a null id is that of its text; rows at one place
+    are in the order of their texts' hashes, and equal rows in any order. Null and empty texts have size 1. Other columns are
+    ignored.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("_md5"))
-    place = F.conv(F.substring(F.md5(F.concat(F.lit("key-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("long")
+    place = F.conv(F.substring(F.md5(F.concat(F.lit("key-"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text-"), "_md5"))).cast("binary")), 1, 8), 16, 10).cast("long")
     points = ring(shards, nodes)
     starts = [p for p, _ in points]
     # the arc is the number of virtual nodes before the place: a lookup by the leading bits, then the few nodes in that range

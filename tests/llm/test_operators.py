@@ -13,12 +13,12 @@ from hypothesis import strategies as st
 from evigrid.llm import mpegts
 from evigrid.llm.cap_filters import choose_codes, found_share, link_vectors
 from evigrid.llm.common import connected_components
-from evigrid.llm.language_crf import forward_backward, posteriors
+from evigrid.llm.language_crf import Labeller, build_lexicon, fit_crf, forward_backward, language_sample, posteriors, words_of
 from evigrid.llm.line_dedup import dedup_lines
 from evigrid.llm.mixing import mix_sources, mixed_documents
 from evigrid.llm.ngram_join import choose_bands, ngram_jaccard_join
 from evigrid.llm.packing import Encoder, fill
-from evigrid.llm.queries import op6_transport_streams, tokenizer_files
+from evigrid.llm.queries import documents, op4_language_crf, op6_transport_streams, tokenizer_files
 from evigrid.llm.sharding import shard_by_ring
 from evigrid.llm.substring_dedup import substring_dedup
 from evigrid.llm.textbytes import window_hashes, word_hashes
@@ -330,6 +330,35 @@ def test_forward_backward_against_enumeration():
     assert np.allclose(posteriors(e.transpose(1, 0, 2), np.array([4]), move, start)[:, 0], marginal / total)
 
 
+def test_letters_and_marks():
+    assert words_of("½ ² Ⅷ 12_3") == []
+    assert words_of("हिन्दी भाषा, Ünï1x") == ["हिन्दी", "भाषा", "ünï", "x"]
+    model = fit_crf(["the house"] * 4 + ["la maison"] * 4, ["en"] * 4 + ["fr"] * 4, steps=5)
+    assert Labeller(model).texts(["½ ²", None, "", "the house"])[0][:3] == ["und"] * 3
+
+
+def test_lexicon_takes_words_that_tell_a_language():
+    texts = [["the", "hotel", "dog"]] * 4 + [["la", "hotel"]] * 4 + [["rare"]]
+    assert build_lexicon(texts, [0] * 4 + [1] * 4 + [0]) == {"the": 0, "dog": 0, "la": 1}
+
+
+def test_language_query_on_the_held_out_fold(spark):
+    """All four languages are learned, the fold is left out, and its predictions are right."""
+    folder = "/root/testdata/sf0.001"
+    docs = documents(spark, folder)
+    texts, langs = language_sample(docs)
+    held = {r["text"] for r in docs.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2}
+    assert set(langs) == {"en", "fr", "de", "es"} and not set(texts) & (held - {r["text"] for r in docs.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2})
+    few, _ = language_sample(docs, most=12)
+    assert len(few) == 12
+    truth = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    out = op4_language_crf(spark, folder).collect()
+    assert len(out) == len(truth) and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in out)
+    fold = [r for r in out if r["held_out"]]
+    assert np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in fold]) >= 0.97
+    assert language_sample(docs.limit(0)) == ([], [])
+
+
 def test_vector_links(spark):
     r = np.random.RandomState(5)
     centres = r.normal(size=(40, 32))
