@@ -100,7 +100,7 @@ def _telling_units(pairs: list[tuple[str, int]], least: float):
         bare = [w.strip(_PUNCTUATION) for w in t.lower().split()]
         texts.append(np.array([number.setdefault(w, len(number)) for w in bare], np.int64))
     names = list(number)
-    size = np.array([len(t) for t in texts])
+    size = np.array([len(t) for t in texts], np.int64)
     word, text = np.concatenate([*texts, np.zeros(0, np.int64)]), np.repeat(np.arange(len(texts)), size)
     edge = np.zeros(len(word) + 2, np.int64)
     edge[1:-1] = word
@@ -198,7 +198,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = 3000, id_col
     Returns texts, labels and the share of label 1 among all labels that may be learned from.
     Null ids, texts and labels are left out; ids with more than one label count with each.
     """
-    held = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2
+    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_t")).where(F.col("_t").isNotNull())
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y"))
     known = known.where(F.pmod(F.crc32(F.col("_id").cast("string").cast("binary")), F.lit(4)) != 2).distinct()
     counts = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
@@ -206,7 +206,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = 3000, id_col
     rows = []
     for y in (0, 1):
         chosen = known.where((F.col("_y") == y) & hashed_share("_id", most, counts.get(y, 0))).orderBy(F.xxhash64("_id"), "_id").limit(most)
-        rows += docs.where(~held & F.col(text_col).isNotNull()).join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select("_id", F.col(text_col).alias("_t"), "_y").collect()
+        rows += texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_id", "_t", "_y").collect()
     rows.sort(key=lambda r: (str(r["_id"])[::-1], r["_t"], r["_y"]))
     return [r["_t"] for r in rows], [r["_y"] for r in rows], prior
 

@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from evigrid.llm.cap_filters import link_vectors
-from evigrid.llm.language_crf import fit_crf, label_languages
+from evigrid.llm.language_crf import fit_crf, label_languages, language_sample
 from evigrid.llm.line_dedup import dedup_lines
 from evigrid.llm.mixing import mix_sources, mixed_documents
 from evigrid.llm.mpegts import encode_media, parse_media
@@ -14,7 +15,7 @@ from evigrid.llm.packing import pack_by_retrieval
 from evigrid.llm.queries import tokenizer_files
 from evigrid.llm.sharding import shard_by_ring
 from evigrid.llm.substring_dedup import substring_dedup
-from evigrid.llm.toxicity import Scorer, _spread_windows, drop_toxic, fit_toxicity, score_toxicity
+from evigrid.llm.toxicity import Scorer, _spread_windows, drop_toxic, fit_toxicity, labelled_sample, score_toxicity
 
 LONG = " ".join(f"w{i % 977}" for i in range(60_000))
 ROWS = [
@@ -57,6 +58,27 @@ def test_filters_keep_the_columns(docs, stage):
     out.collect()
 
 
+@pytest.mark.parametrize("labels", [[], [(1, None), (None, 1), (99, 1)], [(1, 1), (6, 1)], [(1, 0), (1, 1), (4, 0)]])
+def test_models_of_few_labels(docs, spark, labels):
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    texts, y, prior = labelled_sample(docs, known)
+    assert len(texts) == len(y) and (prior is None or 0 <= prior <= 1)
+    out = score_toxicity(docs, fit_toxicity(texts, y, prior)).collect()
+    assert all(0 <= r["score"] <= 1 for r in out)
+    sample = language_sample(docs)
+    out = label_languages(docs, fit_crf(*sample, steps=2)).collect()
+    assert {r["lang_pred"] for r in out} <= {*sample[1], "und"}
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_pipeline_stages(docs, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    out = stage(docs.sparkSession, docs, "/root/testdata/sf0.001")
+    if name != "packing":
+        assert out.columns == corpus_pipeline.COLUMNS
+    assert out.count() <= 2 * docs.count() + (0 if name != "packing" else 100)
+
+
 def test_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, []), (9, [1.0, 0.0]), (9, [1.0, 0.0]), (None, [1.0, 0.01]), (10, [1.0, 0.0, 0.0])]

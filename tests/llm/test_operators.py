@@ -17,8 +17,8 @@ from evigrid.llm.language_crf import Labeller, build_lexicon, fit_crf, forward_b
 from evigrid.llm.line_dedup import dedup_lines
 from evigrid.llm.mixing import mix_sources, mixed_documents
 from evigrid.llm.ngram_join import choose_bands, ngram_jaccard_join
-from evigrid.llm.packing import Encoder, fill
-from evigrid.llm.queries import documents, op4_language_crf, op6_transport_streams, tokenizer_files
+from evigrid.llm.packing import Bm25, Encoder, fill
+from evigrid.llm.queries import documents, op2_toxicity_compression, op4_language_crf, op6_transport_streams, tokenizer_files
 from evigrid.llm.sharding import shard_by_ring
 from evigrid.llm.substring_dedup import substring_dedup
 from evigrid.llm.textbytes import window_hashes, word_hashes
@@ -303,6 +303,26 @@ def test_fill_uses_each_id_once():
     assert sum(v < 64 for v in room.values()) <= 1
 
 
+def test_bm25_against_its_formula():
+    r = np.random.RandomState(4)
+    docs = [r.randint(0, 40, r.randint(1, 30)).astype(np.uint16) for _ in range(25)]
+    query, mean = docs[3], np.mean([len(d) for d in docs])
+    want = np.zeros(25)
+    for t in set(query.tolist()):
+        df = sum(t in d for d in docs)
+        for k, d in enumerate(docs):
+            tf = int((d == t).sum())
+            want[k] += np.log(1 + (25 - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))
+    assert np.allclose(Bm25(docs).scores(query), want)
+    placed = list(fill(docs, 64))
+    first = [k for s, k, a, _, _ in placed if s == 0 and a == 0][1:]  # the neighbours of the first seed, docs[0]
+    score, room = Bm25(docs).scores(docs[0]), 64 - len(docs[0])
+    for k in first[:-1]:
+        best = max((j for j in range(1, 25) if len(docs[j]) <= room and j not in first[: first.index(k)]), key=lambda j: (score[j], -j))
+        assert best == k
+        room -= len(docs[k])
+
+
 def test_neighbours_share_a_window():
     """Texts of two vocabularies: windows hold mostly one of them."""
     r = np.random.RandomState(1)
@@ -330,6 +350,29 @@ def test_forward_backward_against_enumeration():
     assert np.allclose(posteriors(e.transpose(1, 0, 2), np.array([4]), move, start)[:, 0], marginal / total)
 
 
+def test_toxicity_query_on_the_held_out_fold(spark, tmp_path):
+    """A made corpus whose toxic texts hold words of a list among ordinary ones."""
+    r = np.random.RandomState(8)
+    vocabulary = [a + b + c for a in ("lo", "mi", "ta", "re") for b in ("ren", "sal", "vod", "kup", "nis") for c in ("a", "el", "ing", "ost", "um", "")]
+    bad, rows, labels = ["wretchedness", "loathsome", "vilest", "scoundrel"], [], []
+    for k in range(1200):
+        words, toxic = r.choice(vocabulary, r.randint(10, 200)).tolist(), k % 4 == 0
+        for at in r.randint(0, len(words), 1 + len(words) // 25) if toxic else []:
+            words[at] = str(r.choice(bad))
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(toxic)))
+    rows += [(5000, rows[0][1]), (5001, None), (5002, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = {x["doc_id"]: x for x in op2_toxicity_compression(spark, str(tmp_path)).collect()}
+    assert len(out) == len(rows)
+    assert all(x["held_out"] == (zlib.crc32(str(k).encode()) % 4 == 2) and x["predicted"] == int(x["score"] >= 0.3) and 0 <= x["score"] <= 1 for k, x in out.items())
+    assert out[5000]["score"] == out[0]["score"] and out[5001]["score"] == out[5002]["score"]
+    fold = [(out[k]["predicted"], y) for k, y in labels if out[k]["held_out"]]
+    hit = sum(p and y for p, y in fold)
+    assert hit >= 0.9 * sum(y for _, y in fold) and hit >= 0.9 * sum(p for p, _ in fold)
+
+
 def test_letters_and_marks():
     assert words_of("½ ² Ⅷ 12_3") == []
     assert words_of("हिन्दी भाषा, Ünï1x") == ["हिन्दी", "भाषा", "ünï", "x"]
