@@ -218,7 +218,8 @@ def _with_sets(src: DataFrame, members: DataFrame, n: int) -> DataFrame:
     """members with the n-gram set of each node, made anew from its first document (equal documents are taken once)."""
     text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
     wanted = members.select("node", "places", "weight", F.col("first.id").alias("_id"), F.col("first.hash").alias("_hash"))
-    texts = src.withColumn("text_hash", text_hash).join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+    # a merge join at every size: the wanted rows grow with the corpus and are never broadcast
+    texts = src.withColumn("text_hash", text_hash).join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
     texts = texts.groupBy("node").agg(F.first("places").alias("places"), F.first("weight").alias("weight"), F.first("text").alias("text"))
     names = ["node", "places", "weight"]
 
