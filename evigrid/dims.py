@@ -23,9 +23,16 @@ LEGAL_RANKS = {
     "CONSTITUTION": 1, "CODE": 2, "CONSTITUTIONAL_LAW": 3, "LAW_RK": 4, "DECREE": 5, "GOV_RESOLUTION": 6,
     "MINISTERIAL_ORDER": 7, "LOCAL_ACT": 8, "COURT_PRACTICE": 9, "EXPERT": 10, "OTHER": 11,
 }
-TIER_1 = ("adilet.zan.kz", "gov.kz", "parlam.kz", "supreme.kz", "prokuror.gov.kz", "minfin.gov.kz", "mfa.gov.kz", "stat.gov.kz")
+#: SCA-22, fixed lists.
+TIER_1 = (
+    "gov.kz", "adilet.zan.kz", "supreme.kz", "primeminister.kz", "president.kz", "parliament.kz", "minjust.gov.kz", "kkm.gov.kz", "minfin.gov.kz", "mfa.gov.kz",
+    "stat.gov.kz",
+)
 TIER_2 = ("zakon.kz", "tengrinews.kz", "forbes.kz", "profit.kz", "vlast.kz", "kapital.kz", "kursiv.kz", "inform.kz", "kazpravda.kz", "legalacts.kz")
-TIER_3 = ("linkedin.com", "vc.ru", "medium.com", "habr.com", "dtf.ru", "tjournal.ru", "wikipedia.org", "wikiwand.com", "pravo163.ru", "consultant.ru", "garant.ru")
+TIER_3 = (
+    "linkedin.com", "vc.ru", "medium.com", "habr.com", "dtf.ru", "tjournal.ru", "wikipedia.org", "ru.wikipedia.org", "en.wikipedia.org", "kk.wikipedia.org",
+    "wikiwand.com", "pravo163.ru", "consultant.ru", "garant.ru",
+)
 BLACKLIST = ("forum", "otvet.mail.ru", "reddit.com", "anon", "pikabu.ru", "answers.yahoo.com", "mail.ru/community")
 SPAM_URLS = ("egov.kz/cms", "egov.kz/news", "egov.kz/mobile", "/press/news/", "/press/article/", "/memleket/entities/", "akimat.", "oq.gov.kz", "cert.gov.kz/news", "pki.gov.kz", "eresidency.gov.kz")
 TRUSTED_URLS = ("adilet.zan.kz", "online.zakon.kz", "prokuror.gov.kz", "supreme.kz", "parlam.kz", "tengrinews.kz/zakon", "informburo.kz", "zakon.kz")
@@ -62,13 +69,19 @@ SUFFIXES = (
 ).split()
 DIGRAPHS = {"Gh": "Ғ", "Zh": "Ж", "Sh": "Ш", "Ch": "Ч", "Kh": "Қ", "gh": "ғ", "zh": "ж", "sh": "ш", "ch": "ч", "kh": "қ"}
 DIACRITICS = ("áÁıIñÑóÓúÚ", "әӘіІңҢөӨүҮ")
+#: SCA-02: letters and words of Kazakh in Latin script, fixed.
+KAZAKH_LATIN_LETTERS = "áñóúığşý"
+KAZAKH_LATIN_WORDS = ("jane", "jáne", "bolady", "qazaqstan", "turaly", "týraly", "kodeksi", "zań", "zang", "memleket", "respyblıkasy", "respublika")
 KAZAKH_LETTERS = "әғқңөұүһіӘҒҚҢӨҰҮҺІ"
 
 # --- reference data ---------------------------------------------------------------------------------------------------
 MRP_BY_YEAR = {2019: 2525, 2020: 2651, 2021: 2917, 2022: 3063, 2023: 3450, 2024: 3692, 2025: 3932, 2026: 4205}
 MZP_BY_YEAR = {2022: 60_000, 2023: 70_000, 2024: 85_000, 2025: 100_000}
 MAX_FINE_MRP = 2000
-INVALID_LAWS = ("87-IV",)
+#: VRD-01: ids and decrees that are known not to exist.
+INVALID_LAWS, INVALID_DECREES = ("87-IV",), ("142",)
+#: SCA-20: the offence code, whose short title lacks the word code.
+OFFENCE_CODE = "235-V"
 LAW_ALIASES = {"233-IV": "261-IV", "309-II": "409-I", "95-IV": "171-VIII", "212-IV": "400-VI-NEW"}
 MONTHS = {"январ": 1, "феврал": 2, "март": 3, "апрел": 4, "ма": 5, "июн": 6, "июл": 7, "август": 8, "сентябр": 9, "октябр": 10, "ноябр": 11, "декабр": 12}
 
@@ -76,3 +89,91 @@ MONTHS = {"январ": 1, "феврал": 2, "март": 3, "апрел": 4, "
 def table(spark: SparkSession, values: dict, key: str, value: str) -> DataFrame:
     """A fixed dictionary as a small table; its size doesn't depend on any input."""
     return spark.createDataFrame(list(values.items()), [key, value])
+
+# --- law names (fixed values) -----------------------------------------------------------------------------------------
+#: SCA-13: names and abbreviations of laws and the ids they stand for; names of up to 3 characters count as whole words.
+LAW_NAMES = {
+    "гк": ("1000-XIII", "309-II"),
+    "гкрк": ("1000-XIII", "309-II"),
+    "гражданск": ("1000-XIII", "309-II"),
+    "азаматтық кодекс": ("1000-XIII", "309-II"),
+    "ак": ("1000-XIII", "309-II"),
+    "акрк": ("1000-XIII", "309-II"),
+    "зк": ("442-II",),
+    "зкрк": ("442-II",),
+    "земельн": ("442-II",),
+    "жк": ("442-II",),
+    "жкрк": ("442-II",),
+    "жер кодекс": ("442-II",),
+    "коап": ("235-V",),
+    "коапрк": ("235-V",),
+    "әқбтк": ("235-V",),
+    "әқбткрк": ("235-V",),
+    "әкімшілік құқық бұзушылық": ("235-V",),
+    "ук": ("226-V",),
+    "укрк": ("226-V",),
+    "уголовн": ("226-V",),
+    "ққ": ("226-V",),
+    "ққрк": ("226-V",),
+    "қылмыстық кодекс": ("226-V",),
+    "аппк": ("350-VI",),
+    "госимуществ": ("413-IV",),
+    "государственному имуществу": ("413-IV",),
+    "государственного имущества": ("413-IV",),
+    "налогов": ("214-VII",),
+    "нк": ("214-VII",),
+    "бюджетн": ("171-VIII",),
+    "бк": ("171-VIII",),
+    "трудов": ("414-I-NEW",),
+    "тк": ("414-I-NEW",),
+    "экологическ": ("400-VI-NEW",),
+    "эк": ("400-VI-NEW",),
+    "электронном документе": ("370-II",),
+    "эцп": ("370-II",),
+    "информатизации": ("418-V",),
+    "искусственном интеллекте": ("230-VIII",),
+    "цифровой кодекс": ("255-VIII",),
+    "цифрового кодекса": ("255-VIII",),
+    "исполнительном производстве": ("261-IV",),
+    "исполнительного производства": ("261-IV",),
+    "судебных исполнителей": ("261-IV",),
+    "сот орындаушы": ("261-IV",),
+    "атқарушылық іс жүргізу": ("261-IV",),
+    "233-IV": ("261-IV",),
+}
+#: SCA-14: phrases of law titles in a bill's heading and the id they tell.
+TITLE_HINTS = {
+    "исполнительном производстве": "261-IV",
+    "судебных исполнителей": "261-IV",
+    "атқарушылық іс жүргізу": "261-IV",
+    "сот орындаушылар": "261-IV",
+    "персональных данных": "94-V",
+    "дербес деректер": "94-V",
+    "административных правонарушениях": "235-V",
+    "әкімшілік құқық бұзушылық": "235-V",
+    "уголовный кодекс": "226-V-UK",
+    "қылмыстық кодекс": "226-V-UK",
+    "гражданский кодекс": "1000-XIII",
+    "азаматтық кодекс": "1000-XIII",
+    "земельный кодекс": "442-II",
+    "жер кодекс": "442-II",
+    "трудовой кодекс": "414-I-NEW",
+    "еңбек кодекс": "414-I-NEW",
+    "налоговый кодекс": "214-VII",
+    "салық кодекс": "214-VII",
+    "об образовании": "319-III",
+    "білім туралы": "319-III",
+    "о государственных закупках": "106-VIII",
+    "мемлекеттік сатып алу": "106-VIII",
+    "о противодействии коррупции": "410-V-NEW",
+    "сыбайлас жемқорлыққа қарсы": "410-V-NEW",
+    "об информатизации": "418-V",
+    "информатизация туралы": "418-V",
+    "о связи": "567-II-NEW",
+    "байланыс туралы": "567-II-NEW",
+    "о банках": "258-VIII",
+    "банктер туралы": "258-VIII",
+    "об исполнительных документах": "261-IV",
+    "о нотариате": "155-I",
+    "нотариат туралы": "155-I",
+}

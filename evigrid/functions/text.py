@@ -52,12 +52,16 @@ def word_count(text: Column) -> Column:
 
 
 def language(text: Column) -> Column:
-    """SCA-02 heuristic: kk by its letters in the first 3000 characters, else ru or en by a ratio of 2 over 1000, else mixed."""
-    head = F.substring(text, 1, 1000)
-    cyrillic = F.regexp_count(head, F.lit(r"[а-яА-ЯёЁ]"))
-    latin = F.regexp_count(head, F.lit(r"[a-zA-Z]"))
+    """SCA-02 heuristic: kk by its letters in the first 3000 characters; else by a ratio of 2 over the first 500 ru or Latin, which
+    is kk if the first 1000 hold a letter or word of Kazakh in Latin script and else en; else mixed. Null is mixed."""
+    text = F.coalesce(text, F.lit(""))
+    head, sample = F.substring(text, 1, 500), F.lower(F.substring(text, 1, 1000))
+    cyrillic = F.regexp_count(head, F.lit(r"[\u0400-\u04ff]"))
+    latin = F.regexp_count(head, F.lit(f"[a-zA-Z{dims.KAZAKH_LATIN_LETTERS}ÁÑÓÚĞŞÝ]"))
     kazakh = F.substring(text, 1, 3000).rlike(f"[{dims.KAZAKH_LETTERS}]")
-    return F.when(kazakh, "kk").when(cyrillic > 2 * latin, "ru").when(latin > 2 * cyrillic, "en").otherwise("mixed")
+    kazakh_latin = sample.rlike(f"[{dims.KAZAKH_LATIN_LETTERS}]") | F.arrays_overlap(F.split(sample, r"\s+"), F.array(*[F.lit(w) for w in dims.KAZAKH_LATIN_WORDS]))
+    by_ratio = F.when(cyrillic > 2 * latin, "ru").when(latin > 2 * cyrillic, F.when(kazakh_latin, "kk").otherwise("en")).otherwise("mixed")
+    return F.when(kazakh, "kk").otherwise(by_ratio)
 
 
 def query_language(text: Column) -> Column:
@@ -148,16 +152,15 @@ def host(url: Column) -> Column:
 
 def web_tier(url: Column, tier_1=dims.TIER_1, tier_2=dims.TIER_2, tier_3=dims.TIER_3, blacklist=dims.BLACKLIST) -> Column:
     """SCA-22: blacklist by substring, then the tiers by domain or sub-domain; unknown hosts are TIER_3."""
-    h = F.coalesce(host(url), F.lit(""))
 
-    def within(domains: tuple[str, ...]) -> Column:
-        out = F.lit(False)
-        for d in domains:
-            out = out | (h == d) | h.endswith("." + d)
-        return out
+    def tier(h: Column) -> Column:
+        def within(domains: tuple[str, ...]) -> Column:
+            return F.exists(F.array(*[F.lit(d) for d in domains]), lambda d: (h == d) | F.endswith(h, F.concat(F.lit("."), d)))
 
-    black = contains_any(F.lower(url), blacklist) | contains_any(h, blacklist)
-    return F.when(black, "BLACKLIST").when(within(tier_1), "TIER_1").when(within(tier_2), "TIER_2").when(within(tier_3), "TIER_3").otherwise("TIER_3")
+        black = contains_any(F.lower(url), blacklist) | contains_any(h, blacklist)
+        return F.when(black, "BLACKLIST").when(within(tier_1), "TIER_1").when(within(tier_2), "TIER_2").when(within(tier_3), "TIER_3").otherwise("TIER_3")
+
+    return F.get(F.transform(F.array(F.coalesce(host(url), F.lit(""))), tier), F.lit(0))  # the host is made once
 
 
 def repair_spacing(text: Column) -> Column:
@@ -183,15 +186,25 @@ def repair_breaks(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(\d+)-\s*\n\s*(\d+)", "$1-$2"), r"(?iu)(\d+)\s*\n\s*-(бап)", "$1-$2")
 
 
+#: SCA-28, fixed patterns in order.
+LABEL_RULES = (
+    (r"\(\s*S\d+(?:\s*,\s*S\d+)*\s*\)", ""),
+    (r"(?<=\()\s*S\d+(?:\s*,\s*S\d+)*\s*,\s*", ""),
+    (r"\s*,\s*S\d+(?:\s*,\s*S\d+)*\s*(?=\))", ""),
+    (r"(?iu),?\s*источник[аи]?\s+S\d+(?:\s*,\s*S\d+)*\s*:?", ""),
+    (r"(?iu),?\s*в\s+ред(?:акции|\.)?\s+S\d+(?:\s*,\s*S\d+)*", ""),
+    (r"\(\s*[;:,]\s*", "("),
+    (r"\(\s*\)", ""),
+    (r"\s{2,}", " "),
+    (r"\s+([.,;:)])", "$1"),
+)
+
+
 def clean_labels(text: Column) -> Column:
-    """SCA-28: prompt labels that leaked into text go, with the punctuation and spaces around them."""
-    rules = (
-        (r"\s*\[(?:S\d+(?:\s*[,;]\s*S\d+)*)\]", ""), (r"\s*\((?:S\d+(?:\s*[,;]\s*S\d+)*)\)", ""), (r"\[(?:AD|WB)\|[^\]]*\]", ""), (r"\b(?:источник|source)\s+S\d+\b", ""),
-        (r"\bS\d+\b", ""), (r"\(\s*\)", ""), (r"\s+([,.;:])", "$1"), (r"[ \t]{2,}", " "), (r"^\s+|\s+$", ""),
-    )
-    for pattern, with_ in rules:
+    """SCA-28: source labels in brackets, and after the words for source and wording, go with the marks they leave behind."""
+    for pattern, with_ in LABEL_RULES:
         text = F.regexp_replace(text, pattern, with_)
-    return text
+    return F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))
 
 
 def strip_fences(text: Column) -> Column:
@@ -210,13 +223,33 @@ def traffic_light(score: Column) -> Column:
     return F.when(score.isNull(), "unknown").when(score >= 0.75, "green").when(score >= 0.5, "yellow").otherwise("red")
 
 
-PROTECTED = r"(?iu)(?:№\s*)?\d+[-–][IVX]+|https?://[^\s)]+|\d{1,2}\.\d{1,2}\.\d{4}|\d+(?:[.,]\d+)?\s*%|\d+"
+#: FLT-13, fixed patterns: law ids, registry codes, articles, percentages, dates, links, the primary source, status tags.
+PROTECTED = (
+    r"(?U)\b\d{1,4}-[IVXLCDM]{1,7}\b",
+    r"(?U)\b[A-Z]\d{6,}[A-Z]?\b",
+    r"(?iuU)\bст\.?\s*\d+",
+    r"\d+(?:[.,]\d+)?\s*%",
+    r"(?U)\b\d{1,2}\.\d{1,2}\.\d{4}\b",
+    r"https?://\S+",
+    r"adilet\.zan\.kz",
+    r"\[[А-ЯЁA-Z][А-ЯЁA-Z \-]{2,}\]",
+)
+
+
+def one_space(text: Column) -> Column:
+    return F.regexp_replace(text, r"\s+", " ")
+
+
+def protected_tokens(text: Column) -> Column:
+    """FLT-13: the distinct tokens that a translation has to keep, white space inside as one space."""
+    found = [F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda t: one_space(F.trim(t))) for p in PROTECTED]
+    return F.array_distinct(F.flatten(F.array(*found)))
 
 
 def preserved(source: Column, other: Column) -> Column:
-    """FLT-13: every protected token of source is in other, white space aside."""
-    flat = F.regexp_replace(other, r"\s+", "")
-    return F.forall(F.array_distinct(F.regexp_extract_all(source, F.lit(PROTECTED), F.lit(0))), lambda t: F.contains(flat, F.regexp_replace(t, r"\s+", "")))
+    """FLT-13: other isn't blank and holds every protected token of source, white space as one space."""
+    flat = one_space(other)
+    return other.rlike(r"\S") & F.forall(protected_tokens(source), lambda t: F.contains(flat, t))
 
 
 def unit_bucket(unit: Column) -> Column:

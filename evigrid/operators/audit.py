@@ -77,13 +77,16 @@ def claim_numbers(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     return found.select(*keys, "x.unit", T.safe_number(F.col("x.value")).alias("value"))
 
 
-def fact_status(score: Column, confidence: Column, sources: Column, exact: Column, topology_ok: Column, arithmetic_ok: Column, fallback: Column) -> Column:
+def fact_status(score: Column, confidence: Column, sources: Column, exact: Column, topology_ok: Column, arithmetic_ok: Column, fallback: Column, article: Column | None = None) -> Column:
     """VRD-06 and VRD-07 as one ordered rule: struct(validation_status, bm25_score).
 
-    exact is the score over metadata matches (null without one), fallback the layered search's score for unlinked facts.
+    exact is the score over metadata matches (null without one), fallback the layered search's score for unlinked facts,
+    article the score of the chunk with the article that the claim names: it lifts a weak score, at least to ARTICLE_BOOST.
     """
     unlinked = (F.size(sources) == 0) | F.array_contains(sources, "UNLINKED")
     only_virtual = F.forall(sources, is_virtual)
+    if article is not None:
+        score = F.when((score < dims.MEDIUM) & (article > score), F.greatest(article, F.lit(dims.ARTICLE_BOOST))).otherwise(score)
 
     def pair(state: Column, value: Column) -> Column:
         return F.struct(state.alias("validation_status"), value.cast("double").alias("bm25_score"))
@@ -202,9 +205,11 @@ def conflict_records(verdicts: DataFrame, by: list[str], order: str) -> DataFram
     return rows.withColumn("record_id", F.concat(F.lit("conflict_"), F.lpad(number.cast("string"), 4, "0"))).withColumn("conflict_type", conflict_type(F.col("contradiction_detail"))).drop("_rn")
 
 
-def fact_icon(status: Column, severity: Column, confidence: Column) -> Column:
-    """VRD-13."""
-    return F.when(status == "CONTRADICTED", "red").when(status == "CONFIRMED", "green").when(confidence == "HIGH", "orange").otherwise("black")
+def fact_icon(status: Column, severity: Column, confidence: Column, validation: Column) -> Column:
+    """VRD-13: the verdict's icon, orange for an unverified claim of high severity or confidence; else that of the fact's status."""
+    risk = F.lower(severity).isin("critical", "high") | confidence.isin("HIGH", "MEDIUM")
+    by_fact = F.when(validation == "HIGH", "🟢").when(validation == "MEDIUM", "🟡").when(validation == "LOW", "🔴").otherwise("⚫")
+    return F.when(status == "CONTRADICTED", "🔴").when((status == "UNVERIFIED") & F.coalesce(risk, F.lit(False)), "🟠").when(status == "CONFIRMED", "🟢").otherwise(by_fact)
 
 
 NEGATION = r"(?iu)(?<![\p{L}])(не|нет|без|запрещ\p{L}*|емес|жоқ)(?![\p{L}])"
@@ -280,14 +285,44 @@ def parse_verdicts(raw: DataFrame, claims: DataFrame, by: list[str]) -> DataFram
     """
     rows = raw.withColumn("v", F.from_json("json", VERDICT_SCHEMA, {"mode": "PERMISSIVE"})).select(*by, "seq", "v.*")
     up = F.upper(F.coalesce("status", F.lit("")))
-    state = F.when(up.contains("CONTRADIC") | up.contains("ОПРОВЕРГ"), "CONTRADICTED").when(up.contains("CONFIRM") | up.contains("ПОДТВЕРЖ"), "CONFIRMED").otherwise("UNVERIFIED")
+    state = F.when(up.contains("CONTRADIC") | up.contains("OPROVERG"), "CONTRADICTED").when(up.contains("CONFIRM") | up.contains("PODTVERZH"), "CONFIRMED").otherwise("UNVERIFIED")
     sources = F.coalesce(F.filter("source_ids", lambda s: s.isNotNull() & (s != "")), F.array().cast("array<string>"))
-    rows = rows.withColumn("status", state).withColumn("source_ids", F.when(F.size(sources) == 0, F.array(F.lit("UNLINKED"))).otherwise(sources)).drop("severity")
+    rows = rows.withColumn("status", state).withColumn("source_ids", sources).withColumn("confidence", F.coalesce("confidence", F.lit("MEDIUM"))).drop("severity")
     rows = rows.join(claims.select(*by, "claim_id", "severity"), [*by, "claim_id"])
     first = F.row_number().over(Window.partitionBy(*by, "claim_id").orderBy("seq"))
     return rows.withColumn("_rn", first).where("_rn = 1").drop("_rn").withColumn("is_deterministic", F.lit(False))
 
 
+def facts_of(verdicts: DataFrame) -> DataFrame:
+    """VRD-02: one fact a verdict: fact_id, text, sources (UNLINKED without any) and confidence by status."""
+    cid = F.concat(F.lit("["), F.col("claim_id"), F.lit("]: "))
+    d, f = (F.coalesce(F.col(c), F.lit("None")) for c in ("document_value", "found_value"))
+    against, confirmed = F.col("status") == "CONTRADICTED", F.col("status") == "CONFIRMED"
+    shown = F.coalesce(F.nullif("found_value", F.lit("")), F.col("document_value"), F.lit("None"))
+    text = F.when(against, F.concat(cid, F.lit("документ='"), d, F.lit("' vs найдено='"), f, F.lit("'"))).when(confirmed, F.concat(cid, F.lit("'"), shown, F.lit("'"))).otherwise(F.concat(cid, F.lit("'"), d, F.lit("'")))
+    sources = F.when(F.size("source_ids") > 0, F.col("source_ids")).otherwise(F.array(F.lit("UNLINKED")))
+    return verdicts.select(
+        *[c for c in verdicts.columns if c not in ("source_ids", "confidence")], F.concat(F.lit("fact_"), "claim_id").alias("fact_id"), text.alias("claim"), sources.alias("source_ids"),
+        F.when(against, 0.1).when(confirmed, 0.9).otherwise(0.4).alias("confidence"),
+    )
+
+
+FINDING_SCHEMA = "additional_findings array<struct<description:string,gap_type:string,affected_domain:string>>"
+GAP_TYPES = ("regulatory_hole", "intentional_silence", "delegation_gap")
+
+
+def parse_findings(raw: DataFrame, by: list[str]) -> DataFrame:
+    """VRD-02: raw (by, json) answers to (by, nth, description, gap_type, affected_domain); findings without a description go,
+    unknown types are regulatory holes. nth is the place in the answer."""
+    rows = raw.select(*by, F.posexplode(F.from_json("json", FINDING_SCHEMA)["additional_findings"]).alias("nth", "f"))
+    kind = F.lower(F.trim("f.gap_type"))
+    rows = rows.select(
+        *by, "nth", F.trim("f.description").alias("description"), F.when(kind.isin(*GAP_TYPES), kind).otherwise("regulatory_hole").alias("gap_type"),
+        F.coalesce(F.nullif(F.trim("f.affected_domain"), F.lit("")), F.lit("не указано")).alias("affected_domain"),
+    )
+    return rows.where("description <> ''")
+
+
 def backfill(verdicts: DataFrame, claims: DataFrame, by: list[str]) -> DataFrame:
     """JOI-13: claims without a verdict become UNVERIFIED / LOW with the first 100 characters as document value."""
     missing = claims.join(verdicts.select(*by, "claim_id").distinct(), [*by, "claim_id"], "left_anti")

@@ -8,24 +8,30 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions import text as T
 
-#: (pattern, claim type, severity, tag) in order; group 1 is the entity. Fixed values of the extraction.
+#: SCA-08: (pattern, claim type, severity, tag) in order; group 1 is the entity. Fixed values of the extraction.
+_KK_ARTICLE = r"(?:бап|бабы|бабында|бапта|баптың|бабының)"
 PATTERNS = (
     (r"(?iuU)(?:Закон\w*|Кодекс\w*|ЗРК|Заңы*|ҚРЗ)\s+[^№]*?№\s*(\d{2,4}[-‐–]\w{1,5}(?:\s*(?:ЗРК|ҚРЗ))?)", "legal_id", "critical", "law_id"),
-    (r"(?iu)№\s*(\d{2,4}[-‐–][IVXІі]{1,5}(?:\s*(?:ЗРК|ҚРЗ))?)\b", "legal_id", "critical", "law_id"),
-    (r"(?iu)стать[яиею]\s*(\d+(?:[-.]?\d+)?)\s*КоАП", "legal_ref", "critical", "koap_article"),
-    (r"(?iuU)ӘҚБтК\w*\s*(?:-\s*)?(\d+(?:[-.\d]+)?)\s*(?:-|–)?\s*бап", "legal_ref", "critical", "koap_article"),
-    (r"(?iuU)стать[яиеюй]\w?\s+(\d+(?:[-.]?\d+)?)\s+(?:Уголовн\w+\s+кодекс\w*|УК)", "legal_ref", "critical", "uk_article"),
+    (r"(?iuU)№\s*(\d{2,4}[-‐–][IVXivxІі]{1,5}(?:\s*(?:ЗРК|ҚРЗ))?)\b", "legal_id", "critical", "law_id"),
+    (r"(?iuU)стать[яиею]\s*(\d+(?:[-.]?\d+)?)\s*КоАП", "legal_ref", "critical", "koap_article"),
+    (r"(?iuU)ӘҚБтК\w*\s*(?:-\s*)?(\d+(?:[-.\d]+)?)\s*(?:-|–)?\s*" + _KK_ARTICLE, "legal_ref", "critical", "koap_article"),
+    (r"(?iuU)(\d+(?:[-.\d]+)?)\s*(?:-|–)?\s*" + _KK_ARTICLE + r"(?:[^0-9\n]*?)ӘҚБтК", "legal_ref", "critical", "koap_article"),
+    (r"(?iuU)стать[яиеюй]\w?\s+(\d+(?:[-.]?\d+)?)\s+(?:Уголовн\w+\s+[Кк]одекс\w*|УК)", "legal_ref", "critical", "uk_article"),
+    (r"(?iuU)ҚК\w*\s*(?:-\s*)?(\d+(?:[-.\d]+)?)\s*(?:-|–)?\s*" + _KK_ARTICLE, "legal_ref", "critical", "uk_article"),
+    (r"(?iuU)(\d+(?:[-.\d]+)?)\s*(?:-|–)?\s*" + _KK_ARTICLE + r"(?:[^0-9\n]*?)ҚК", "legal_ref", "critical", "uk_article"),
     (r"(?iuU)(?:в\s+)?стать[яиеюй]\w?\s+(\d+(?:[-.]?\d+)?)\b(?!\s*(?:КоАП|ӘҚБтК|УК|ҚК))", "legal_ref", "high", "article_ref"),
-    (r"(?iuU)(\d+(?:[-.\d]+)?)\s*(?:-|–)?\s*(?:бап|бабы|бабында|бапта|баптың|бабының)\b(?!\s*(?:КоАП|ӘҚБтК|УК|ҚК))", "legal_ref", "high", "article_ref"),
-    (r"(?iu)(?:ППРК|Постановлени[яею]\s+Правительства)[^№]*№?\s*(\d+)", "legal_ref", "critical", "pprkz_num"),
-    (r"(?iu)(\d[\d\s]*)\s*(?:\([^)]*\)\s*)?(?:МРП|АЕК)", "financial", "critical", "fine_mrp"),
-    (r"(?iu)(?:МРП|АЕК)[^.]*?(\d[\d\s]+)\s*тенге", "financial", "high", "mrp_value"),
-    (r"(?iu)(?:в\s*течени[ие]|не\s*позднее)\s*(\d+)\s*(?:\([^)]*\)\s*)?час", "temporal", "high", "hours_deadline"),
-    (r"(?iu)в\s*течени[ие]\s*(\d+)\s*рабочих\s*дн", "temporal", "high", "workdays_deadline"),
-    (r"(?iu)(\d+)\s*жұмыс\s*күні\s*ішінде", "temporal", "high", "workdays_deadline"),
+    (r"(?iuU)(\d+(?:[-.\d]+)?)\s*(?:-|–)?\s*" + _KK_ARTICLE + r"\b(?!\s*(?:КоАП|ӘҚБтК|УК|ҚК))", "legal_ref", "high", "article_ref"),
+    (r"(?iuU)(?:ППРК|Постановлени[яею]\s+Правительства)[^№]*№?\s*(\d+)", "legal_ref", "critical", "pprkz_num"),
+    (r"(?iuU)(\d[\d\s]*)\s*(?:\([^)]*\)\s*)?(?:МРП|АЕК)", "financial", "critical", "fine_mrp"),
+    (r"(?iuU)айлық\s+есептік\s+көрсеткіш\w*\s*(?:дегеніміз\s*)?(\d[\d\s]*)\s*(?:\([^)]*\)\s*)?(?:еселенген|еселі|мөлшер)", "financial", "critical", "fine_mrp"),
+    (r"(?iuU)(?:МРП|АЕК)[^.]*?(\d[\d\s]+)\s*тенге", "financial", "high", "mrp_value"),
+    (r"(?iuU)(?:в\s*течени[ие]|не\s*позднее)\s*(\d+)\s*(?:\([^)]*\)\s*)?час", "temporal", "high", "hours_deadline"),
+    (r"(?iuU)в\s*течени[ие]\s*(\d+)\s*рабочих\s*дн", "temporal", "high", "workdays_deadline"),
+    (r"(?iuU)(\d+)\s*жұмыс\s*күні\s*ішінде", "temporal", "high", "workdays_deadline"),
     (r"(?iuU)с\s+(\d{1,2}\s+\w+\s+\d{4})\s*года", "temporal", "high", "effective_date"),
-    (r"(?iu)вводится\s+в\s+действие\s+(.*?(?:дня|после))", "temporal", "high", "enforcement_date"),
-    (r"(?iu)қолданысқа\s+енг[іi]з[іi]лед[іi]\s+(.*?(?:бастап|кейін))", "temporal", "high", "enforcement_date"),
+    (r"(?iuU)вводится\s+в\s+действие\s+(.*?(?:дня|после))", "temporal", "high", "enforcement_date"),
+    (r"(?iuU)қолданысқа\s+енгізіледі\s+(.*?(?:бастап|кейін))", "temporal", "high", "enforcement_date"),
+    (r"(?iuU)қолданысқа\s+енгiзiледi\s+(.*?(?:бастап|кейін))", "temporal", "high", "enforcement_date"),
 )
 
 
@@ -57,25 +63,34 @@ def extract_claims(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def check_entities(claims: DataFrame, docs: DataFrame, known_articles: DataFrame | None = None) -> DataFrame:
     """VRD-01: deterministic_status of claims by reference data; null where only the corpus can tell.
 
-    known_articles: optional (code, article) registry of offence-code articles.
+    known_articles: optional (code, article) registry, one row an article, of the offence (koap) and criminal (uk) codes. A
+    known article of the offence code is confirmed, an unknown one unverified; a known one of the criminal code is unverified.
     """
     rows = claims.join(docs.select("doc_id", F.coalesce(F.try_element_at(F.regexp_extract_all("text", F.lit(r"\b(202[0-9])\b"), F.lit(1)), F.lit(-1)).cast("int"), F.lit(2025)).alias("year")), "doc_id", "left")
     mrp = F.create_map(*[F.lit(x) for pair in dims.MRP_BY_YEAR.items() for x in pair])
-    value, entity = F.regexp_replace("entity", r"\D", "").try_cast("long"), F.regexp_replace(F.upper("entity"), r"ЗРК|ҚРЗ|\s", "")
+    value, entity = F.regexp_replace("entity", r"\s", "").try_cast("long"), F.btrim(F.regexp_replace(F.upper("entity"), r"ЗРК|\s", ""), F.lit("-"))
     state = F.when((F.col("tag") == "law_id") & entity.isin(*dims.INVALID_LAWS), "CONTRADICTED")
+    state = state.when((F.col("tag") == "pprkz_num") & entity.isin(*dims.INVALID_DECREES), "CONTRADICTED")
     state = state.when((F.col("tag") == "mrp_value") & (value == mrp[F.col("year")]), "CONFIRMED")
     state = state.when((F.col("tag") == "mrp_value") & value.isNotNull() & ~value.isin(*dims.MRP_BY_YEAR.values()) & mrp[F.col("year")].isNotNull(), "CONTRADICTED")
     state = state.when((F.col("tag") == "fine_mrp") & (value > dims.MAX_FINE_MRP) & F.col("quote").rlike(r"(?iuU)ст\.?\s*79\b|перс\w*\s+данны"), "CONTRADICTED")
     if known_articles is not None:
-        rows = rows.join(F.broadcast(known_articles.where("code = 'koap'").select(F.col("article").alias("entity"), F.lit(True).alias("_known"))), "entity", "left")
+        known = known_articles.select(F.concat(F.col("code"), F.lit("_article")).alias("tag"), F.upper("article").alias("_entity"), F.lit(True).alias("_known")).distinct()
+        rows = rows.withColumn("_entity", F.upper("entity")).join(known, ["tag", "_entity"], "left")
         state = state.when(F.col("tag") == "koap_article", F.when(F.col("_known"), "CONFIRMED").otherwise("UNVERIFIED"))
-    return rows.withColumn("deterministic_status", state).drop("year", "_known")
+        state = state.when((F.col("tag") == "uk_article") & F.col("_known"), "UNVERIFIED")
+    return rows.withColumn("deterministic_status", state).drop("year", "_known", "_entity")
 
 
 META = (r"(?iu)документ\s+является\s+(?:проектом\s+)?закон", r"(?iu)документ\s+представляет\s+собой", r"(?iuU)это\s+(?:проект\s+)?закон\w*\s+о\s+внесении", r"(?iu)настоящий\s+(?:проект\s+)?закон", r"(?iu)осы\s+заң", r"(?iu)законопроект\s+(?:вносит|направлен|посвящен)")
 COMMENCEMENT = ("вводится в действие", "вступает в силу", "вступлении в силу", "по истечении шести месяцев со дня", "по истечении десяти календарных дней", "по истечении одного года со дня", "қолданысқа енгізіледі", "қолданысқа енгiзiледi", "жарияланған күнінен бастап", "алғашқы ресми жарияланған")
 AMENDMENT_VERBS = ("дополнить", "исключить", "изложить", "после слов", "словами", "точку заменить", "толықтырылсын", "алып тасталсын", "ауыстырылсын", "сөздерінен кейін")
-MODAL_VERBS = ("обязан", "должен", "запрещается", "вправе", "не допускается", "влечет", "міндетті", "тиіс", "тыйым салынады", "құқылы")
+#: FLT-03, fixed list.
+MODAL_VERBS = (
+    "обязан", "должен", "запрещается", "влечет", "устанавливается", "предусмотрено", "установлено", "нарушение", "ответственность", "штраф",
+    "вводится", "приостанавливается", "прекращается", "возобновляется", "подлежит", "является", "несет", "вправе", "может", "должны",
+    "міндетті", "тиіс", "салынады", "әкеп", "соғады", "белгіленеді", "айқындалады", "көзделген", "жауаптылық", "айыппұл", "тоқтатылады", "құқылы", "болады",
+)
 UNITS = r"(?iu)\b\d+[\s\xa0]*(?:мрп|аек|мзп|тәм|тенге|теңге|часов?|сағат|дней?|күн|күні|месяц|ай|лет|жыл|процент|пайыз|%)"
 STRUCTURAL = ("присутствует", "существует", "указано в документе", "содержится в", "в документе упоминается", "статья изложена", "внести изменения в", "изложить в редакции")
 

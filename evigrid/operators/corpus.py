@@ -60,23 +60,49 @@ def heal_unknown(chunks: DataFrame, signatures: dict[str, str]) -> DataFrame:
     return chunks.withColumn("healed", unknown & found.isNotNull()).withColumn("law_id", F.when(unknown, F.coalesce(found, "law_id")).otherwise(F.col("law_id")))
 
 
-def heal_rank(title: Column, rank: Column) -> Column:
-    """SCA-20/21: rank from a title: constitution 3, code 2, law 4, else as it was."""
+def heal_rank(title: Column, rank: Column, law_id: Column | None = None) -> Column:
+    """SCA-20: rank from the registry title: constitution 3, code or the offence code 2, else as it was."""
     low = F.lower(F.coalesce(title, F.lit("")))
-    return F.when(low.contains("конституц"), 3).when(low.contains("кодекс"), 2).when(low.contains("закон"), 4).otherwise(rank)
-
-
-def rank_score(tier: Column, title: Column, content: Column) -> Column:
-    """SCA-21: struct(rank, confidence, points) by several signals."""
-    both = F.concat_ws(" ", title, content)
-    false_code = both.rlike(r"(?iuU)\b(?:этическ\w*|поведени\w*|корпоративн\w*)\s+кодекс")
-    strict = both.rlike(r"(?iuU)\b(?:Гражданск\w*|Налогов\w*|Уголовн\w*|Трудов\w*|Экологическ\w*|Бюджетн\w*|Предпринимательск\w*|Административн\w*)\s+кодекс") & ~false_code
+    code = low.contains("кодекс")
+    if law_id is not None:
+        code = code | F.coalesce(canonical(law_id) == dims.OFFENCE_CODE, F.lit(False))
+    return F.when(low.contains("конституц"), 3).when(code, 2).otherwise(rank)
+
+
+#: SCA-21, fixed patterns and the ranks of document prefixes and tiers.
+FALSE_CODE = r"(?iuU)\b(?:этическ\w*|поведени\w*|корпоративн\w*)\s+кодекс"
+STRICT_CODE = r"(?iuU)\b(?:Гражданск\w*|Налогов\w*|Уголовн\w*|Трудов\w*|Экологическ\w*|Бюджетн\w*|Предпринимательск\w*|Административн\w*)\s+кодекс"
+REPUBLIC_CODE = r"(?iu)Кодекс\s+Республики\s+Казахстан"
+ARTICLE_REFERENCE = r"(?iuU)\b(?:Статья\s+\d+|ст\.\s*\d+|бап\s+\d+)"
+OFFICIAL_MARKER = r"(?iuU)\b(?:закон\s+РК|Республики\s+Казахстан|о\s+внесении\s+изменений)\b"
+PREFIX_RANK = {"k": 2, "z": 4, "p": 6, "u": 6, "v": 7}
+TIER_RANK = {"TIER_1": 7, "TIER_2": 10, "TIER_3": 11, "BLACKLIST": 11}
+
+
+def rank_score(tier: Column, title: Column, content: Column, url: Column) -> Column:
+    """SCA-21: struct(rank, confidence, points): blacklist, then the document prefix of the primary source's address, then points."""
+    both = F.concat(F.coalesce(title, F.lit("")), F.lit(" \n "), F.coalesce(content, F.lit("")))
+    host = F.coalesce(T.host(url), F.lit(""))
+    official = (tier == "TIER_1") | F.exists(F.array(*[F.lit(d) for d in dims.TIER_1]), lambda d: (host == d) | F.endswith(host, F.concat(F.lit("."), d)))
+    strict, false = both.rlike(STRICT_CODE) | both.rlike(REPUBLIC_CODE), both.rlike(FALSE_CODE)
     points = (
-        F.when(tier == "TIER_1", 3).otherwise(0) + F.when(strict, 4).otherwise(0) + F.when(both.rlike(r"(?iu)Кодекс\s+Республики\s+Казахстан") & ~false_code, 1).otherwise(0)
-        + F.when(both.rlike(r"(?iu)\b(?:Статья\s+\d+|ст\.\s*\d+|бап\s+\d+)"), 2).otherwise(0) + F.when(both.rlike(r"(?iu)\b(?:закон\s+РК|Республики\s+Казахстан|о\s+внесении\s+изменений)\b"), 1).otherwise(0)
+        F.when(official, 3).otherwise(0) + F.when(strict & ~false, 4).when(F.contains(F.lower(both), F.lit("кодекс")) & ~false, 1).otherwise(0)
+        + F.when(both.rlike(ARTICLE_REFERENCE), 2).otherwise(0) + F.when(both.rlike(OFFICIAL_MARKER), 1).otherwise(0)
     )
-    rank = F.when((points >= 6) & strict, 2).when(points >= 4, 4).otherwise(11)
-    return F.struct(rank.alias("rank"), F.least(F.lit(1.0), 0.5 + points * 0.05).alias("confidence"), points.alias("points"))
+    path = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
+    prefix = F.when(host.contains("adilet.zan.kz"), F.regexp_extract(path, r"/docs/([kzvpu])\d", 1))
+    by_prefix, by_tier = (F.create_map(*[F.lit(x) for kv in m.items() for x in kv]) for m in (PREFIX_RANK, TIER_RANK))
+
+    def found(rank: Column, confidence: Column, n: Column) -> Column:
+        return F.struct(rank.cast("int").alias("rank"), confidence.cast("double").alias("confidence"), n.cast("int").alias("points"))
+
+    return (
+        F.when(tier == "BLACKLIST", found(F.lit(11), F.lit(1.0), F.lit(0)))
+        .when(F.coalesce(prefix, F.lit("")) != "", found(by_prefix[prefix], F.lit(1.0), F.lit(0)))
+        .when(points >= 6, found(F.lit(2), F.least(F.lit(1.0), 0.5 + 0.05 * points), points))
+        .when(points >= 4, found(F.lit(4), F.least(F.lit(0.9), 0.4 + 0.05 * points), points))
+        .otherwise(found(by_tier[tier], F.lit(0.5), points))
+    )
 
 
 def canonical(law: Column) -> Column:

@@ -74,9 +74,10 @@ def doc_normalise(spark, d):
     return docs.select("doc_id", T.content_id(F.coalesce(normal, F.lit(""))).alias("content_id"), F.length("text").cast("long").alias("char_count"), T.word_count(F.col("text")).cast("long").alias("word_count"))
 
 
-@query(r"""WITH t AS (SELECT doc_id, text, substr(text, 1, 1000) AS h FROM documents),
-c AS (SELECT doc_id, text, len(regexp_extract_all(h, '[а-яА-ЯёЁ]')) AS cy, len(regexp_extract_all(h, '[a-zA-Z]')) AS la FROM t)
-SELECT doc_id, CASE WHEN regexp_matches(substr(text, 1, 3000), '[әғқңөұүһіӘҒҚҢӨҰҮҺІ]') THEN 'kk' WHEN cy > 2 * la THEN 'ru' WHEN la > 2 * cy THEN 'en' ELSE 'mixed' END AS language FROM c""")
+@query(rf"""WITH t AS (SELECT doc_id, text, substr(text, 1, 500) AS h, lower(substr(text, 1, 1000)) AS s FROM documents),
+c AS (SELECT doc_id, text, s, len(regexp_extract_all(h, '[\x{{0400}}-\x{{04ff}}]')) AS cy, len(regexp_extract_all(h, '[a-zA-ZáñóúığşýÁÑÓÚĞŞÝ]')) AS la FROM t)
+SELECT doc_id, CASE WHEN regexp_matches(substr(text, 1, 3000), '[әғқңөұүһіӘҒҚҢӨҰҮҺІ]') THEN 'kk' WHEN cy > 2 * la THEN 'ru'
+WHEN la > 2 * cy THEN CASE WHEN regexp_matches(s, '[áñóúığşý]') OR list_has_any(string_split_regex(s, '\s+'), {list(T.dims.KAZAKH_LATIN_WORDS)}) THEN 'kk' ELSE 'en' END ELSE 'mixed' END AS language FROM c""")
 def language_heuristic(spark, d):
     """SCA-02."""
     return table(spark, d, "documents").select("doc_id", T.language(F.col("text")).alias("language"))
@@ -93,7 +94,7 @@ def tokenize_simple(spark, d):
 def tokenize_morph(spark, d):
     """SCA-07 on conversations; suffix rules are tested on a fixture."""
     rows = table(spark, d, "conversations").select("conv_id", "turn", T.morph_tokens(F.col("text")).alias("ts"))
-    return rows.select("conv_id", "turn", F.size("ts").cast("long").alias("n_tokens"), F.array_join(F.slice("ts", 1, 8), " ").alias("first_tokens"))
+    return rows.select("conv_id", "turn", F.size("ts").cast("long").alias("n_tokens"), F.md5(F.array_join("ts", " ").cast("binary")).alias("tokens_md5"))
 
 
 @query(r"""WITH x AS (SELECT doc_id, regexp_extract_all(text, '(\d+(?:[.,]\d+)?)\s*([\p{L}%]+)', 1) AS v, regexp_extract_all(text, '(\d+(?:[.,]\d+)?)\s*([\p{L}%]+)', 2) AS u FROM documents),
@@ -146,27 +147,27 @@ def llm_windows(spark, d):
     return out.select("doc_id", F.col("k").cast("long").alias("k"), F.length("content").cast("long").alias("n_chars"))
 
 
-@query()
-def adaptive_chunks(spark, d):
-    """SCA-25: greedy packing of clauses, here of pages' text; tested on a fixture."""
-    out = ingest.adaptive_chunks(table(spark, d, "documents"))
-    return out.select("doc_id", "k", "chunk_name", F.length("content").cast("long").alias("n_chars"))
-
-
-@query(r"""SELECT conv_id, turn, list_sort(list_distinct(regexp_extract_all(text, '\d+')))::VARCHAR AS protected,
- len(list_filter(list_distinct(regexp_extract_all(text, '\d+')), lambda x: NOT contains(upper(text), x))) = 0 AS preserved FROM conversations""")
+@query(r"""WITH p AS (SELECT conv_id, turn, upper(text) AS o, list_distinct(list_transform(flatten([regexp_extract_all(text, '\b\d{1,4}-[IVXLCDM]{1,7}\b'), regexp_extract_all(text, '\b[A-Z]\d{6,}[A-Z]?\b'), regexp_extract_all(text, '\d+(?:[.,]\d+)?\s*%'),
+ regexp_extract_all(text, '\b\d{1,2}\.\d{1,2}\.\d{4}\b'), regexp_extract_all(text, 'https?://\S+'), regexp_extract_all(text, '\[[А-ЯЁA-Z][А-ЯЁA-Z \-]{2,}\]')]), lambda x: regexp_replace(trim(x), '\s+', ' ', 'g'))) AS t
+ FROM (SELECT conv_id, turn, text || ' https://e.kz/' || turn || ' 5 % ' AS text FROM conversations WHERE turn % 2 = 0 UNION ALL SELECT conv_id, turn, text || ' 7% [NOT PROVED]' FROM conversations WHERE turn % 2 = 1))
+SELECT conv_id, turn, len(t) AS n_tokens, regexp_matches(o, '\S') AND len(list_filter(t, lambda x: NOT contains(regexp_replace(o, '\s+', ' ', 'g'), x))) = 0 AS preserved FROM p""")
 def token_preservation(spark, d):
-    """FLT-13 with numbers as protected tokens."""
-    rows = table(spark, d, "conversations")
-    numbers = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\d+"), F.lit(0))))
-    return rows.select("conv_id", "turn", F.concat(F.lit("["), F.array_join(numbers, ", "), F.lit("]")).alias("protected"), F.forall(numbers, lambda n: F.contains(F.upper("text"), n)).alias("preserved"))
+    """FLT-13: upper case as the translation, which loses links and keeps percentages and tags."""
+    added = F.when(F.col("turn") % 2 == 0, F.concat(F.lit(" https://e.kz/"), "turn", F.lit(" 5 % "))).otherwise(" 7% [NOT PROVED]")
+    rows = table(spark, d, "conversations").withColumn("t", F.concat("text", added))
+    return rows.select("conv_id", "turn", F.size(T.protected_tokens(F.col("t"))).cast("long").alias("n_tokens"), T.preserved(F.col("t"), F.upper("t")).alias("preserved"))
 
 
-@query()
+@query(r"""WITH a AS (SELECT conv_id, turn, text || ' вывод (S1, S2), источник S3: норма (S4, ст. 5) и (п. 1, S6) в редакции S7, S8 .  Bare S1' AS t FROM conversations),
+b AS (SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(t, '\(\s*S\d+(?:\s*,\s*S\d+)*\s*\)', '', 'g'), '(\()\s*S\d+(?:\s*,\s*S\d+)*\s*,\s*', '\1', 'g'), '\s*,\s*S\d+(?:\s*,\s*S\d+)*\s*(\))', '\1', 'g') AS t FROM a),
+c AS (SELECT conv_id, turn, regexp_replace(regexp_replace(t, '(?i),?\s*источник[аи]?\s+S\d+(?:\s*,\s*S\d+)*\s*:?', '', 'g'), '(?i),?\s*в\s+ред(?:акции|\.)?\s+S\d+(?:\s*,\s*S\d+)*', '', 'g') AS t FROM b),
+e AS (SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\(\s*[;:,]\s*', '(', 'g'), '\(\s*\)', '', 'g'), '\s{2,}', ' ', 'g'), '\s+([.,;:)])', '\1', 'g') AS t FROM c)
+SELECT conv_id, turn, md5(trim(t, ' ' || chr(9) || chr(10) || chr(13))) AS cleaned_md5 FROM e""")
 def label_clean(spark, d):
-    """SCA-28 on conversations with labels added."""
+    """SCA-28 on whole texts with labels added."""
+    added = F.lit(" вывод (S1, S2), источник S3: норма (S4, ст. 5) и (п. 1, S6) в редакции S7, S8 .  Bare S1")
     rows = table(spark, d, "conversations")
-    return rows.select("conv_id", "turn", T.clean_labels(F.concat(F.substring("text", 1, 40), F.lit(" [S1, S2] (S3) ."))).alias("cleaned"))
+    return rows.select("conv_id", "turn", F.md5(T.clean_labels(F.concat("text", added)).cast("binary")).alias("cleaned_md5"))
 
 
 @query(r"""WITH t AS (SELECT item_id, text, regexp_extract(text, '([A-Z])', 1) AS a FROM benchmark) SELECT item_id, (item_id % 100)::DOUBLE / 100 AS score,
@@ -175,8 +176,7 @@ def label_clean(spark, d):
 def score_bands(spark, d):
     """SCA-31."""
     score = (F.col("item_id") % 100).cast("double") / 100
-    bar = F.concat(F.rpad(F.lit(""), ((F.col("item_id") % 100) / 10).cast("int"), "█"), F.rpad(F.lit(""), 10 - ((F.col("item_id") % 100) / 10).cast("int"), "░"))
-    return table(spark, d, "benchmark").select("item_id", score.alias("score"), T.traffic_light(score).alias("light"), bar.alias("bar"))
+    return table(spark, d, "benchmark").select("item_id", score.alias("score"), T.traffic_light(score).alias("light"), T.score_bar(score).alias("bar"))
 
 
 # --- filters and classifiers ------------------------------------------------------------------------------------------
@@ -191,15 +191,6 @@ def spam_filter(spark, d):
     return table(spark, d, "pages").select("page_id", fusion.is_spam(F.col("url"), content, null, null, 600, r"(?i)cookie|subscribe", r"(?i)tion\b", ("?page=",), ("example.org",)).alias("is_spam"))
 
 
-@query(r"""SELECT doc_id, CASE WHEN contains(lower(text), 'commence') THEN true WHEN contains(lower(text), 'amend') THEN false WHEN regexp_matches(lower(text), '\b\d+\s*(?:days|hours|%)') THEN false
- WHEN doc_id % 4 = 0 THEN false WHEN doc_id % 4 = 1 THEN true ELSE contains(lower(text), 'the') END AS is_structural FROM documents""")
-def ordered_cascade(spark, d):
-    """FLT-03, FLT-04 as an ordered cascade on the tables' words; the real rules are tested on fixtures."""
-    low = F.lower("text")
-    rule = F.when(low.contains("commence"), True).when(low.contains("amend"), False).when(low.rlike(r"\b\d+\s*(?:days|hours|%)"), False).when(F.col("doc_id") % 4 == 0, False).when(F.col("doc_id") % 4 == 1, True).otherwise(low.contains("the"))
-    return table(spark, d, "documents").select("doc_id", rule.alias("is_structural"))
-
-
 @query()
 def structural_claims(spark, d):
     """FLT-02, FLT-03 with their real patterns."""
@@ -699,7 +690,7 @@ def conflict_records(spark, d):
 
 
 @query("""WITH r AS (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 'CONTRADICTED' WHEN 'view' THEN 'CONFIRMED' ELSE 'UNVERIFIED' END AS status, event_id % 7 AS c FROM events),
-f AS (SELECT *, row_number() OVER (PARTITION BY user_id, c ORDER BY event_id) AS n FROM r WHERE c < 5) SELECT user_id, 'c' || c AS claim_id, status, CASE WHEN event_id % 2 = 0 THEN 'S1' ELSE 'UNLINKED' END AS source_ids FROM f WHERE n = 1""")
+f AS (SELECT *, row_number() OVER (PARTITION BY user_id, c ORDER BY event_id) AS n FROM r WHERE c < 5) SELECT user_id, 'c' || c AS claim_id, status, CASE WHEN event_id % 2 = 0 THEN 'S1' ELSE '' END AS source_ids FROM f WHERE n = 1""")
 def parse_verdicts(spark, d):
     """VRD-02, DED-09: JSON answers, the first for each known claim."""
     e = table(spark, d, "events")
@@ -745,10 +736,10 @@ def deadline_collisions(spark, d):
     return claims.collisions(table(spark, d, "lineitem").withColumn("value", F.col("l_quantity").cast("int")), ["l_orderkey", "l_returnflag"])
 
 
-@query()
+@query("SELECT doc_id, 'claim_0000' AS claim_id, 'fine_mrp' AS tag, '500' AS entity, NULL::VARCHAR AS deterministic_status FROM documents UNION ALL SELECT doc_id, 'claim_0001', 'law_id', '87-IV', 'CONTRADICTED' FROM documents")
 def extract_claims(spark, d):
-    """SCA-08, VRD-01 over documents; tested on fixtures."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    """SCA-08, VRD-01 over whole texts after two made lines; the texts hold no Cyrillic of their own."""
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("влечет штраф в размере 500 МРП\nпо № 87-IV\n"), F.coalesce("text", F.lit(""))).alias("text"))
     return claims.check_entities(claims.extract_claims(docs), docs).select("doc_id", "claim_id", "tag", "entity", "deterministic_status")
 
 

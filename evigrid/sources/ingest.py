@@ -140,12 +140,12 @@ def sliding_chunks(docs: DataFrame, size: int = 4000, overlap: int = 200, early_
 def adaptive_chunks(docs: DataFrame, limit: int = 4000, carry: int = 200, id_col: str = "doc_id", text_col: str = "text", article_col: str | None = None) -> DataFrame:
     """SCA-25: texts over the limit are split before numbered clauses, which fill chunks greedily; each next chunk starts with
     the last `carry` characters of the one before. A text without clauses gets sliding windows."""
-    parts = F.split(text_col, r"(?=\n\d+[.)])")
+    parts = F.split(text_col, r"\n(?=\d+[.)])")
+    bare = lambda x: F.btrim(x, F.lit(" \t\n\r\x0b\x0c"))
     # the fold carries the finished chunks and the open one; a chunk may exceed the limit by what it carries over
     fold = F.aggregate(
         parts, F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open")),
-        lambda acc, p: F.when(acc["open"] == "", F.struct(acc["done"].alias("done"), p.alias("open")))
-        .when(F.length(acc["open"]) + F.length(p) <= limit, F.struct(acc["done"].alias("done"), F.concat(acc["open"], p).alias("open")))
+        lambda acc, p: F.when((acc["open"] == "") | (F.length(acc["open"]) + F.length(p) <= limit), F.struct(acc["done"].alias("done"), bare(F.concat(acc["open"], F.lit("\n"), p)).alias("open")))
         .otherwise(F.struct(F.array_append(acc["done"], acc["open"]).alias("done"), F.concat(F.right(acc["open"], F.lit(carry)), F.lit("\n"), p).alias("open"))),
         lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])),
     )

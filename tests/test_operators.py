@@ -332,9 +332,9 @@ def test_event_stream(spark, tmp_path):
 def test_report(spark, tmp_path):
     summary = spark.createDataFrame([(1, 3, 1, 1, 1, 0.58, "Проверить"), (2, 0, 0, 0, 0, None, None)], "a int, total int, confirmed int, contradicted int, unverified int, reliability double, recommendation string")
     conflicts = spark.createDataFrame([(1, "conflict_0000", "FACTUAL", "текст")], "a int, record_id string, conflict_type string, claim_text string")
-    facts = spark.createDataFrame([(1, "f2", "claim_0002", "Два [S1]", "HIGH"), (1, "f1", "claim_0001", "Один", "LOW"), (1, "f3", "claim_0003", "один", "LOW")], "a int, fact_id string, claim_id string, claim string, validation_status string")
+    facts = spark.createDataFrame([(1, "f2", "claim_0002", "Два (S1)", "HIGH"), (1, "f1", "claim_0001", "Один", "LOW"), (1, "f3", "claim_0003", "один", "LOW")], "a int, fact_id string, claim_id string, claim string, validation_status string")
     out = {r["a"]: r["markdown"] for r in report.render_report(summary, conflicts, facts, "a").collect()}
-    assert "57% █████░░░░░" in out[1] and out[1].index("Один") < out[1].index("Два") and "[S1]" not in out[1] and "один" not in out[1]
+    assert "57% █████░░░░░" in out[1] and out[1].index("Один") < out[1].index("Два") and "(S1)" not in out[1] and "один" not in out[1]
     assert "N/A" in out[2] and "Конфликты" not in out[2]
     report.write_reports(report.render_report(summary, conflicts, facts, "a"), "a", str(tmp_path / "r"))
     assert len(spark.read.text(str(tmp_path / "r"), wholetext=True).collect()) == 2

@@ -68,14 +68,27 @@ def test_repairs(spark):
 
 
 def test_labels_and_fences(spark):
-    assert value(spark, T.clean_labels(F.col("t")), t="Факт подтверждён [S1, S2] (S3).") == "Факт подтверждён."
+    for text, want in (
+        ("Факт подтверждён (S5, S6).", "Факт подтверждён."), ("норма (S4, ст. 5) действует", "норма (ст. 5) действует"), ("норма (ст. 5, S6)", "норма (ст. 5)"),
+        ("Вывод, источник S3: верен", "Вывод верен"), ("ст. 1 в редакции S5, S6 .", "ст. 1."), ("( ; п. 2) и ()", "(п. 2) и"), ("Bare S1 stays", "Bare S1 stays"),
+    ):
+        assert value(spark, T.clean_labels(F.col("t")), t=text) == want
     assert value(spark, T.strip_fences(F.col("t")), t='```json\n{"a": 1}\n```') == '{"a": 1}'
     assert value(spark, T.strip_fences(F.col("t")), t="plain") == "plain"
 
 
 def test_preserved(spark):
-    assert value(spark, T.preserved(F.col("a"), F.col("b")), a="№ 94-V, 24 часа", b="94-V: 24 сағат; № 94-V") is True
-    assert value(spark, T.preserved(F.col("a"), F.col("b")), a="24 часа", b="25 сағат") is False
+    source = "[ПОДТВЕРЖДЕНО] ст.  14 закона 94-V, 92 %, 15.06.2026, K1400000226, https://adilet.zan.kz/x"
+    assert value(spark, T.preserved(F.col("a"), F.col("b")), a=source, b="94-V ст. 14 [ПОДТВЕРЖДЕНО] 92  % 15.06.2026 K1400000226 https://adilet.zan.kz/x") is True
+    for lost in ("94-V", "ст.  14", "92 %", "15.06.2026", "K1400000226", "[ПОДТВЕРЖДЕНО]", "https://adilet.zan.kz/x"):
+        assert value(spark, T.preserved(F.col("a"), F.col("b")), a=source, b=source.replace(lost, "")) is False
+    assert value(spark, T.preserved(F.col("a"), F.col("b")), a="без улик", b="перевод") is True
+    assert value(spark, T.preserved(F.col("a"), F.col("b")), a="без улик", b=" ") is False
+
+
+@pytest.mark.parametrize(("text", "language"), [("Qazaqstan Respublikasy turaly memleket", "kk"), ("jáne", "kk"), ("The house of the dog", "en"), ("Закон о связи", "ru"), ("Заң туралы қаулы", "kk"), ("дом house", "mixed"), ("a" * 400 + "я" * 600, "en")])
+def test_language_rules(spark, text, language):
+    assert value(spark, T.language(F.col("t")), t=text) == language
 
 
 def test_units_and_scores(spark):
