@@ -103,7 +103,7 @@ def mix_sources(
     shards = rows.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"), F.first("block_tokens").alias("block"))
     shards = sainte_lague(shards, ["source"], ["shard"], "shard_size", "source_quota")
     shards = _selected_runs(shards.select("source", "shard", "shard_size", "quota", "block"), most, seed)
-    rows = _null_safe(rows, shards.drop("block"), ["source", "shard"])
+    rows = _null_safe(rows, shards.drop("block").hint("merge"), ["source", "shard"])  # the runs of all shards are too large to broadcast
     order = Window.partitionBy("source", "shard").orderBy("place", "doc_id", "text_md5").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("end", F.sum("size").over(order)).withColumn("start", F.col("end") - F.col("size"))
 

@@ -16,7 +16,7 @@ from .ngram_join import ngram_jaccard_join
 from .packing import pack_by_retrieval
 from .sharding import shard_by_ring
 from .substring_dedup import substring_dedup
-from .toxicity import ToxicModel, fit_toxicity, labelled_sample, score_toxicity
+from .toxicity import ToxicModel, fit_on_rows, labelled_rows, score_toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,8 +29,7 @@ def held_out() -> F.Column:
 
 def toxic_model(spark: SparkSession, sf_dir: str) -> ToxicModel:
     """Learned from at most 3000 labelled documents of either label, none of the held-out fold."""
-    texts, labels, prior = labelled_sample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return fit_toxicity(texts, labels, prior)
+    return fit_on_rows(*labelled_rows(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def tokenizer_files() -> dict[str, str]:

@@ -192,23 +192,33 @@ class Scorer:
         return score, hits
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[str], list[int], float | None]:
-    """At most `most` whole texts of either label, by hash of the id, leaving out ids whose crc32 modulo 4 is 2.
+def labelled_rows(docs: DataFrame, labels: DataFrame, most: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[DataFrame, float | None]:
+    """At most `most` whole texts of either label, (id, text, label), by hash of the id, leaving out ids whose crc32 modulo 4 is 2;
+    and the share of label 1 among all labels that may be learned from (null without labels).
 
-    Returns texts, labels and the share of label 1 among all labels that may be learned from.
     Null ids, texts and labels are left out; ids with more than one label count with each.
     """
-    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_t")).where(F.col("_t").isNotNull())
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label"))
     known = known.where(F.pmod(F.crc32(F.col("_id").cast("string").cast("binary")), F.lit(4)) != 2).distinct()
-    counts = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     prior = counts.get(1, 0) / sum(counts.values()) if counts else None
-    rows = []
-    for y in (0, 1):
-        chosen = known.where((F.col("_y") == y) & hashed_share("_id", most, counts.get(y, 0))).orderBy(F.xxhash64("_id"), "_id").limit(most)
-        rows += texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_id", "_t", "_y").collect()
-    rows.sort(key=lambda r: (str(r["_id"])[::-1], r["_t"], r["_y"]))
-    return [r["_t"] for r in rows], [r["_y"] for r in rows], prior
+    chosen = [known.where((F.col("label") == y) & hashed_share("_id", most, counts.get(y, 0))).orderBy(F.xxhash64("_id"), "_id").limit(most) for y in (0, 1)]
+    return texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), F.col("id") == F.col("_id")).select("id", "text", "label"), prior
+
+
+def fit_on_rows(rows: DataFrame, prior: float | None) -> ToxicModel:
+    """fit_toxicity in one task over a bounded sample (id, text, label); the driver gets the model alone."""
+
+    def fit(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        order = sorted(zip(table["id"].to_pylist(), table["text"].to_pylist(), table["label"].to_pylist(), strict=True), key=lambda r: (str(r[0])[::-1], r[1], r[2]))
+        m = fit_toxicity([r[1] for r in order], [r[2] for r in order], prior)
+        return pa.table({"ordinary": [m.ordinary], "toxic": [m.toxic], "words": pa.array([m.words], pa.int32()), "weights": pa.array([list(m.weights)], pa.list_(pa.float64()))})
+
+    model = rows.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(fit, "ordinary binary, toxic binary, words int, weights array<double>").first()
+    if model is None:  # no labelled text
+        return fit_toxicity([], [], prior)
+    return ToxicModel(bytes(model["ordinary"]), bytes(model["toxic"]), model["words"], tuple(model["weights"]))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:

@@ -15,7 +15,7 @@ from evigrid.llm.packing import pack_by_retrieval
 from evigrid.llm.queries import tokenizer_files
 from evigrid.llm.sharding import shard_by_ring
 from evigrid.llm.substring_dedup import substring_dedup
-from evigrid.llm.toxicity import Scorer, _spread_windows, drop_toxic, fit_toxicity, labelled_sample, score_toxicity
+from evigrid.llm.toxicity import Scorer, _spread_windows, drop_toxic, fit_on_rows, fit_toxicity, labelled_rows, score_toxicity
 
 LONG = " ".join(f"w{i % 977}" for i in range(60_000))
 ROWS = [
@@ -61,9 +61,9 @@ def test_filters_keep_the_columns(docs, stage):
 @pytest.mark.parametrize("labels", [[], [(1, None), (None, 1), (99, 1)], [(1, 1), (6, 1)], [(1, 0), (1, 1), (4, 0)]])
 def test_models_of_few_labels(docs, spark, labels):
     known = spark.createDataFrame(labels, "doc_id long, toxic int")
-    texts, y, prior = labelled_sample(docs, known)
-    assert len(texts) == len(y) and (prior is None or 0 <= prior <= 1)
-    out = score_toxicity(docs, fit_toxicity(texts, y, prior)).collect()
+    rows, prior = labelled_rows(docs, known)
+    assert rows.columns == ["id", "text", "label"] and (prior is None or 0 <= prior <= 1)
+    out = score_toxicity(docs, fit_on_rows(rows, prior)).collect()
     assert all(0 <= r["score"] <= 1 for r in out)
     sample = language_sample(docs)
     out = label_languages(docs, fit_crf(*sample, steps=2)).collect()
