@@ -73,8 +73,8 @@ def tokens(text: Column, stop_words: list[str] = dims.STOP_WORDS, least: int = 3
     """SCA-06: lower-case words of at least `least` characters that aren't stop words; punctuation but the hyphen splits."""
     cleaned = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s\-]", " ")
     words = F.filter(F.split(cleaned, r"\s+"), lambda t: F.length(t) >= least)
-    stop = F.array(*[F.lit(w) for w in stop_words])
-    return F.coalesce(F.filter(words, lambda t: ~F.array_contains(stop, t)), F.array().cast("array<string>"))
+    kept = F.filter(words, lambda t: ~t.isin(*stop_words)) if stop_words else words  # a set of literals: one lookup a word
+    return F.coalesce(kept, F.array().cast("array<string>"))
 
 
 def stem(word: Column) -> Column:
@@ -86,16 +86,14 @@ def stem(word: Column) -> Column:
 def morph_tokens(text: Column) -> Column:
     """SCA-07: legal stop words go before stemming; a text of stop words alone keeps them."""
     words = tokens(text, [])
-    stop = F.array(*[F.lit(w) for w in dims.LEGAL_STOP_WORDS])
-    kept = F.filter(words, lambda t: ~F.array_contains(stop, t))
+    kept = F.filter(words, lambda t: ~t.isin(*dims.LEGAL_STOP_WORDS))
     return F.transform(F.when(F.size(kept) > 0, kept).otherwise(words), stem)
 
 
 def normalise_claim(text: Column) -> Column:
     """SCA-16: lower case without punctuation, stop words and words of up to 2 characters."""
     bare = F.translate(F.lower(text), "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»—– ", "")
-    stop = F.array(*[F.lit(w) for w in dims.STOP_WORDS])
-    return F.array_join(F.filter(F.split(bare, r"\s+"), lambda t: (F.length(t) > 2) & ~F.array_contains(stop, t)), " ")
+    return F.array_join(F.filter(F.split(bare, r"\s+"), lambda t: (F.length(t) > 2) & ~t.isin(*dims.STOP_WORDS)), " ")
 
 
 FUSION_NUMBER = r"(?iuU)\b(\d[\d\s]{0,4}(?:[.,]\d{1,3})?)\s*(%|млн\.?|млрд\.?|тыс\.?|тг\.?|kzt|мрп|мзп|лет|месяц\w*|дн\w*|час\w*)\b"

@@ -220,8 +220,7 @@ ABSENCE = r"(?iu)отсутств|не\s+найден|не\s+содерж|нет
 def stems(text: Column) -> Column:
     """VRD-04: first 5 characters of words of 4 or more that aren't stop words, each once."""
     words = F.split(F.replace(F.lower(text), F.lit("ё"), F.lit("е")), r"[^\p{L}\p{N}_]+")
-    stop = F.array(*[F.lit(w) for w in dims.STOP_WORDS])
-    return F.array_distinct(F.transform(F.filter(words, lambda w: (F.length(w) >= 4) & ~F.array_contains(stop, w) & ~w.rlike(r"^\d+$")), lambda w: F.substring(w, 1, 5)))
+    return F.array_distinct(F.transform(F.filter(words, lambda w: (F.length(w) >= 4) & ~w.isin(*dims.STOP_WORDS) & ~w.rlike(r"^\d+$")), lambda w: F.substring(w, 1, 5)))
 
 
 def numbers(text: Column) -> Column:

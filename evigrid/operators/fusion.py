@@ -7,6 +7,9 @@ for whole groups where only the numbers of pairs are wanted, without making the
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -161,9 +164,10 @@ def components(pairs: DataFrame, rounds: int = 50) -> DataFrame:
     """(id, component): smallest id reachable over the pairs, by rounds of minimum labels with checkpoints."""
     spark = pairs.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evigrid-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "evigrid-shared"))
     both = pairs.select(F.col("a").alias("id"), F.col("b").alias("near")).unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("near"))).distinct().checkpoint()
     labels = both.groupBy("id").agg(F.least(F.col("id"), F.min("near")).alias("component")).checkpoint()
     for _ in range(rounds):
