@@ -194,20 +194,34 @@ def word_set(text: Column) -> Column:
 
 
 def jaccard_pairs(rows: DataFrame, threshold: float = dims.GAP_JACCARD, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """DED-04, candidate pairs: (a, b, similarity) of texts whose word sets are similar enough.
+    """DED-04, candidate pairs: (a, b, similarity) of texts whose word sets are similar enough; texts without words have none.
 
-    Words meet by equi-join, so only pairs with a common word are made; sizes prune pairs that can't reach the threshold.
+    Words are 64-bit hashes. Texts with equal sets form a class, compared once by its smallest id and expanded at the end.
+    Classes meet on the words of their prefix, rarest first; the join itself keeps a pair only if sizes and the positions
+    of the common word leave room for enough common words, which holds at the first common word of every pair wanted.
     """
-    sets = rows.select(F.col(id_col).alias("id"), word_set(F.col(text_col)).alias("words")).withColumn("n", F.size("words"))
-    # prefix filter: similar sets share one of the rarest ceil((1 - t) * n) + 1 words
-    df = sets.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
-    ordered = sets.select("id", "n", F.explode("words").alias("w")).join(df, "w")
-    nth = F.row_number().over(Window.partitionBy("id").orderBy("df", "w"))
-    prefix = ordered.withColumn("nth", nth).where(F.col("nth") <= F.floor((1 - threshold) * F.col("n") + 1e-9) + 1).select("id", "n", "w")
-    a, b = prefix.select("w", F.col("id").alias("a"), F.col("n").alias("na")), prefix.select("w", F.col("id").alias("b"), F.col("n").alias("nb"))
-    near = a.join(b, "w").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))).select("a", "b").distinct()
+    texts = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition("id")
+    members = texts.select("id", F.array_sort(F.transform(word_set(F.col("text")), lambda w: F.xxhash64(w))).alias("words")).where(F.size("words") > 0)
+    members = members.select("id", F.struct(F.xxhash64("words").alias("h1"), F.hash("words").alias("h2"), F.size("words").alias("n")).alias("set"), "words")
+    sets = members.groupBy("set").agg(F.min_by("words", "id").alias("words"), F.min("id").alias("id"))
+    member = members.groupBy("set").agg(F.min("id").alias("class")).join(members.select("set", "id"), "set").select("class", "id")
+    words = sets.select("id", F.col("set.n").alias("n"), F.explode("words").alias("w"))
+    ordered = words.join(words.groupBy("w").agg(F.count("*").alias("df")).where("df > 1"), "w", "left")
+    # a word of one class alone joins nothing but keeps its place in the order
+    nth = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(1)), "w"))
+    prefix = ordered.withColumn("nth", nth).where((F.col("nth") <= F.floor((1 - threshold) * F.col("n") + 1e-9) + 1) & F.col("df").isNotNull())
+    a, b = (prefix.select("w", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "nth")]) for side in "ab")
+    room = F.least(F.col("n_a") - F.col("nth_a"), F.col("n_b") - F.col("nth_b")) + 1 >= threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - 1e-6
+    fits = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-6
+    near = a.join(b, "w").where((F.col("id_a") < F.col("id_b")) & fits & room).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
     full = near.join(sets.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(sets.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
-    return full.withColumn("similarity", jaccard(F.col("wa"), F.col("wb"))).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    common = F.size(F.array_intersect("wa", "wb"))
+    linked = full.withColumn("similarity", common / (F.size("wa") + F.size("wb") - common)).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    # classes to texts
+    left, right = member.select(F.col("class").alias("a"), F.col("id").alias("x")), member.select(F.col("class").alias("b"), F.col("id").alias("y"))
+    across = linked.join(left, "a").join(right, "b").select("x", "y", "similarity")
+    within = left.join(right.withColumnRenamed("b", "a"), "a").where("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
+    return across.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
 
 
 def greedy_keep(pairs: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Lexical, vector and fused search over a corpus, as aggregations and equi-joins on terms.
 
 A corpus is (id, text); queries are (query_id, text). Scores are Okapi BM25 with repeated query terms counted as often as they
-occur and negative idf replaced by epsilon times the mean idf. Postings stay distributed: a query term meets its
-postings by a join on the term, and top-k is a window over (query, score).
+occur and negative idf replaced by epsilon times the mean idf. Postings stay with their document: query terms meet them by
+a join on the term, sums need no further exchange, and top-k is a window over (query, score).
 """
 
 from __future__ import annotations
@@ -16,27 +16,29 @@ from .. import dims
 from ..functions import text as T
 
 
+#: More distinct (query, term) rows than this are joined by a shuffle instead of a broadcast.
+BROADCAST_TERMS = 500_000
+
+
 @dataclass
 class Bm25Index:
-    """Postings (id, term, tf, length), document lengths and one row of corpus statistics."""
+    """Postings (id, term, tf, length) partitioned by id, terms with their idf, and one row of corpus statistics."""
 
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
 
-    def weighted(self) -> DataFrame:
-        """(term, id, weight): each posting's share of a score."""
-        norm = dims.BM25_K1 * (1 - dims.BM25_B + dims.BM25_B * F.col("length") / F.col("avgdl"))
-        rows = self.postings.join(self.terms, "term").join(F.broadcast(self.stats))
-        return rows.select("term", "id", (F.col("idf") * F.col("tf") * (dims.BM25_K1 + 1) / (F.col("tf") + norm)).alias("weight"))
-
 
 def build_index(corpus: DataFrame, tokenize=T.tokens, id_col: str = "id", text_col: str = "text") -> Bm25Index:
-    """RNK-01: term frequencies, document frequencies and idf. stats has one row; terms one a distinct term."""
-    docs = corpus.select(F.col(id_col).alias("id"), tokenize(F.col(text_col)).alias("tokens")).withColumn("length", F.size("tokens"))
+    """RNK-01: term frequencies, document frequencies and idf. stats has one row; terms one a distinct term.
+
+    Texts are dealt by id before they become tokens, so term frequencies need no exchange of their own and the scores of a
+    document meet where its postings are.
+    """
+    docs = corpus.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition("id").select("id", tokenize(F.col("text")).alias("tokens")).withColumn("length", F.size("tokens"))
     postings = docs.select("id", "length", F.explode("tokens").alias("term")).groupBy("id", "term").agg(F.first("length").alias("length"), F.count("*").alias("tf"))
     sizes = docs.agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(sizes))
+    df = docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(sizes))
     raw = df.select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     terms = raw.join(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, dims.BM25_EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
@@ -44,9 +46,18 @@ def build_index(corpus: DataFrame, tokenize=T.tokens, id_col: str = "id", text_c
 
 
 def score(index: Bm25Index, queries: DataFrame, tokenize=T.tokens, id_col: str = "query_id", text_col: str = "text") -> DataFrame:
-    """(query_id, id, score) of all pairs that share a term."""
+    """(query_id, id, score) of all pairs that share a term.
+
+    The terms of the queries are broadcast to the postings if there are at most BROADCAST_TERMS of them (counted first);
+    then no posting moves. More meet the postings by a shuffle on the term.
+    """
     asked = queries.select(F.col(id_col).alias("query_id"), F.explode(tokenize(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    return asked.join(index.weighted(), "term").groupBy("query_id", "id").agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
+    few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    weighted = index.terms.join(F.broadcast(asked) if few else asked, "term")
+    norm = dims.BM25_K1 * (1 - dims.BM25_B + dims.BM25_B * F.col("length") / F.col("avgdl"))
+    rows = index.postings.join(F.broadcast(weighted) if few else weighted, "term").join(F.broadcast(index.stats))
+    weight = F.col("idf") * F.col("tf") * (dims.BM25_K1 + 1) / (F.col("tf") + norm)
+    return rows.groupBy("query_id", "id").agg(F.sum(F.col("qtf") * weight).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, by: str = "score", query: str = "query_id", tie: str = "id") -> DataFrame:
