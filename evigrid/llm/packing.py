@@ -1,15 +1,18 @@
 """Lexical retrieval packing: BM25 neighbours of a seed document fill the rest of its window.
 
-Plan. One pass tokenises every text and cuts it into full windows and a tail; the tails' ids go to the shared folder.
-Tails are dealt to index shards of about `shard_rows` pieces by a lexical signature; the counts of the 4096 signature
-ranges (never more rows) tell the driver which ranges to merge and into how many salted parts to split the others, so a
-frequent signature never makes a large shard. Each shard builds one inverted index and packs on its own.
+Plan. One pass tokenises every text and cuts it into full windows and a tail; their ids go to the shared folder. Full
+windows are finished. A second pass counts the document frequencies of all tails, never more rows than the vocabulary has.
+Tails are dealt to index shards of about `shard_rows` by two min-hashes of their terms, weighted by idf, so that tails
+with the same rarer terms meet; counts by signature (never more than RANGES * PARTS) tell which signatures to merge and
+into how many salted parts to split a frequent one, so none makes a large shard. Each shard builds its inverted index with
+the counts of the whole corpus and packs on its own.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +22,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .textbytes import mix
 
-RANGES = 4096
+#: Values of the first signature, and of the second inside each.
+RANGES, PARTS = 4096, 64
 #: A space that stands between white space on both sides (or before the end) may belong to a longer token.
 _RUN = re.compile(r"\s (?:\s|\Z)")
 _encoders: dict = {}
@@ -79,18 +83,60 @@ def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def _signature(ids: np.ndarray) -> int:
-    """Range of the piece's smallest hashed rarer id: pieces with common vocabulary meet."""
-    rare = ids[ids >= 4096]
-    rare = rare if len(rare) else ids
-    hashed = mix(rare.astype(np.uint64), 0x632BE59B)
-    return int(mix(hashed.min(keepdims=True), 0x1B873593)[0] % RANGES)
+@dataclass(frozen=True)
+class Statistics:
+    """Number of pieces, their mean length and the pieces that hold each term."""
+
+    n: int
+    mean: float
+    df: np.ndarray
+
+    def idf(self, df: np.ndarray) -> np.ndarray:
+        return np.log1p((self.n - df + 0.5) / (df + 0.5))
+
+    def order(self, seed: int) -> np.ndarray:
+        """Place of every term in a random order in which a term's chance to come early follows its idf.
+
+        The first term of a piece in this order is a weighted min-hash: two pieces agree on it as often as their common
+        terms weigh among all their terms. Terms of one piece alone come last.
+        """
+        terms = np.arange(len(self.df))
+        u = ((mix(terms.astype(np.uint64), seed) >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53
+        place = np.empty(len(terms), np.uint32)
+        place[np.argsort(-np.log(u) / np.where(self.df >= 2, np.maximum(self.idf(self.df), 1e-9), 1e-12), kind="stable")] = terms
+        return place
+
+
+def signatures(pieces: list[np.ndarray], orders: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Number below RANGES * PARTS of every piece (none empty), by its first term in either order."""
+    ids, at = np.concatenate(pieces), np.cumsum([0] + [len(x) for x in pieces[:-1]])
+    first, second = (mix(np.minimum.reduceat(place[ids], at).astype(np.uint64), 0x1B873593) for place in orders)
+    return (first % np.uint64(RANGES) * np.uint64(PARTS) + second % np.uint64(PARTS)).astype(np.int64)
+
+
+def shards_of(counts: np.ndarray, shard_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """First shard and number of shards of every signature: rare ones share a shard with the next, frequent ones are split."""
+    base, parts, shard, held = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64), 0, 0
+    for signature in np.flatnonzero(counts):
+        n = int(counts[signature])
+        if n >= shard_rows:
+            shard, held = shard + bool(held), 0
+            base[signature], parts[signature] = shard, -(-n // shard_rows)
+            shard += int(parts[signature])
+        else:
+            if held + n > shard_rows:
+                shard, held = shard + 1, 0
+            base[signature], held = shard, held + n
+    return base, parts
 
 
 class Bm25:
-    """Inverted index of one shard: postings by term with finished BM25 weights."""
+    """Inverted index of one shard: postings by term with finished BM25 weights.
+
+    Frequencies, number and mean length come from `stats`, those of all shards together; without it, from docs alone.
+    """
 
-    def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
+    def __init__(self, docs: list[np.ndarray], stats: Statistics | None = None, k1: float = 1.2, b: float = 0.75):
         self.n = len(docs)
         length = np.array([len(d) for d in docs], np.float64)
         terms, owner, tf = [], [], []
@@ -103,10 +149,9 @@ class Bm25:
         order = np.argsort(term, kind="stable")
         term, self.owner, tf = term[order], self.owner[order], tf[order]
         self.at = np.searchsorted(term, np.arange(int(term[-1]) + 2 if len(term) else 1))
-        df = np.diff(self.at)[term]
-        idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
-        norm = k1 * (1 - b + b * length[self.owner] / max(length.mean(), 1))
-        self.weight = idf * tf * (k1 + 1) / (tf + norm)
+        stats = stats or Statistics(self.n, float(length.mean()), np.diff(self.at))
+        norm = k1 * (1 - b + b * length[self.owner] / max(stats.mean, 1))
+        self.weight = stats.idf(stats.df[term]) * tf * (k1 + 1) / (tf + norm)
 
     def scores(self, query: np.ndarray) -> np.ndarray:
         """Score of every document for the distinct terms of the query."""
@@ -117,13 +162,13 @@ class Bm25:
         return np.bincount(self.owner[at], self.weight[at], self.n)
 
 
-def fill(tails: list[np.ndarray], window: int):
+def fill(tails: list[np.ndarray], window: int, stats: Statistics | None = None):
     """(sequence, tail, first id, last id, offset) of every piece: seeds in order, then their best unused neighbours.
 
     Neighbours that fit go in whole, in order of their score (ties: order); then the best left one is cut to fill the
     window and its rest is the next seed. Only the last window of a shard has padding.
     """
-    index, unused, taken = Bm25(tails), np.ones(len(tails), bool), np.zeros(len(tails), np.int64)
+    index, unused, taken = Bm25(tails, stats), np.ones(len(tails), bool), np.zeros(len(tails), np.int64)
     size = np.array([len(t) for t in tails])
     sequence, following, at = 0, -1, 0
     while True:
@@ -164,12 +209,12 @@ def pack_by_retrieval(
 
     Returns per piece: doc_id, start (ids of the document before it), length, ids_crc32 (of the ids as little-endian
     unsigned 32-bit), doc_tokens (with the end id), sequence_id, offset, ids. A null or empty text is the end id alone.
-    Null ids and repeated rows are documents like others; other columns are ignored.
+    Null ids and repeated rows are documents like others; other columns are ignored; an empty table gives no piece.
     """
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
-    layout = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, signature int, ids binary"
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "signature", "ids"]
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    layout = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
 
     def tokenise(batches):
         encode = _encoder(tokenizer, ranks, pattern)
@@ -182,45 +227,78 @@ def pack_by_retrieval(
                     for start in range(0, len(ids), window):
                         piece = ids[start : start + window]
                         own.append(k)
-                        rows.append((start, len(piece), _crc(piece), len(ids), _signature(piece), piece.tobytes()))
+                        rows.append((start, len(piece), _crc(piece), len(ids), piece.tobytes()))
                 columns = list(zip(*rows, strict=True))
-                kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([part["doc_id"].take(pa.array(own)), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=names)
+                kinds = [pa.int64()] * 4 + [pa.binary()]
+                yield pa.RecordBatch.from_arrays([part["doc_id"].take(pa.array(own)), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=[*names, "ids"])
 
-    pieces = materialize(src.mapInArrow(tokenise, layout), "tokens")
-    counts = sorted((r["signature"], r["n"]) for r in pieces.groupBy("signature").agg(F.count("*").alias("n")).collect())
-    plan, base, held = [], 0, 0
-    for signature, n in counts:  # at most RANGES rows
-        if n >= shard_rows:
-            base, held = base + bool(held), 0
-            plan.append((signature, base, -(-n // shard_rows)))
-            base += plan[-1][2]
-        else:
-            if held + n > shard_rows:
-                base, held = base + 1, 0
-            plan.append((signature, base, 1))
-            held += n
-    shards = docs.sparkSession.createDataFrame(plan or [(0, 0, 1)], "signature int, base long, parts long")
-    dealt = pieces.join(F.broadcast(shards), "signature").withColumn("shard", F.col("base") + F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("parts")))
-    dtype = np.dtype("<u2" if _encoder(tokenizer, ranks, pattern).kind == np.dtype("<u2") else "<u4")
+    pieces = materialize(src.mapInArrow(tokenise, f"{layout}, ids binary"), "tokens")
+    encoder = _encoder(tokenizer, ranks, pattern)
+    dtype, vocabulary = encoder.kind, max(encoder.slow.get_vocab_size(with_added_tokens=True), end_id + 1)
+    tails, full = pieces.where(F.col("length") < window), pieces.where(F.col("length") == window)
+
+    def arrays(column: pa.Array) -> list[np.ndarray]:
+        return [np.frombuffer(x, dtype) for x in column.to_pylist()]
+
+    def count_terms(batches):
+        df, n, total = np.zeros(vocabulary, np.int64), 0, 0
+        for batch in batches:
+            for ids in arrays(batch["ids"]):
+                df[np.unique(ids)] += 1
+                n, total = n + 1, total + len(ids)
+        held = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(held, [-1, -2])), pa.array(np.append(df[held], [n, total]))], names=["term", "n"])
+
+    def totals(rows: DataFrame, by: str, size: int) -> np.ndarray:
+        """Sums by number; two more places at the end take -1 and -2."""
+        table, out = rows.groupBy(by).agg(F.sum("n").alias("n")).toArrow(), np.zeros(size + 2, np.int64)
+        out[table[by].to_numpy()] = table["n"].to_numpy()
+        return out
+
+    counted = totals(tails.select("ids").mapInArrow(count_terms, "term long, n long"), "term", vocabulary)
+    n, total = int(counted[-1]), int(counted[-2])
+    stats = Statistics(n, total / max(n, 1), counted[:vocabulary])
+    orders = stats.order(0x632BE59B), stats.order(0x5851F42D)
+
+    def count_signatures(batches):
+        found = np.zeros(RANGES * PARTS, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                found += np.bincount(signatures(arrays(batch["ids"]), orders), minlength=len(found))
+        held = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(found[held])], names=["signature", "n"])
+
+    base, parts = shards_of(totals(tails.select("ids").mapInArrow(count_signatures, "signature long, n long"), "signature", RANGES * PARTS)[:-2], shard_rows)
+
+    def deal(batches):
+        for batch in batches:
+            if batch.num_rows:
+                signature = signatures(arrays(batch["ids"]), orders)
+                shard = base[signature] + batch["salt"].to_numpy() % parts[signature]
+                yield pa.RecordBatch.from_arrays([pa.array(shard), *(batch[c] for c in [*names, "ids"])], names=["shard", *names, "ids"])
+
+    salt = F.xxhash64("doc_id", "start", F.monotonically_increasing_id()).alias("salt")  # repeated rows are dealt to all parts too
+    dealt = tails.select("*", salt).mapInArrow(deal, f"shard long, {layout}, ids binary")
+    out = f"{layout}, sequence_id long, offset long, ids array<int>"
 
     def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.sort_by([("ids_crc32", "ascending"), ("start", "ascending"), ("doc_id", "ascending")])
-        ids = [np.frombuffer(x, dtype) for x in table["ids"].to_pylist()]
-        start = table["start"].to_numpy()
-        full = [k for k, x in enumerate(ids) if len(x) == window]
-        tails = [k for k, x in enumerate(ids) if len(x) < window]
-        placed = [(s, k, 0, window, 0) for s, k in enumerate(full)]
-        if tails:
-            placed += [(len(full) + s, tails[k], a, b, at) for s, k, a, b, at in fill([ids[k] for k in tails], window)]
-        row = [p[1] for p in placed]
-        shard = key[0].as_py() << 32
+        ids, start = arrays(table["ids"]), table["start"].to_numpy()
+        placed = list(fill(ids, window, stats))
+        row = pa.array([k for _, k, *_ in placed])
+        cut = [ids[k][a:b] for _, k, a, b, _ in placed]
         return pa.table(
-            {"doc_id": table["doc_id"].take(pa.array(row)), "start": pa.array([int(start[k]) + a for _, k, a, _, _ in placed]),
-             "length": pa.array([b - a for _, _, a, b, _ in placed]), "ids_crc32": pa.array([_crc(ids[k][a:b]) for _, k, a, b, _ in placed], pa.int64()),
-             "doc_tokens": table["doc_tokens"].take(pa.array(row)), "sequence_id": pa.array([shard + p[0] for p in placed], pa.int64()),
-             "offset": pa.array([p[4] for p in placed], pa.int64()), "ids": pa.array([ids[k][a:b].astype(np.int32) for _, k, a, b, _ in placed], pa.list_(pa.int32()))}
+            {"doc_id": table["doc_id"].take(row), "start": pa.array([int(start[k]) + a for _, k, a, _, _ in placed]),
+             "length": pa.array([len(x) for x in cut]), "ids_crc32": pa.array([_crc(x) for x in cut], pa.int64()), "doc_tokens": table["doc_tokens"].take(row),
+             "sequence_id": pa.array([2 * ((key[0].as_py() << 32) + s) for s, *_ in placed], pa.int64()), "offset": pa.array([at for *_, at in placed], pa.int64()),
+             "ids": pa.array([x.astype(np.int32) for x in cut], pa.list_(pa.int32()))}
         )
 
-    out = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
-    return dealt.select("shard", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids").groupBy("shard").applyInArrow(pack, out)
+    def as_numbers(batches):
+        for batch in batches:
+            ids = pa.array([x.astype(np.int32) for x in arrays(batch["ids"])], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=batch.schema.names)
+
+    # a full window is a sequence of its own: odd numbers, the packed ones are even
+    alone = full.select(*names, (2 * F.monotonically_increasing_id() + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "ids").mapInArrow(as_numbers, out)
+    return dealt.groupBy("shard").applyInArrow(pack, out).unionByName(alone)
