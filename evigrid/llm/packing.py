@@ -10,7 +10,6 @@ the counts of the whole corpus and packs on its own.
 
 from __future__ import annotations
 
-import re
 import zlib
 from dataclasses import dataclass
 
@@ -24,24 +23,22 @@ from .textbytes import mix
 
 #: Values of the first signature, and of the second inside each.
 RANGES, PARTS = 4096, 64
-#: A space that stands between white space on both sides (or before the end) may belong to a longer token.
-_RUN = re.compile(r"\s (?:\s|\Z)")
 _encoders: dict = {}
 
 
 class Encoder:
-    """Token ids of whole texts, by a cache of the pieces between single spaces.
+    """Token ids of whole texts; with a file of ranks and its splitting pattern by the quicker of two libraries.
 
-    No token of a byte-level BPE with the usual splitting pattern crosses a space that follows other text, so the ids
-    of a text are those of its pieces; texts with runs of white space or special tokens are encoded whole.
+    Texts that hold a special token go to the tokenizer's own file, which alone knows them.
     """
 
-    def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None, keep: int = 400_000):
+    def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None):
         from tokenizers import Tokenizer
 
-        self.slow, self.keep = Tokenizer.from_file(path), keep
+        self.slow = Tokenizer.from_file(path)
         self.special = tuple(t.content for t in self.slow.get_added_tokens_decoder().values())
         self.kind = np.dtype("<u2" if self.slow.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        self.ordinary = lambda text: self.slow.encode(text, add_special_tokens=False).ids
         if ranks:
             import base64
 
@@ -50,27 +47,11 @@ class Encoder:
             with open(ranks, "rb") as lines:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.ordinary = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
-        else:
-            self.ordinary = lambda text: self.slow.encode(text, add_special_tokens=False).ids
-        encode, kind = self.ordinary, self.kind
-
-        class Pieces(dict):
-            def __missing__(self, piece: str) -> bytes:
-                out = self[piece] = np.asarray(encode(" " + piece), kind).tobytes()
-                return out
-
-        self.pieces = Pieces()
 
     def __call__(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):
             return np.asarray(self.slow.encode(text, add_special_tokens=False).ids, self.kind)
-        if _RUN.search(text):
-            return np.asarray(self.ordinary(text), self.kind)
-        first, *rest = text.split(" ")
-        if len(self.pieces) > self.keep:
-            self.pieces.clear()
-        head = np.asarray(self.ordinary(first), self.kind).tobytes()
-        return np.frombuffer(head + b"".join(map(self.pieces.__getitem__, rest)), self.kind)
+        return np.asarray(self.ordinary(text), self.kind)
 
 
 def _encoder(path: str, ranks: str | None, pattern: str | None) -> Encoder:
@@ -107,10 +88,16 @@ class Statistics:
         return place
 
 
-def signatures(pieces: list[np.ndarray], orders: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def flat(column: pa.BinaryArray, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a column of pieces, one after the other without a copy, and where each piece begins, with the end."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    ids = np.frombuffer(column.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].view(dtype)
+    return ids, (at - at[0]) // dtype.itemsize
+
+
+def signatures(ids: np.ndarray, at: np.ndarray, orders: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Number below RANGES * PARTS of every piece (none empty), by its first term in either order."""
-    ids, at = np.concatenate(pieces), np.cumsum([0] + [len(x) for x in pieces[:-1]])
-    first, second = (mix(np.minimum.reduceat(place[ids], at).astype(np.uint64), 0x1B873593) for place in orders)
+    first, second = (mix(np.minimum.reduceat(place[ids], at[:-1]).astype(np.uint64), 0x1B873593) for place in orders)
     return (first % np.uint64(RANGES) * np.uint64(PARTS) + second % np.uint64(PARTS)).astype(np.int64)
 
 
@@ -139,15 +126,9 @@ class Bm25:
     def __init__(self, docs: list[np.ndarray], stats: Statistics | None = None, k1: float = 1.2, b: float = 0.75):
         self.n = len(docs)
         length = np.array([len(d) for d in docs], np.float64)
-        terms, owner, tf = [], [], []
-        for k, d in enumerate(docs):
-            t, c = np.unique(d, return_counts=True)
-            terms.append(t.astype(np.int64))
-            owner.append(np.full(len(t), k))
-            tf.append(c)
-        term, self.owner, tf = np.concatenate(terms), np.concatenate(owner), np.concatenate(tf)
-        order = np.argsort(term, kind="stable")
-        term, self.owner, tf = term[order], self.owner[order], tf[order]
+        owner = np.repeat(np.arange(self.n), length.astype(np.int64))
+        pairs, tf = np.unique(np.concatenate(docs).astype(np.int64) << 32 | owner, return_counts=True)  # by term, then document
+        term, self.owner = pairs >> 32, pairs & 0xFFFFFFFF
         self.at = np.searchsorted(term, np.arange(int(term[-1]) + 2 if len(term) else 1))
         stats = stats or Statistics(self.n, float(length.mean()), np.diff(self.at))
         norm = k1 * (1 - b + b * length[self.owner] / max(stats.mean, 1))
@@ -237,15 +218,14 @@ def pack_by_retrieval(
     dtype, vocabulary = encoder.kind, max(encoder.slow.get_vocab_size(with_added_tokens=True), end_id + 1)
     tails, full = pieces.where(F.col("length") < window), pieces.where(F.col("length") == window)
 
-    def arrays(column: pa.Array) -> list[np.ndarray]:
-        return [np.frombuffer(x, dtype) for x in column.to_pylist()]
-
     def count_terms(batches):
         df, n, total = np.zeros(vocabulary, np.int64), 0, 0
         for batch in batches:
-            for ids in arrays(batch["ids"]):
-                df[np.unique(ids)] += 1
-                n, total = n + 1, total + len(ids)
+            for first in range(0, batch.num_rows, 1024):
+                ids, at = flat(batch["ids"].slice(first, 1024), dtype)
+                held = np.unique(np.repeat(np.arange(len(at) - 1) << 32, np.diff(at)) | ids)
+                df += np.bincount(held & 0xFFFFFFFF, minlength=vocabulary)
+                n, total = n + len(at) - 1, total + len(ids)
         held = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(held, [-1, -2])), pa.array(np.append(df[held], [n, total]))], names=["term", "n"])
 
@@ -264,7 +244,7 @@ def pack_by_retrieval(
         found = np.zeros(RANGES * PARTS, np.int64)
         for batch in batches:
             if batch.num_rows:
-                found += np.bincount(signatures(arrays(batch["ids"]), orders), minlength=len(found))
+                found += np.bincount(signatures(*flat(batch["ids"], dtype), orders), minlength=len(found))
         held = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(found[held])], names=["signature", "n"])
 
@@ -273,7 +253,7 @@ def pack_by_retrieval(
     def deal(batches):
         for batch in batches:
             if batch.num_rows:
-                signature = signatures(arrays(batch["ids"]), orders)
+                signature = signatures(*flat(batch["ids"], dtype), orders)
                 shard = base[signature] + batch["salt"].to_numpy() % parts[signature]
                 yield pa.RecordBatch.from_arrays([pa.array(shard), *(batch[c] for c in [*names, "ids"])], names=["shard", *names, "ids"])
 
@@ -283,7 +263,8 @@ def pack_by_retrieval(
 
     def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.sort_by([("ids_crc32", "ascending"), ("start", "ascending"), ("doc_id", "ascending")])
-        ids, start = arrays(table["ids"]), table["start"].to_numpy()
+        every, at = flat(table["ids"].combine_chunks(), dtype)
+        ids, start = np.split(every, at[1:-1]), table["start"].to_numpy()
         placed = list(fill(ids, window, stats))
         row = pa.array([k for _, k, *_ in placed])
         cut = [ids[k][a:b] for _, k, a, b, _ in placed]
@@ -291,12 +272,13 @@ def pack_by_retrieval(
             {"doc_id": table["doc_id"].take(row), "start": pa.array([int(start[k]) + a for _, k, a, _, _ in placed]),
              "length": pa.array([len(x) for x in cut]), "ids_crc32": pa.array([_crc(x) for x in cut], pa.int64()), "doc_tokens": table["doc_tokens"].take(row),
              "sequence_id": pa.array([2 * ((key[0].as_py() << 32) + s) for s, *_ in placed], pa.int64()), "offset": pa.array([at for *_, at in placed], pa.int64()),
-             "ids": pa.array([x.astype(np.int32) for x in cut], pa.list_(pa.int32()))}
+             "ids": pa.ListArray.from_arrays(np.cumsum([0] + [len(x) for x in cut], dtype=np.int32), np.concatenate(cut).astype(np.int32))}
         )
 
     def as_numbers(batches):
         for batch in batches:
-            ids = pa.array([x.astype(np.int32) for x in arrays(batch["ids"])], pa.list_(pa.int32()))
+            ids, at = flat(batch["ids"], dtype)
+            ids = pa.ListArray.from_arrays(at.astype(np.int32), ids.astype(np.int32))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=batch.schema.names)
 
     # a full window is a sequence of its own: odd numbers, the packed ones are even
