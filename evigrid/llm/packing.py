@@ -64,6 +64,12 @@ def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+def distinct(ids: np.ndarray) -> np.ndarray:
+    """The distinct ids of a piece (not empty), sorted."""
+    ids = np.sort(ids, kind="stable")
+    return ids[np.append(True, ids[1:] != ids[:-1])]
+
+
 @dataclass(frozen=True)
 class Statistics:
     """Number of pieces, their mean length and the pieces that hold each term."""
@@ -136,7 +142,7 @@ class Bm25:
 
     def scores(self, query: np.ndarray) -> np.ndarray:
         """Score of every document for the distinct terms of the query."""
-        terms = np.unique(query).astype(np.int64)
+        terms = distinct(query).astype(np.int64)
         terms = terms[terms < len(self.at) - 1]
         a, n = self.at[terms], self.at[terms + 1] - self.at[terms]
         at = np.repeat(a - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
@@ -221,11 +227,11 @@ def pack_by_retrieval(
     def count_terms(batches):
         df, n, total = np.zeros(vocabulary, np.int64), 0, 0
         for batch in batches:
-            for first in range(0, batch.num_rows, 1024):
-                ids, at = flat(batch["ids"].slice(first, 1024), dtype)
-                held = np.unique(np.repeat(np.arange(len(at) - 1) << 32, np.diff(at)) | ids)
-                df += np.bincount(held & 0xFFFFFFFF, minlength=vocabulary)
-                n, total = n + len(at) - 1, total + len(ids)
+            if batch.num_rows:
+                ids, at = flat(batch["ids"], dtype)
+                for piece in np.split(ids, at[1:-1]):
+                    df[distinct(piece)] += 1
+                n, total = n + batch.num_rows, total + len(ids)
         held = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(held, [-1, -2])), pa.array(np.append(df[held], [n, total]))], names=["term", "n"])
 
