@@ -150,4 +150,38 @@ WITH w AS (
 SELECT doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN a USING (row_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_source_mix": OP1, "op3_cap_filter_links": OP3, "op5_line_dedup": OP5, "op7_ngram_jaccard_join": OP7, "op10_substring_dedup": OP10}
+#: CRC-32 from its table of 256 entries, over the bytes of each distinct feature.
+OP13 = r"""
+WITH crc AS (
+  SELECT list(CASE WHEN v8 IS NULL THEN 0 ELSE v8 END ORDER BY b) AS tbl FROM (
+    SELECT b, list_reduce([b] || range(8), lambda s, k: CASE WHEN s & 1 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END) AS v8 FROM (SELECT unnest(range(256)) AS b))
+), w AS (
+  SELECT row_number() OVER () AS row_id, doc_id, item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM (SELECT doc_id, false AS item, text FROM documents UNION ALL SELECT NULL, true, text FROM benchmark)
+), f AS (
+  SELECT row_id, item, feature, count(*) AS n
+  FROM (SELECT row_id, item, unnest(ws || list_transform(range(1, len(ws)), lambda i: array_to_string(ws[i:i + 1], ' ')) || list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))) AS feature FROM w)
+  GROUP BY row_id, item, feature
+), u AS (
+  SELECT feature, hex(encode(feature)) AS h FROM (SELECT DISTINCT feature FROM f)
+), k AS (
+  SELECT feature, xor(list_reduce([4294967295] || list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT), lambda s, b: xor(tbl[(xor(s, b) & 255) + 1], s >> 8)), 4294967295) % 10000 AS bucket FROM u, crc
+), g AS (
+  SELECT row_id, item, bucket, n FROM f JOIN k USING (feature)
+), c AS (
+  SELECT bucket, coalesce(sum(n) FILTER (WHERE NOT item), 0) AS s, coalesce(sum(n) FILTER (WHERE item), 0) AS t FROM g GROUP BY bucket
+), v AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM c
+), d AS (
+  SELECT row_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM g JOIN v USING (bucket) WHERE NOT item GROUP BY row_id
+), z AS (
+  SELECT doc_id, len(ws) >= 20 AS eligible, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM w LEFT JOIN d USING (row_id) WHERE NOT item
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY eligible ORDER BY score DESC, doc_id ASC NULLS LAST, weight, n_features) AS place, count(*) FILTER (WHERE eligible) OVER () AS n FROM z
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN eligible AND place <= 5 * n // 100 THEN place END AS rank FROM r
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_source_mix": OP1, "op3_cap_filter_links": OP3, "op5_line_dedup": OP5, "op7_ngram_jaccard_join": OP7, "op10_substring_dedup": OP10, "op13_importance_resampling": OP13}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cap_filters import link_vectors
+from .importance import importance_resample
 from .language_crf import CrfModel, fit_crf, label_languages, language_sample
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
@@ -95,10 +96,16 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn towards the texts of benchmark; undrawn ones have no rank."""
+    drawn = importance_resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_source_mix, op2_toxicity_compression, op3_cap_filter_links, op4_language_crf, op5_line_dedup, op6_transport_streams,
-        op7_ngram_jaccard_join, op8_bounded_ring, op9_retrieval_packing, op10_substring_dedup,
+        op7_ngram_jaccard_join, op8_bounded_ring, op9_retrieval_packing, op10_substring_dedup, op13_importance_resampling,
     )
 }
