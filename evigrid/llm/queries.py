@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cap_filters import link_vectors
+from .common import shared_dir
 from .importance import importance_resample
 from .language_crf import CrfModel, fit_crf, label_languages, language_sample
 from .line_dedup import dedup_lines
@@ -18,6 +20,7 @@ from .packing import pack_by_retrieval
 from .sharding import shard_by_ring
 from .substring_dedup import substring_dedup
 from .toxicity import ToxicModel, fit_on_rows, labelled_rows, score_toxicity
+from .wavelet import read_documents, shard_table, write_shards
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +99,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token ids in wavelet-matrix shards in the shared folder, and what the shards give back."""
+    path = f"{shared_dir(spark)}/evigrid/wavelet-{uuid.uuid4().hex}"
+    write_shards(documents(spark, sf_dir), path, **tokenizer_files())
+    return read_documents(shard_table(spark, path))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents drawn towards the texts of benchmark; undrawn ones have no rank."""
     drawn = importance_resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -106,6 +116,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_source_mix, op2_toxicity_compression, op3_cap_filter_links, op4_language_crf, op5_line_dedup, op6_transport_streams,
-        op7_ngram_jaccard_join, op8_bounded_ring, op9_retrieval_packing, op10_substring_dedup, op13_importance_resampling,
+        op7_ngram_jaccard_join, op8_bounded_ring, op9_retrieval_packing, op10_substring_dedup, op11_wavelet_shards, op13_importance_resampling,
     )
 }
