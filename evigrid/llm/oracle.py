@@ -150,6 +150,79 @@ WITH w AS (
 SELECT doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN a USING (row_id)
 """
 
+
+def _step(state: str, cost: str, letter: str) -> str:
+    """A state's `six digits of cost + audit` after one more edit."""
+    return f"lpad((substr({state}, 1, 6)::INT + {cost})::VARCHAR, 6, '0') || substr({state}, 7) || '{letter}'"
+
+
+#: States are the four states of the role order, as strings that compare by cost, then audit; a turn is [initial, forced, extra cost].
+_ENTER = f"[s[1], s[2], least(s[3], {_step('s[1]', '3', 'I')}, {_step('s[2]', '3', 'I')}, {_step('s[4]', '3', 'I')}), s[4]]"
+
+
+def _arcs() -> str:
+    def kept(letter: str, state: int) -> str:
+        return f"CASE WHEN x[1] = '{letter}' THEN {_step(f's[{state}]', 'x[3]::INT', 'K')} END"
+
+    def changed(state: int) -> str:
+        return _step(f"s[{state}]", "3 + x[3]::INT", "R")
+
+    gone = [_step(f"s[{k}]", "4", "D") for k in (1, 2, 3, 4)]
+    user = ", ".join([gone[2], *(kept("u", k) for k in (1, 2, 4)), *(changed(k) for k in (1, 2, 4))])
+    return f"CASE WHEN x[2] = '1' THEN [{', '.join(gone)}] ELSE [{gone[0]}, least({gone[1]}, {kept('s', 1)}), least({user}), least({gone[3]}, {kept('a', 3)}, {changed(3)})] END"
+
+
+def _closed(expression: str) -> str:
+    return f"list_transform(list_transform([{expression}], lambda s: {_ENTER}), lambda z: [z[1], z[2], z[3], least(z[4], {_step('z[3]', '3', 'I')})])[1]"
+
+
+OP12 = rf"""
+WITH crc AS (
+  SELECT list(coalesce(v, 0) ORDER BY b) AS tbl FROM (
+    SELECT b, list_reduce([b] || range(8), lambda s, k: CASE WHEN s & 1 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END) AS v FROM (SELECT unnest(range(256)) AS b))
+), r0 AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, hex(encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))) AS h FROM conversations
+), r1 AS (
+  SELECT *, xor(list_reduce([4294967295] || list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT), lambda s, b: xor(tbl[(xor(s, b) & 255) + 1], s >> 8)), 4294967295) % 20 AS kind
+  FROM r0, crc
+), r2 AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM r1 WHERE kind <> 0
+), r3 AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS seen, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+    NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS cut, CASE WHEN substr(role, 1, 1) IN ('s', 'u', 'a') THEN substr(role, 1, 1) ELSE 'x' END AS initial
+  FROM r2
+), r4 AS (
+  SELECT *, coalesce(lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au'), false) AS wrong FROM r3
+), c1 AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE NOT blank AND seen) AS duplicate,
+    count(*) FILTER (WHERE NOT blank AND NOT seen AND cut) AS truncated, count(*) FILTER (WHERE wrong) AS illegal,
+    list([initial, CASE WHEN blank OR seen THEN '1' ELSE '0' END, CASE WHEN cut THEN '3' ELSE '0' END] ORDER BY i) AS turns
+  FROM r4 GROUP BY conv_id
+), c2 AS (
+  SELECT *, list_reduce(turns, lambda s, x: {_closed(_arcs())}, {_closed("['000000', NULL, NULL, NULL]::VARCHAR[]")}) AS ends FROM c1
+), c3 AS (
+  SELECT *, substr(least(ends[1], ends[4]), 1, 6)::BIGINT AS cost, substr(least(ends[1], ends[4]), 7) AS audit FROM c2
+), e1 AS (
+  SELECT conv_id, unnest(range(1, len(audit) + 1)) AS pos, unnest(string_split(audit, '')) AS letter FROM c3 WHERE audit <> ''
+), e2 AS (
+  SELECT *, sum(CASE WHEN letter <> 'I' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY pos) AS i FROM e1
+), e3 AS (
+  SELECT e2.conv_id, pos, letter, role, CASE WHEN letter = 'I' THEN '' ELSE text END AS text, initial, row_number() OVER (PARTITION BY e2.conv_id ORDER BY pos) - 1 AS k
+  FROM e2 LEFT JOIN r4 ON e2.conv_id IS NOT DISTINCT FROM r4.conv_id AND e2.i = r4.i AND letter <> 'I' WHERE letter <> 'D'
+), e4 AS (
+  SELECT *, max(CASE WHEN k = 0 AND letter = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS system FROM e3
+), e5 AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN letter = 'K' THEN role WHEN (k - system) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY pos)) AS digest FROM e4 GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN c3 ON o.conv_id IS NOT DISTINCT FROM c3.conv_id LEFT JOIN e5 ON o.conv_id IS NOT DISTINCT FROM e5.conv_id
+"""
+
 #: CRC-32 from its table of 256 entries, over the bytes of each distinct feature.
 OP13 = r"""
 WITH crc AS (
@@ -184,4 +257,4 @@ WITH crc AS (
 SELECT doc_id, n_features, weight, score, CASE WHEN eligible AND place <= 5 * n // 100 THEN place END AS rank FROM r
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_source_mix": OP1, "op3_cap_filter_links": OP3, "op5_line_dedup": OP5, "op7_ngram_jaccard_join": OP7, "op10_substring_dedup": OP10, "op13_importance_resampling": OP13}
+ORACLE_SQL: dict[str, str] = {"op1_source_mix": OP1, "op3_cap_filter_links": OP3, "op5_line_dedup": OP5, "op7_ngram_jaccard_join": OP7, "op10_substring_dedup": OP10, "op12_conversation_repair": OP12, "op13_importance_resampling": OP13}

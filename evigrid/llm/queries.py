@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .cap_filters import link_vectors
 from .common import shared_dir
+from .conversations import damage, digests, repair_conversations
 from .importance import importance_resample
 from .language_crf import CrfModel, fit_crf, label_languages, language_sample
 from .line_dedup import dedup_lines
@@ -106,6 +107,17 @@ def op11_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(shard_table(spark, path))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation after damage and repair; those that lost all their rows have zeros, no edits and the digest of nothing."""
+    talks = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    repaired = repair_conversations(damage(talks))
+    out = talks.select("conv_id").distinct().alias("t")
+    for name, part in (("s", repaired.summary), ("d", digests(repaired.rows))):
+        out = out.join(part.alias(name), F.col("t.conv_id").eqNullSafe(F.col(f"{name}.conv_id")), "left")
+    counts = [F.coalesce(F.col(f"s.{c}"), F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("t.conv_id", *counts, F.coalesce("s.audit", F.lit("")).alias("audit"), F.coalesce("d.repaired_sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents drawn towards the texts of benchmark; undrawn ones have no rank."""
     drawn = importance_resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -116,6 +128,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_source_mix, op2_toxicity_compression, op3_cap_filter_links, op4_language_crf, op5_line_dedup, op6_transport_streams,
-        op7_ngram_jaccard_join, op8_bounded_ring, op9_retrieval_packing, op10_substring_dedup, op11_wavelet_shards, op13_importance_resampling,
+        op7_ngram_jaccard_join, op8_bounded_ring, op9_retrieval_packing, op10_substring_dedup, op11_wavelet_shards, op12_conversation_repair, op13_importance_resampling,
     )
 }
