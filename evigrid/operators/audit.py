@@ -40,7 +40,7 @@ def downgrade_unsupported(verdicts: DataFrame, chunks: DataFrame, keys: list[str
     known = verdicts.select(*keys, F.explode("source_ids").alias("id")).join(chunks.select("id").distinct(), "id", "left_semi").select(*keys).distinct().withColumn("_real", F.lit(True))
     rows = verdicts.join(known, keys, "left")
     falls = (F.col("status") == "CONFIRMED") & ~F.col("is_deterministic") & F.col("_real").isNull() & ~F.exists("source_ids", is_virtual)
-    return rows.withColumn("downgraded", falls).withColumn("status", F.when(falls, "UNVERIFIED").otherwise(F.col("status"))).withColumn("confidence", F.when(falls, "LOW").otherwise(F.col("confidence"))).drop("_real")
+    return rows.withColumn("downgraded", falls).withColumn("status", F.when(F.col("downgraded"), "UNVERIFIED").otherwise(F.col("status"))).withColumn("confidence", F.when(F.col("downgraded"), "LOW").otherwise(F.col("confidence"))).drop("_real")
 
 
 def topology(facts: DataFrame, chunks: DataFrame, keys: list[str], offence_law: str = "235-V", civil_laws: tuple[str, ...] = ("1000-XIII", "309-II", "409-I")) -> DataFrame:
@@ -280,16 +280,32 @@ VERDICT_SCHEMA = "claim_id string, status string, severity string, source_ids ar
 def parse_verdicts(raw: DataFrame, claims: DataFrame, by: list[str]) -> DataFrame:
     """VRD-02 and DED-09: raw (by, seq, json) to one verdict a known claim; the first wins, unknown claims go.
 
-    Malformed rows give nulls and so UNVERIFIED; missing claims are added by `backfill`.
+    A claim that was checked against reference data (deterministic_verdict not empty) has its verdict already and keeps it
+    whatever the answer says: source reference_data, confidence HIGH, the detail only if contradicted. claims may lack
+    deterministic_verdict, deterministic_status and entities. Malformed rows give nulls and so UNVERIFIED; missing claims
+    are added by `backfill`.
     """
     rows = raw.withColumn("v", F.from_json("json", VERDICT_SCHEMA, {"mode": "PERMISSIVE"})).select(*by, "seq", "v.*")
     up = F.upper(F.coalesce("status", F.lit("")))
     state = F.when(up.contains("CONTRADIC") | up.contains("OPROVERG"), "CONTRADICTED").when(up.contains("CONFIRM") | up.contains("PODTVERZH"), "CONFIRMED").otherwise("UNVERIFIED")
     sources = F.coalesce(F.filter("source_ids", lambda s: s.isNotNull() & (s != "")), F.array().cast("array<string>"))
     rows = rows.withColumn("status", state).withColumn("source_ids", sources).withColumn("confidence", F.coalesce("confidence", F.lit("MEDIUM"))).drop("severity")
-    rows = rows.join(claims.select(*by, "claim_id", "severity"), [*by, "claim_id"])
-    first = F.row_number().over(Window.partitionBy(*by, "claim_id").orderBy("seq"))
-    return rows.withColumn("_rn", first).where("_rn = 1").drop("_rn").withColumn("is_deterministic", F.lit(False))
+    rows = rows.join(claims.select(*by, "claim_id", "severity"), [*by, "claim_id"]).withColumn("is_deterministic", F.lit(False))
+    if "deterministic_verdict" in claims.columns:
+        rows = rows.unionByName(known_verdicts(claims, by).withColumn("seq", F.lit(None).cast(raw.schema["seq"].dataType)))
+    first = F.row_number().over(Window.partitionBy(*by, "claim_id").orderBy(F.desc("is_deterministic"), "seq"))
+    return rows.withColumn("_rn", first).where("_rn = 1").drop("_rn")
+
+
+def known_verdicts(claims: DataFrame, by: list[str]) -> DataFrame:
+    """VRD-02: the verdicts of claims (by, claim_id, severity, deterministic_verdict, deterministic_status, entities) that reference data decided."""
+    said = F.col("deterministic_verdict")
+    status = F.coalesce("deterministic_status", F.lit("UNVERIFIED"))
+    return claims.where(F.coalesce(said, F.lit("")) != "").select(
+        *by, "claim_id", status.alias("status"), "severity", F.array(F.lit("reference_data")).alias("source_ids"), said.alias("found_value"),
+        F.array_join(F.coalesce("entities", F.array().cast("array<string>")), ", ").alias("document_value"), F.when(status == "CONTRADICTED", said).alias("contradiction_detail"),
+        F.lit("HIGH").alias("confidence"), F.lit(True).alias("is_deterministic"),
+    )
 
 
 def facts_of(verdicts: DataFrame) -> DataFrame:

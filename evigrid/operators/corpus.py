@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType
 
 from .. import dims
 from ..functions import text as T
+from ..storage import written
 from .fusion import keep_first
 
 
@@ -115,44 +116,101 @@ def canonical(law: Column) -> Column:
 
 
 @F.pandas_udf(DoubleType())
-def title_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Matching-block ratio of two titles; not an edit distance, which is why it runs in Python, on unresolved titles alone."""
+def title_ratio(title: pd.Series, asked: pd.Series) -> pd.Series:
+    """Matching-block ratio of a title to what was asked; not an edit distance, which is why it runs in Python, on candidates alone."""
     import difflib
 
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)])
+    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(title, asked, strict=True)])
 
 
 def title_key(title: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(title), r"[^\p{L}\p{N}\s]", " "), r"\s+", " "))
 
 
+#: SCA-17: least ratio of a fuzzy title, least characters of what was asked, least characters of a word of content.
+TITLE_RATIO, TITLE_LEAST, TITLE_WORD = 0.6, 10, 4
+
+
+def grams(text: Column) -> Column:
+    """Distinct runs of one to three characters."""
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda q: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - q + 1)), lambda i: F.substr(text, i, q)))))
+
+
+def title_parts(asked: DataFrame, titles: DataFrame) -> DataFrame:
+    """SCA-17, step 6: (key, title_key) where one holds the other. The shorter one's first characters, up to three, are among
+    the longer one's runs of characters, which makes it a join by equal keys. An empty key is part of every title."""
+    begins = F.substring("x", 1, 3)
+    a = asked.where("key <> ''").select("key", F.col("key").alias("x"))
+    t = titles.where("title_key <> ''").select("title_key", F.col("title_key").alias("x"))
+    inside = t.withColumn("gram", begins).drop("x").join(a.select("key", F.explode(grams(F.col("x"))).alias("gram")), "gram").where(F.contains("key", "title_key"))
+    around = a.withColumn("gram", begins).drop("x").join(t.select("title_key", F.explode(grams(F.col("x"))).alias("gram")), "gram").where(F.contains("title_key", "key"))
+    every = asked.where("key = ''").select("key").join(titles.where("title_key <> ''").orderBy("place").limit(1).select("title_key"))
+    return inside.select("key", "title_key").unionByName(around.select("key", "title_key")).unionByName(every).distinct()
+
+
+def letters(text: Column) -> Column:
+    """Characters with their number of occurrence, so that common ones of two texts can be counted as a set."""
+    chars = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
+    return F.transform(chars, lambda c, i: F.concat(c, i - F.array_position(chars, c)))
+
+
+def fuzzy_titles(asked: DataFrame, titles: DataFrame) -> DataFrame:
+    """SCA-17, step 7: (key, title_key) of the nearest title at a ratio of 0.6 or more, if it shares a word of four characters.
+
+    The nearest is sought first and the word asked for then: a farther title with a common word is no substitute. Matching
+    blocks of a ratio r over lengths m and n hold r * (m + n) / 2 characters, so both texts have that many characters in common,
+    neither is much longer, and they meet in their rarest characters: an index of numbered characters with length, prefix and count
+    filters gives the candidates, without loss, and the ratio itself is computed for these alone. Ties: the greater title.
+    """
+    half = TITLE_RATIO / 2
+    short = TITLE_RATIO / (2 - TITLE_RATIO)
+    sides = {}
+    df = titles.select("title_key", F.explode(letters(F.col("title_key"))).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+    for name, rows in (("key", asked.where(F.length("key") >= TITLE_LEAST)), ("title_key", titles.where("title_key <> ''"))):
+        own = rows.select(name, letters(F.col(name)).alias("ws")).withColumn("n", F.size("ws"))
+        ranked = own.select(name, "n", F.explode("ws").alias("w")).join(df, "w", "left")
+        nth = F.row_number().over(Window.partitionBy(name).orderBy(F.coalesce("df", F.lit(0)), "w"))
+        needed = F.ceil(half * (F.col("n") + F.ceil(short * F.col("n") - 1e-9)) - 1e-9)
+        sides[name] = own, ranked.withColumn("nth", nth).where(F.col("nth") <= F.col("n") - needed + 1).select(name, "w")
+    near = sides["key"][1].join(sides["title_key"][1], "w").select("key", "title_key").distinct()
+    full = near.join(sides["key"][0], "key").join(sides["title_key"][0].select("title_key", F.col("ws").alias("vs"), F.col("n").alias("m")), "title_key")
+    enough = F.size(F.array_intersect("ws", "vs")) >= half * (F.col("n") + F.col("m")) - 1e-9
+    rated = full.where(enough).select("key", "title_key").withColumn("ratio", title_ratio("title_key", "key")).where(F.col("ratio") >= TITLE_RATIO)
+    nearest = rated.groupBy("key").agg(F.max(F.struct("ratio", "title_key")).alias("m")).select("key", "m.title_key")
+    words = lambda c: F.filter(F.split(c, " "), lambda w: F.length(w) >= TITLE_WORD)
+    return nearest.where(F.arrays_overlap(words(F.col("key")), words(F.col("title_key"))))
+
+
 def resolve_laws(raw: DataFrame, registry: DataFrame, column: str = "raw") -> DataFrame:
     """SCA-17: distinct raw strings to canonical law ids, by the first of the ordered steps that hits.
 
-    registry (law_id, code, title), broadcast: one row a law. Steps: exact id, code, same core, alias, id-shaped input as it is
-    (never fuzzy), exact title, title part, fuzzy title (10 characters, ratio 0.6, a common word of 4), input.
+    registry (law_id, code, title): one row a law and title; with a column `place` its order breaks ties, else the id does.
+    Steps: exact id, code, same core, alias, id-shaped input as it is (never fuzzy), exact title, title part, fuzzy title, input.
+    All joins are by equal keys; Spark decides whether the registry is small enough to be sent to every task.
     """
     ids = raw.select(F.trim(column).alias("raw")).where("raw <> ''").distinct().withColumns({"up": F.upper("raw"), "key": title_key(F.col("raw"))})
-    ids = ids.withColumn("core", T.law_core(F.col("up")))
-    reg = registry.select("law_id", F.upper("law_id").alias("id_up"), F.rtrim(F.upper("code"), F.lit("_")).alias("code_up"), T.law_core(F.col("law_id")).alias("reg_core"), title_key(F.col("title")).alias("title_key"))
+    ids = written(ids.withColumn("core", T.law_core(F.col("up"))), "asked")
+    place = F.col("place") if "place" in registry.columns else F.col("law_id")
+    reg = registry.select("law_id", place.alias("place"), F.upper("law_id").alias("id_up"), F.rtrim(F.upper("code"), F.lit("_")).alias("code_up"), T.law_core(F.col("law_id")).alias("reg_core"), title_key(F.col("title")).alias("title_key"))
 
-    def step(n: int, on: Column) -> DataFrame:
-        return ids.join(F.broadcast(reg), on).groupBy("raw").agg(F.min("law_id").alias("law_id")).withColumn("step", F.lit(n))
+    def step(n: int, mine: Column, own: str) -> DataFrame:
+        first = reg.where(F.col(own).isNotNull()).groupBy(F.col(own).alias("_key")).agg(F.min_by("law_id", F.struct("place", "law_id")).alias("law_id"))
+        return ids.select("raw", mine.alias("_key")).join(first, "_key").select("raw", "law_id", F.lit(n).alias("step"))
 
     shaped = F.col("core").isNotNull()
     alias = F.create_map(*[F.lit(x) for kv in dims.LAW_ALIASES.items() for x in kv])
-    steps = step(1, F.col("up") == F.col("id_up")).unionByName(step(2, F.rtrim("up", F.lit("_")) == F.col("code_up"))).unionByName(step(3, F.col("core") == F.col("reg_core")))
+    steps = step(1, F.col("up"), "id_up").unionByName(step(2, F.rtrim("up", F.lit("_")), "code_up")).unionByName(step(3, F.col("core"), "reg_core"))
     steps = steps.unionByName(ids.select("raw", F.try_element_at(alias, F.col("up")).alias("law_id"), F.lit(4).alias("step")).where("law_id is not null"))
     steps = steps.unionByName(ids.where(shaped).select("raw", F.col("raw").alias("law_id"), F.lit(5).alias("step")))
-    titled = ids.where(~shaped)
-    parts = titled.join(F.broadcast(reg), (F.col("title_key") != "") & (F.col("key").contains(F.col("title_key")) | F.col("title_key").contains(F.col("key"))))
-    parts = parts.groupBy("raw").agg(F.min(F.struct(F.when(F.col("key") == F.col("title_key"), 6).otherwise(7).alias("step"), "law_id")).alias("m")).select("raw", "m.law_id", "m.step")
-    steps = steps.unionByName(parts)
-    words = lambda c: F.filter(F.split(c, " "), lambda w: F.length(w) >= 4)
-    left = titled.join(steps.select("raw"), "raw", "left_anti").where(F.length("key") >= 10)
-    fuzzy = left.join(F.broadcast(reg), F.arrays_overlap(words(F.col("key")), words(F.col("title_key")))).withColumn("ratio", title_ratio("key", "title_key")).where("ratio >= 0.6")
-    fuzzy = fuzzy.groupBy("raw").agg(F.max_by("law_id", F.struct("ratio", "law_id")).alias("law_id")).withColumn("step", F.lit(8))
-    steps = steps.unionByName(fuzzy).unionByName(ids.select("raw", F.col("raw").alias("law_id"), F.lit(9).alias("step")))
+    titles = reg.where("title_key <> ''").groupBy("title_key").agg(F.min(F.struct("place", "law_id")).alias("m")).select("title_key", "m.place", "m.law_id")
+    titled = ids.where(~shaped).select("raw", "key")
+    keys = titled.select("key").distinct()
+    parts = titled.join(title_parts(keys, titles), "key").join(titles, "title_key")
+    parts = parts.groupBy("raw").agg(F.min(F.struct(F.when(F.col("key") == F.col("title_key"), 6).otherwise(7).alias("step"), "place", "law_id")).alias("m")).select("raw", "m.law_id", "m.step")
+    steps = written(steps.unionByName(parts), "resolved")
+    left = titled.join(steps.select("raw"), "raw", "left_anti")
+    fuzzy = left.join(fuzzy_titles(left.select("key").distinct(), titles), "key").join(titles, "title_key")
+    steps = steps.unionByName(fuzzy.select("raw", "law_id", F.lit(8).alias("step"))).unionByName(ids.select("raw", F.col("raw").alias("law_id"), F.lit(9).alias("step")))
     return steps.groupBy("raw").agg(F.min(F.struct("step", "law_id")).alias("m")).select("raw", "m.law_id", "m.step")
 
 

@@ -7,14 +7,12 @@ for whole groups where only the numbers of pairs are wanted, without making the
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions import text as T
+from ..storage import written
 
 
 def is_spam(url: Column, content: Column, fallback: Column, law_id: Column, least: int = 150, spam=None, signal=None, spam_urls=dims.SPAM_URLS, trusted=dims.TRUSTED_URLS) -> Column:
@@ -137,49 +135,35 @@ def cosine_pairs(vectors: DataFrame, threshold: float = dims.COSINE_DUPLICATE, i
 
 
 def greedy_losers(pairs: DataFrame, ranks: DataFrame) -> DataFrame:
-    """DED-02: replay pairs in (a, b) order: skip a pair with a loser, else the weaker rank loses (tie: b).
+    """DED-02: (id, kept_id) of what a replay of the pairs in (a, b) order drops: a pair with a loser is skipped, else the weaker rank
+    loses (tie: b). pairs (a, b) with a < b; ranks (id, legal_rank).
 
-    pairs (a, b); ranks (id, legal_rank). The replay runs by connected component of the pairs, found by label
-    propagation; a component of duplicates is what has to be seen in order.
+    The replay goes by nodes: a node takes its turn with its later neighbours in order until it loses to one of them. In
+    each round all nodes take their turn that are the smallest without one among the earlier neighbours of each of their
+    neighbours and have no earlier neighbour without one; what such a node meets is settled. No component is gathered: a
+    round is joins and aggregations, and each round settles the smallest node left, so the loop ends.
     """
-    import pandas as pd
-
-    labelled = components(pairs)
-    rows = pairs.join(labelled.withColumnRenamed("id", "a"), "a").join(ranks.select(F.col("id").alias("a"), F.col("legal_rank").alias("ra")), "a", "left").join(ranks.select(F.col("id").alias("b"), F.col("legal_rank").alias("rb")), "b", "left")
-    kind = dict(pairs.dtypes)["a"]
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        lost: dict = {}
-        for a, b, ra, rb in pdf.sort_values(["a", "b"])[["a", "b", "ra", "rb"]].itertuples(index=False):
-            if a in lost or b in lost:
-                continue
-            loser, winner = (a, b) if ra > rb else (b, a)
-            lost[loser] = winner
-        return pd.DataFrame({"id": list(lost), "kept_id": list(lost.values())})
-
-    return rows.groupBy("component").applyInPandas(replay, f"id {kind}, kept_id {kind}")
-
-
-def components(pairs: DataFrame, rounds: int = 50) -> DataFrame:
-    """(id, component): smallest id reachable over the pairs, by rounds of minimum labels with checkpoints."""
-    spark = pairs.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "evigrid-shared"))
-    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("near")).unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("near"))).distinct().checkpoint()
-    labels = both.groupBy("id").agg(F.least(F.col("id"), F.min("near")).alias("component")).checkpoint()
-    for _ in range(rounds):
-        offered = both.join(labels.select(F.col("id").alias("near"), F.col("component").alias("c")), "near").groupBy("id").agg(F.min("c").alias("c"))
-        new = labels.join(offered, "id", "left").select("id", F.least("component", F.coalesce("c", "component")).alias("component"))
-        # follow the label's own label, which halves the distance
-        new = new.join(labels.select(F.col("id").alias("component"), F.col("component").alias("up")), "component", "left").select("id", F.least("component", F.coalesce("up", "component")).alias("component")).checkpoint()
-        changed = new.join(labels.withColumnRenamed("component", "old"), "id").where("component <> old").limit(1).count()
-        labels = new
-        if not changed:
-            return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    rank = ranks.select("id", F.coalesce("legal_rank", F.lit(99)).alias("rank"))
+    edges = pairs.select("a", "b").where("a < b").distinct()
+    edges = edges.join(rank.select(F.col("id").alias("a"), F.col("rank").alias("ra")), "a", "left").join(rank.select(F.col("id").alias("b"), F.col("rank").alias("rb")), "b", "left")
+    edges = written(edges.select("a", "b", F.coalesce("ra", F.lit(99)).alias("ra"), F.coalesce("rb", F.lit(99)).alias("rb")), "pairs")
+    lost = None
+    while True:
+        waits = edges.groupBy("b").agg(F.min("a").alias("first"))
+        held = edges.join(waits, "b").where("a > first").select("a").unionByName(waits.select(F.col("b").alias("a"))).distinct()
+        turns = edges.join(held, "a", "left_anti")
+        # the first better one ends a node's turn; all before it lose
+        stop = turns.where("ra > rb").groupBy("a").agg(F.min("b").alias("stop"))
+        fates = turns.join(stop, "a", "left")
+        down = fates.where("stop is null or b < stop").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("kept_id"))
+        new = written(down.unionByName(stop.select(F.col("a").alias("id"), F.col("stop").alias("kept_id"))), "losers")
+        if not turns.limit(1).count():
+            return new if lost is None else lost
+        lost = new if lost is None else lost.unionByName(new)
+        done = turns.select("a").distinct()
+        gone = new.select("id")
+        edges = edges.join(done, "a", "left_anti").join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti")
+        edges = written(edges.select("a", "b", "ra", "rb"), "pairs")
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -225,17 +209,33 @@ def jaccard_pairs(rows: DataFrame, threshold: float = dims.GAP_JACCARD, id_col:
 
 
 def greedy_keep(pairs: DataFrame) -> DataFrame:
-    """DED-04: ids that a sequential pass drops: an id goes if it is similar to an earlier kept one."""
-    import pandas as pd
+    """DED-04: ids that a sequential pass drops: an id goes if it is similar to an earlier kept one.
 
-    kind = dict(pairs.dtypes)["a"]
-    rows = pairs.join(components(pairs).withColumnRenamed("id", "a"), "a")
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        dropped: set = set()
-        for b, own in pdf.sort_values(["b", "a"]).groupby("b"):
-            if any(a not in dropped for a in own.a):
-                dropped.add(b)
-        return pd.DataFrame({"id": sorted(dropped)})
-
-    return rows.groupBy("component").applyInPandas(replay, f"id {kind}")
+    Rounds of the lexicographically first independent set: an id without an undecided earlier neighbour stays, its later
+    neighbours go. An id that waits for one other id alone stays exactly if that one goes; from the third round on such
+    chains are followed by doubling, so a chain in the order of the ids takes steps by the logarithm of its length.
+    """
+    edges = written(pairs.select("a", "b").where("a < b").distinct(), "pairs")
+    dropped, rounds = None, 0
+    while True:
+        rounds += 1
+        waiting = edges.groupBy("b").agg(F.count("*").alias("n"), F.min("a").alias("up"))
+        free = edges.select("a").distinct().join(waiting.select(F.col("b").alias("a")), "a", "left_anti")
+        # odd: the id goes if the one it points to stays
+        chain = waiting.where("n = 1").select(F.col("b").alias("id"), "up", F.lit(True).alias("odd"))
+        while rounds > 2:
+            over = chain.select(F.col("id").alias("up"), F.col("up").alias("top"), F.col("odd").alias("turn"))
+            longer = chain.join(over, "up", "left").select("id", F.coalesce("top", "up").alias("up"), F.when(F.col("top").isNull(), F.col("odd")).otherwise(F.col("odd") != F.col("turn")).alias("odd"), F.col("top").isNotNull().alias("moved"))
+            longer = written(longer, "chain")
+            chain = longer.drop("moved")
+            if not longer.where("moved").limit(1).count():
+                break
+        decided = chain.join(free.withColumnRenamed("a", "up"), "up", "left_semi")
+        stays = free.unionByName(decided.where("not odd").select(F.col("id").alias("a")))
+        gone = written(edges.join(stays, "a", "left_semi").select(F.col("b").alias("id")).distinct(), "dropped")
+        if not edges.limit(1).count():
+            return gone if dropped is None else dropped
+        dropped = gone if dropped is None else dropped.unionByName(gone)
+        out = gone
+        edges = edges.join(stays, "a", "left_anti").join(out.select(F.col("id").alias("a")), "a", "left_anti").join(out.select(F.col("id").alias("b")), "b", "left_anti")
+        edges = written(edges.select("a", "b"), "pairs")

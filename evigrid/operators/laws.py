@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions import text as T
+from ..storage import written
 from . import corpus
 
 BASE = "https://adilet.zan.kz"
@@ -95,12 +96,17 @@ def law_references(docs: DataFrame, registry: DataFrame, id_col: str = "doc_id",
     return rows.select("doc_id", law.alias("law_id")).where("law_id is not null").distinct()
 
 
+def clean_entities(entities: Column) -> Column:
+    """SCA-13: entities in upper case without spaces, the mark of laws and hyphens at the ends."""
+    none = F.array().cast("array<string>")
+    return F.transform(F.coalesce(entities, none), lambda e: F.btrim(F.regexp_replace(F.replace(F.upper(F.trim(e)), F.lit(" "), F.lit("")), "ЗРК", ""), F.lit("-")))
+
+
 def claim_laws(claim_text: Column, quote: Column, entities: Column, target_laws: Column) -> Column:
     """SCA-13: ids of the laws that a claim names, sorted. Target laws override everything else; else entities in id form, names
     and abbreviations, and ids in the text."""
     none = F.array().cast("array<string>")
-    clean = F.transform(F.coalesce(entities, none), lambda e: F.btrim(F.regexp_replace(F.replace(F.upper(F.trim(e)), F.lit(" "), F.lit("")), "ЗРК", ""), F.lit("-")))
-    by_entity = F.filter(clean, lambda e: e.rlike(r"^\d+-[-‐–A-Z]+$"))
+    by_entity = F.filter(clean_entities(entities), lambda e: e.rlike(r"^\d+-[-‐–A-Z]+$"))
     low = F.lower(F.concat(F.coalesce(claim_text, F.lit("")), F.lit(" "), F.coalesce(quote, F.lit(""))))
 
     def named(name: str) -> Column:
@@ -112,6 +118,28 @@ def claim_laws(claim_text: Column, quote: Column, entities: Column, target_laws:
     return F.array_sort(F.array_distinct(F.when(F.size(F.coalesce(target_laws, none)) > 0, target_laws).otherwise(own)))
 
 
+#: SCA-13: what a registry code looks like; a code counts even if the registry lacks it.
+CODE_SHAPE = r"^[A-Z]\d{8,10}_?$"
+
+
+def laws_of_claims(claims: DataFrame, registry: DataFrame, keys: list[str]) -> DataFrame:
+    """SCA-13 with the registry: (keys, laws) of claims (keys, claim_text, quote, entities, target_law_ids), canonical, sorted.
+
+    Beside id forms, names and ids in the text, an entity counts if the registry locates it: it resolves to a law with a code,
+    or is a code. Target laws override everything. registry as in `resolve_laws`.
+    """
+    none = F.array().cast("array<string>")
+    rows = claims.select(*keys, clean_entities(F.col("entities")).alias("_entities"), F.coalesce("target_law_ids", none).alias("_targets"), claim_laws(F.col("claim_text"), F.col("quote"), F.col("entities"), F.col("target_law_ids")).alias("_named"))
+    entities = rows.where(F.size("_targets") == 0).select(*keys, F.explode("_entities").alias("raw")).where("raw <> ''")
+    coded = registry.where(F.coalesce("code", F.lit("")) != "").select("law_id").distinct()
+    located = corpus.resolve_laws(entities, registry).select("raw", "law_id").join(coded, "law_id", "left_semi").select("raw")
+    by_code = entities.where(F.col("raw").rlike(CODE_SHAPE)).select("raw").unionByName(located).distinct()
+    found = written(entities.join(by_code, "raw").select(*keys, "raw").unionByName(rows.select(*keys, F.explode("_named").alias("raw"))), "named")
+    canonical = corpus.resolve_laws(found, registry).select("raw", F.upper("law_id").alias("law"))
+    laws = found.withColumn("raw", F.trim("raw")).join(canonical, "raw").groupBy(*keys).agg(F.array_sort(F.collect_set("law")).alias("laws"))
+    return claims.select(*keys).join(laws, keys, "left").withColumn("laws", F.coalesce("laws", none))
+
+
 def file_law_id(path: Column, text: Column, codes: dict[str, str]) -> Column:
     """SCA-24: the law of a file: constitution, known codes or a short id in its name, codes in its folder's name, then the same
     in the first 2000 characters of its text; else UNKNOWN. codes: registry code to short id, checked in order."""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions import text as T
-
+from ..storage import written
 
 #: More distinct (query, term) rows than this are joined by a shuffle instead of a broadcast.
 BROADCAST_TERMS = 500_000
@@ -51,7 +51,7 @@ def score(index: Bm25Index, queries: DataFrame, tokenize=T.tokens, id_col: str =
     The terms of the queries are broadcast to the postings if there are at most BROADCAST_TERMS of them (counted first);
     then no posting moves. More meet the postings by a shuffle on the term.
     """
-    asked = queries.select(F.col(id_col).alias("query_id"), F.explode(tokenize(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    asked = query_terms(queries, tokenize, id_col, text_col)
     few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     weighted = index.terms.join(F.broadcast(asked) if few else asked, "term")
     norm = dims.BM25_K1 * (1 - dims.BM25_B + dims.BM25_B * F.col("length") / F.col("avgdl"))
@@ -66,12 +66,73 @@ def top_k(scored: DataFrame, k: int, by: str = "score", query: str = "query_id",
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def normaliser(index: Bm25Index, corpus: DataFrame, tokenize=T.tokens, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """RNK-02: one row, the median over documents of the best score of their first 200 characters as a query; 1 if below 0.001."""
-    own = score(index, corpus.select(F.col(id_col).alias("query_id"), F.substring(text_col, 1, 200).alias("text")), tokenize)
-    best = own.groupBy("query_id").agg(F.max("score").alias("best"))
-    heads = corpus.select(F.col(id_col).alias("query_id"), F.size(tokenize(F.substring(text_col, 1, 200))).alias("n")).where("n > 0")
-    value = heads.join(best, "query_id", "left").agg(F.median(F.greatest(F.coalesce("best", F.lit(0.0)), F.lit(0.0))).alias("m"))
+@dataclass
+class Blocks:
+    """Finished weights (id, term, band, weight), written once, and the largest of each block (term, band, most, n).
+
+    A band holds the documents of about one length, two bands an octave: weights of a term differ little inside one, and the
+    bands grow with the logarithm of the longest document only.
+    """
+
+    weights: DataFrame
+    largest: DataFrame
+
+
+def blocks(index: Bm25Index) -> Blocks:
+    """Block-max postings of an index."""
+    norm = dims.BM25_K1 * (1 - dims.BM25_B + dims.BM25_B * F.col("length") / F.col("avgdl"))
+    weight = F.col("idf") * F.col("tf") * (dims.BM25_K1 + 1) / (F.col("tf") + norm)
+    rows = index.postings.join(index.terms, "term").join(F.broadcast(index.stats))
+    weights = written(rows.select("id", "term", F.floor(2 * F.log2("length")).cast("int").alias("band"), weight.alias("weight")), "weights")
+    return Blocks(weights, weights.groupBy("term", "band").agg(F.max("weight").alias("most"), F.count("*").alias("n")))
+
+
+def query_terms(queries: DataFrame, tokenize=T.tokens, id_col: str = "query_id", text_col: str = "text") -> DataFrame:
+    """(query_id, term, qtf)."""
+    return queries.select(F.col(id_col).alias("query_id"), F.explode(tokenize(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+
+
+def score_pairs(index: Blocks, asked: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(query_id, id, score) of given pairs (query_id, id), 0 where they share no term: joined by document and term, so that work follows the
+    pairs and the terms of their queries, never a term's postings."""
+    terms = pairs.join(asked, "query_id").join(index.weights.select("id", "term", "weight"), ["id", "term"])
+    found = terms.groupBy("query_id", "id").agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
+    return pairs.join(found, ["query_id", "id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
+def challengers(index: Blocks, asked: DataFrame, start: DataFrame) -> DataFrame:
+    """(query_id, id) of all documents that can score more than `start` (query_id, start), and few others.
+
+    In each band a query's terms are taken rarest first, until what the other terms weigh at most is no more than the start: a
+    document with none of the terms taken can't win. A document whose rarest common term is the k-th needs there at least the start
+    less what the later terms weigh at most, which cuts the block's postings.
+    """
+    order = Window.partitionBy("query_id", "band").orderBy("n", "term")
+    bound = F.col("qtf") * F.greatest("most", F.lit(0.0))
+    rows = asked.join(index.largest, "term").withColumn("from_here", F.sum(bound).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    rows = rows.join(start, "query_id").where(F.col("from_here") > F.col("start") - 1e-9)
+    cut = (F.col("start") - (F.col("from_here") - bound)) / F.col("qtf") - 1e-9
+    taken = rows.withColumn("cut", cut).where(F.col("most") >= F.col("cut")).select("query_id", "term", "band", "cut")
+    return taken.join(index.weights, ["term", "band"]).where(F.col("weight") >= F.col("cut")).select("query_id", "id").distinct()
+
+
+def best_scores(index: Blocks, asked: DataFrame, start: DataFrame) -> DataFrame:
+    """(query_id, best): the largest score over all documents that is at least `start` (query_id, start), a score known to be reached."""
+    found = score_pairs(index, asked, challengers(index, asked, start)).groupBy("query_id").agg(F.max("score").alias("found"))
+    return start.join(found, "query_id", "left").select("query_id", F.greatest("start", F.coalesce("found", "start")).alias("best"))
+
+
+def normaliser(index: Bm25Index, corpus: DataFrame, tokenize=T.tokens, id_col: str = "id", text_col: str = "text", ready: Blocks | None = None) -> DataFrame:
+    """RNK-02: one row, the median over documents of the best score of their first 200 characters as a query; 1 if below 0.001.
+
+    A head's own document is where its search starts: only documents that can beat it are scored.
+    """
+    ready = ready or blocks(index)
+    heads = corpus.select(F.col(id_col).alias("query_id"), F.substring(text_col, 1, 200).alias("text")).where(F.size(tokenize(F.col("text"))) > 0)
+    asked = written(query_terms(heads, tokenize), "heads")
+    own = asked.join(ready.weights.select(F.col("id").alias("query_id"), "term", "weight"), ["query_id", "term"]).groupBy("query_id").agg(F.sum(F.col("qtf") * F.col("weight")).alias("start"))
+    best = best_scores(ready, asked, own)
+    value = best.agg(F.median(F.greatest("best", F.lit(0.0))).alias("m"))
     return value.select(F.when(F.coalesce("m", F.lit(0.0)) < 0.001, 1.0).otherwise(F.col("m")).alias("norm"))
 
 

@@ -216,23 +216,29 @@ def cosine_pairs(spark, d):
     return pairs.withColumn("cosine", F.round("cosine", 5)).where("cosine >= 0.35")
 
 
-@query()
+@query("""WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) >= 0.35),
+f AS (SELECT list_reduce(list([a, b, 1 + a % 11, 1 + b % 11] ORDER BY a, b), lambda gone, x: CASE WHEN list_contains(gone, x[1]) OR list_contains(gone, x[2]) THEN gone WHEN x[3] > x[4] THEN gone || [x[1], -1 - x[2]] ELSE gone || [x[2], -1 - x[1]] END, []::BIGINT[]) AS gone FROM p)
+SELECT gone[2 * i + 1] AS id, -1 - gone[2 * i + 2] AS kept_id FROM (SELECT gone, unnest(range(len(gone) // 2)) AS i FROM f)""")
 def greedy_cosine_dedup(spark, d):
     """DED-02."""
     vectors = table(spark, d, "embeddings")
-    pairs = fusion.cosine_pairs(vectors, 0.35, "vec_id", "embedding")
+    pairs = fusion.cosine_pairs(vectors, 0.35 - 1e-5, "vec_id", "embedding").where(F.round("cosine", 5) >= 0.35)
     return fusion.greedy_losers(pairs.select("a", "b"), vectors.select(F.col("vec_id").alias("id"), (1 + F.col("vec_id") % 11).alias("legal_rank")))
 
 
-@query(r"""WITH s AS (SELECT doc_id AS id, list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}_]+'), lambda w: length(w) > 3)) AS w FROM documents)
-SELECT a, b, round(i / (na + nb - i), 6) AS similarity FROM (SELECT x.id AS a, y.id AS b, len(x.w) AS na, len(y.w) AS nb, len(list_intersect(x.w, y.w)) AS i FROM s x JOIN s y ON x.id < y.id) WHERE i > 0 AND i / (na + nb - i) >= 0.6""")
+_JACCARD_SQL = r"""WITH s AS (SELECT doc_id AS id, list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}_]+'), lambda w: length(w) > 3)) AS w FROM documents)
+SELECT a, b, round(i / (na + nb - i), 6) AS similarity FROM (SELECT x.id AS a, y.id AS b, len(x.w) AS na, len(y.w) AS nb, len(list_intersect(x.w, y.w)) AS i FROM s x JOIN s y ON x.id < y.id) WHERE i > 0 AND i / (na + nb - i) >= 0.6"""
+
+
+@query(_JACCARD_SQL)
 def jaccard_dedup_pairs(spark, d):
     """DED-04, pairs."""
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     return fusion.jaccard_pairs(rows).withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
+@query(rf"""WITH p AS ({_JACCARD_SQL}), n AS (SELECT b, list(a) AS earlier FROM p GROUP BY b)
+SELECT unnest(list_reduce(list([b] || earlier ORDER BY b), lambda gone, x: CASE WHEN len(list_filter(x[2:], lambda y: NOT list_contains(gone, y))) > 0 THEN gone || [x[1]] ELSE gone END, []::BIGINT[])) AS id FROM n""")
 def jaccard_greedy(spark, d):
     """DED-04, rows that go."""
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")

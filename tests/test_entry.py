@@ -2,6 +2,8 @@
 
 import math
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -35,6 +37,23 @@ def test_entry(spark):
     assert entry.entry(spark).count() == 200
 
 
+@pytest.mark.parametrize("hidden", ["zstandard", "evigrid.llm", "corpus_pipeline"])
+def test_what_is_missing_leaves_out_its_own_queries_only(hidden):
+    code = f"""
+import sys
+class Hide:
+    def find_spec(self, name, path=None, target=None):
+        if name == {hidden!r}:
+            raise ModuleNotFoundError(name=name)
+sys.meta_path.insert(0, Hide())
+import __spark_entry__ as entry
+names = set(entry.queries())
+assert "doc_normalise" in names and "fact_audit" in names and not any(n.startswith("op1") for n in names) and "pipeline" not in names
+assert set(entry.oracle_sql()) <= names
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.abspath(entry.__file__)), timeout=120)
+
+
 def test_oracles_have_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
