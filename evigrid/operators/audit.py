@@ -339,9 +339,9 @@ def parse_findings(raw: DataFrame, by: list[str]) -> DataFrame:
 
 
 def backfill(verdicts: DataFrame, claims: DataFrame, by: list[str]) -> DataFrame:
-    """JOI-13: claims without a verdict become UNVERIFIED / LOW with the first 100 characters as document value."""
+    """JOI-13: claims without a verdict become UNVERIFIED / LOW without a source, the first 100 characters as document value."""
     missing = claims.join(verdicts.select(*by, "claim_id").distinct(), [*by, "claim_id"], "left_anti")
-    made = missing.select(*by, "claim_id", "severity", F.lit("UNVERIFIED").alias("status"), F.lit("LOW").alias("confidence"), F.substring("claim_text", 1, 100).alias("document_value"), F.array(F.lit("UNLINKED")).alias("source_ids"), F.lit(False).alias("is_deterministic"))
+    made = missing.select(*by, "claim_id", "severity", F.lit("UNVERIFIED").alias("status"), F.lit("LOW").alias("confidence"), F.substring("claim_text", 1, 100).alias("document_value"), F.array().cast("array<string>").alias("source_ids"), F.lit(False).alias("is_deterministic"))
     return verdicts.unionByName(made, allowMissingColumns=True)
 
 

@@ -162,6 +162,24 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size == 0, F.lit(0.0)).otherwise(dot(a, b) / size)
 
 
+#: SET-04: bits of the branches that found a candidate.
+EXACT, LEXICAL, SEMANTIC = 1, 2, 4
+
+
+def merge_candidates(exact: DataFrame, lexical: DataFrame, semantic: DataFrame) -> DataFrame:
+    """SET-04: (query_id, id, found, exact, bm25, semantic): the union of three branches' candidates, each pair once.
+
+    exact (query_id, id); lexical and semantic (query_id, id, score). found has a bit for each branch; scores of branches that
+    lack the pair are null. Ids alone meet here, so that texts are joined once, to what is left.
+    """
+    none = F.lit(None).cast("double")
+    rows = exact.select("query_id", "id", F.lit(EXACT).alias("bit"), none.alias("bm25"), none.alias("semantic"))
+    rows = rows.unionByName(lexical.select("query_id", "id", F.lit(LEXICAL).alias("bit"), F.col("score").cast("double").alias("bm25"), none.alias("semantic")))
+    rows = rows.unionByName(semantic.select("query_id", "id", F.lit(SEMANTIC).alias("bit"), none.alias("bm25"), F.col("score").cast("double").alias("semantic")))
+    merged = rows.groupBy("query_id", "id").agg(F.bit_or("bit").alias("found"), F.max("bm25").alias("bm25"), F.max("semantic").alias("semantic"))
+    return merged.withColumn("exact", F.col("found").bitwiseAND(EXACT).cast("int"))
+
+
 def fuse(candidates: DataFrame, k: int = 10, pool: int = 50, weights: tuple[float, float, float] = dims.FUSION_WEIGHTS) -> DataFrame:
     """RNK-04: rank (query_id, id, semantic, bm25, exact, language_match, year) by weighted, adjusted scores.
 

@@ -61,10 +61,9 @@ def pdf_text(content: bytes) -> str:
     return "\n".join(page.extract_text() or "" for page in PdfReader(io.BytesIO(content)).pages)
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-01..04, SRC-22: (path, format, raw_text, error, doc_id, char_count, word_count) of all files under a path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    rows = files.select("path", document_format(F.col("path")).alias("format"), "content")
+def parse_files(rows: DataFrame) -> DataFrame:
+    """SRC-01..04: (path, format, raw_text, error) of files (path, content)."""
+    rows = rows.select("path", document_format(F.col("path")).alias("format"), "content")
 
     def parse(batches):
         readers = {"docx": docx_text, "txt": txt_text, "pdf": pdf_text}
@@ -81,7 +80,13 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
     parsed = rows.mapInPandas(parse, "path string, format string, raw_text string, error string")
     text = F.when(F.col("format") == "pdf", T.repair_breaks(T.repair_spacing(F.col("raw_text")))).otherwise(F.col("raw_text"))
-    parsed = parsed.withColumn("raw_text", text)
+    return parsed.withColumn("raw_text", text)
+
+
+def read_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """SRC-01..04, SRC-22: (path, format, raw_text, error, doc_id, char_count, word_count) of all files under a path, or of given files."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    parsed = parse_files(files)
     return parsed.withColumns({"doc_id": T.content_id(F.col("raw_text")), "char_count": F.length("raw_text"), "word_count": T.word_count(F.col("raw_text")), "language": T.language(F.col("raw_text"))})
 
 
