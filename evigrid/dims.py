@@ -177,3 +177,61 @@ TITLE_HINTS = {
     "о нотариате": "155-I",
     "нотариат туралы": "155-I",
 }
+
+# --- reference tables (fixed values) ----------------------------------------------------------------------------------
+#: SCA-38: year to the law that set its index.
+MRP_SOURCES = {
+    2025: "Закон РК от 29.11.2024 № 133-VIII «О республиканском бюджете на 2025-2027 годы»",
+    2024: "Закон РК от 01.12.2023 № 44-VIII «О республиканском бюджете на 2024-2026 годы»",
+    2023: "Закон РК от 01.12.2022 № 174-VII «О республиканском бюджете на 2023-2025 годы»",
+}
+#: SCA-38: id to title, date and whether the law exists.
+KNOWN_LAWS = {
+    "94-V": ("О персональных данных и их защите", "2013-05-21", True),
+    "87-IV": ("ВНИМАНИЕ: номер 87-IV НЕ существует для Закона о ПД. Правильный: 94-V", None, False),
+    "235-V": ("Кодекс РК об административных правонарушениях (КоАП)", "2014-07-05", True),
+    "226-V": ("Уголовный кодекс Республики Казахстан (УК РК)", "2014-07-03", True),
+    "231-V": ("Уголовно-процессуальный кодекс РК", "2014-07-04", True),
+    "350-VI": ("Административный процедурно-процессуальный кодекс (АППК)", "2020-07-29", True),
+    "255-VIII": ("Цифровой кодекс Республики Казахстан", "2026-01-09", True),
+    "261-IV": ("Об исполнительном производстве и статусе судебных исполнителей", "2010-04-02", True),
+    "418-V": ("Об информатизации", "2015-11-24", True),
+    "370_": ("Об электронном документе и электронной цифровой подписи", "2003-01-07", True),
+    "199-V": ("Об органах внутренних дел", "2014-11-23", True),
+    "401-V": ("О доступе к информации", "2015-11-16", True),
+    "230-VIII": ("Об искусственном интеллекте", "2025-07-01", True),
+    "256-VIII": ("О внесении изменений в законодательство в связи с принятием Цифрового кодекса", "2026-01-09", True),
+    "133-VIII": ("О республиканском бюджете на 2025-2027 годы", "2024-11-29", True),
+    "ППРК-909": ("Об утверждении Правил осуществления мер по защите ПД", "2013-11-12", True),
+    "ППРК-1214": ("Об утверждении Правил определения перечня ПД", "2013-11-12", True),
+    "ППРК-142": ("НЕ СУЩЕСТВУЕТ: ППРК №142 не найдено в реестре НПА о персональных данных", None, False),
+    "ППРК-374": ("Об определении оператора «цифрового правительства»", "2026-02-10", True),
+}
+#: SCA-38: article of the offence code to title, most for persons and for entities in MRP, notes.
+OFFENCES = {
+    "79": ("Нарушение законодательства о персональных данных и их защите", 200, 2000, "Основная статья за нарушения закона о ПД. Штраф 200 МРП для физлиц, до 2000 МРП для юрлиц."),
+    "640": ("Нарушение законодательства об электронном документе и ЭЦП", 100, 1000, "Статья применяется к нарушениям при использовании ЭЦП."),
+    "641": ("Нарушение требований в области информационной безопасности", 200, 2000, "Применяется к нарушениям требований ИБ."),
+}
+MOST_FINES = {"физлица": 200, "должностные": 500, "юрлица_мсб": 200, "юрлица": 2000, "absolute_max": 2000}
+#: SCA-38: article of the criminal code to title and notes.
+CRIMES = {
+    "147": ("Нарушение неприкосновенности частной жизни и законодательства Республики Казахстан о персональных данных и их защите", "Незаконный сбор и распространение персональных данных. Уголовная ответственность."),
+    "205": ("Неправомерный доступ к информации", "Глава 7 УК («Уголовные правонарушения в сфере информатизации и связи»). Релевантна биллям о ПД/информбезопасности."),
+    "206": ("Неправомерные уничтожение или модификация информации", "Глава 7 УК. Релевантна биллям о ПД/информбезопасности."),
+    "207": ("Нарушение работы объекта информатизации", "Глава 7 УК. Релевантна биллям о ПД/информбезопасности."),
+    "208": ("Неправомерное завладение информацией", "Глава 7 УК. Релевантна биллям о ПД/информбезопасности."),
+    "215": ("Лжепредпринимательство", "НЕ СВЯЗАНА с персональными данными."),
+}
+BREACH_NOTICE = "Закон РК 94-V «О персональных данных» не устанавливает срок уведомления об утечке в часах. Приказ от 2026-07-12 (V2600038665) вводит механизм уведомления, но срок в нём — не 24 часа."
+THIRD_PARTY_DAYS = 10
+#: SCA-23: words of a page and the law they stand for, in order.
+PAGE_HINTS = (
+    (("гражданск", " гк"), "1000-XIII"),
+    (("уголовн", " ук", " қк"), "226-V-UK"),
+    (("коап", "административн", "әкімшілік құқық бұзушылық"), "235-V"),
+    (("трудов", "еңбек кодекс"), "414-I-NEW"),
+    (("земельн", "жер кодекс"), "442-II"),
+    (("налогов", "салық кодекс"), "214-VII"),
+    (("исполнительном производстве", "судебных исполнителей", "атқарушылық іс жүргізу"), "261-IV"),
+)

@@ -1,4 +1,4 @@
-"""Text functions as Column expressions; nothing here runs Python on executors but `nfc`.
+"""Text functions as Column expressions; nothing here runs Python on executors but `nfc`, and that on few texts.
 
 Operator ids of the inventory stand in the docstrings.
 """
@@ -25,13 +25,22 @@ def contains_any(text: Column, needles: tuple[str, ...] | list[str]) -> Column:
 
 
 @F.pandas_udf(StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    """Unicode NFC; Spark has no such function."""
+def _composed(text: pd.Series) -> pd.Series:
     import unicodedata
 
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
+#: Characters that NFC leaves as they are whatever stands beside them: up to U+02FF, Cyrillic letters, dashes and quotes.
+COMPOSED = r"^[\u0000-\u02FF\u0400-\u0482\u048A-\u04FF\u2010-\u2027]*$"
+
+
+def nfc(text: Column) -> Column:
+    """Unicode NFC. Spark has no such function: texts of characters that can't change stay in the plan, others go to Python."""
+    same = text.rlike(COMPOSED)
+    return F.coalesce(F.when(same, text), _composed(F.when(~same, text)))
+
+
 def transliterate(text: Column) -> Column:
     """SCA-01 without NFC: Kazakh Latin digraphs and diacritics to Cyrillic where the trigger pattern is found."""
     out = text

@@ -180,19 +180,27 @@ def merge_candidates(exact: DataFrame, lexical: DataFrame, semantic: DataFrame)
     return merged.withColumn("exact", F.col("found").bitwiseAND(EXACT).cast("int"))
 
 
-def fuse(candidates: DataFrame, k: int = 10, pool: int = 50, weights: tuple[float, float, float] = dims.FUSION_WEIGHTS) -> DataFrame:
+def fuse(candidates: DataFrame, k: int = 10, pool: int = 50, weights: tuple[float, float, float] = dims.FUSION_WEIGHTS, law_only: bool = False, cut: int = 30, rerank: DataFrame | None = None) -> DataFrame:
     """RNK-04: rank (query_id, id, semantic, bm25, exact, language_match, year) by weighted, adjusted scores.
 
     Semantic and BM25 are scaled over all candidates of a query (BM25 at or below 0 counts as 0, a missing cosine as 0
-    before scaling); the best `pool` get the language factor and the freshness boost before the final top k.
+    before scaling); the best `pool` get the language factor and the freshness boost; of these the best `cut` go on to
+    the final top k, by rerank scores (query_id, id, rerank) where there are any. law_only drops candidates
+    without a law (column law) from the pool, which isn't filled up again.
     """
     sem = min_max(F.coalesce(F.col("semantic"), F.lit(0.0)), "query_id")
     lex = F.when(F.coalesce(F.col("bm25"), F.lit(0.0)) > 0, min_max(F.coalesce(F.col("bm25"), F.lit(0.0)), "query_id")).otherwise(F.lit(0.0))
     wlc = weights[0] * sem + weights[1] * lex + weights[2] * F.coalesce(F.col("exact"), F.lit(0)).cast("double")
     pooled = top_k(candidates.withColumn("wlc", wlc), pool, "wlc").drop("rank")
+    if law_only:
+        pooled = pooled.where("law is not null")
     factor = F.when(F.col("language_match"), F.lit(1.0)).otherwise(F.lit(0.85))
     boost = F.greatest(F.lit(0.0), (F.coalesce(F.col("year"), F.lit(2020)) - 2020) * 0.01)
-    return top_k(pooled.withColumn("final", F.col("wlc") * factor + boost), k, "final")
+    best = top_k(pooled.withColumn("final", F.col("wlc") * factor + boost), max(cut, k) if rerank is None else cut, "final")
+    if rerank is None:
+        return best.where(F.col("rank") <= k)
+    scored = best.drop("rank").join(rerank.select("query_id", "id", "rerank"), ["query_id", "id"], "left")
+    return top_k(scored.withColumn("rerank", F.coalesce("rerank", F.lit(float("-inf")))), k, "rerank")
 
 
 def layered_fallback(scored: DataFrame, claims: DataFrame, corpus: DataFrame, norm: DataFrame) -> DataFrame:
