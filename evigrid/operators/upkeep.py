@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
+from ..storage import written
 from . import corpus
 
 
@@ -97,6 +98,19 @@ def natural_key(article: Column) -> Column:
     return F.transform(F.split(article, "-"), lambda x: F.coalesce(F.regexp_extract(x, r"^\d+$", 0).try_cast("long"), F.lit((1 << 62))))
 
 
+def natural_order(rows: DataFrame, article: Column, tie: str) -> DataFrame:
+    """SRT-11: rows with nth, their place from 1 in the natural order of their article numbers, ties by a column.
+
+    The rows are sorted by ranges and written once; a place is the row's own in its range after the rows of the ranges before,
+    of which there is one count each, so no task numbers them all.
+    """
+    placed = written(rows.withColumn("_key", natural_key(article)).orderBy("_key", tie).drop("_key").withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    ranges = placed.groupBy(F.shiftright("_at", 33).alias("_range")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = placed.withColumn("_range", F.shiftright("_at", 33)).join(ranges.select("_range", before.alias("_before")), "_range")
+    return placed.select(*rows.columns, (F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).alias("nth"))
+
+
 def is_authoritative(rank: Column) -> Column:
     """FLT-08: a rank of 6 or stronger."""
     return F.coalesce(rank <= 6, F.lit(False))

@@ -90,10 +90,18 @@ def tokenize_simple(spark, d):
     return rows.select("doc_id", F.size("ts").cast("long").alias("n_tokens"), F.md5(F.array_join("ts", " ").cast("binary")).alias("tokens_md5"))
 
 
-@query()
+_SUFFIXES = "[" + ", ".join(f"'{x}'" for x in T.dims.SUFFIXES) + "]"
+_LEGAL_STOP = "[" + ", ".join(f"'{x}'" for x in T.dims.LEGAL_STOP_WORDS) + "]"
+
+
+@query(rf"""WITH w AS (SELECT conv_id, turn, list_filter(string_split_regex(regexp_replace(lower(text || ' статья граждан законами белсенді ' || conv_id), '[^\p{{L}}\p{{N}}_\s\-]', ' ', 'g'), '\s+'), lambda t: length(t) >= 3) AS ws FROM conversations),
+k AS (SELECT conv_id, turn, CASE WHEN len(list_filter(ws, lambda t: NOT list_contains({_LEGAL_STOP}, t))) > 0 THEN list_filter(ws, lambda t: NOT list_contains({_LEGAL_STOP}, t)) ELSE ws END AS ws FROM w),
+s AS (SELECT conv_id, turn, list_transform(ws, lambda t: CASE WHEN length(t) <= 4 THEN t ELSE substr(t, 1, length(t) - coalesce(length(list_filter({_SUFFIXES}, lambda x: ends_with(t, x) AND length(t) - length(x) >= 3)[1]), 0)) END) AS ts FROM k)
+SELECT conv_id, turn, len(ts)::BIGINT AS n_tokens, md5(array_to_string(ts, ' ')) AS tokens_md5 FROM s""")
 def tokenize_morph(spark, d):
-    """SCA-07 on conversations; suffix rules are tested on a fixture."""
-    rows = table(spark, d, "conversations").select("conv_id", "turn", T.morph_tokens(F.col("text")).alias("ts"))
+    """SCA-07 on conversations with some Russian and Kazakh words behind them."""
+    text = F.concat("text", F.lit(" статья граждан законами белсенді "), "conv_id")
+    rows = table(spark, d, "conversations").select("conv_id", "turn", T.morph_tokens(text).alias("ts"))
     return rows.select("conv_id", "turn", F.size("ts").cast("long").alias("n_tokens"), F.md5(F.array_join("ts", " ").cast("binary")).alias("tokens_md5"))
 
 
@@ -191,12 +199,28 @@ def spam_filter(spark, d):
     return table(spark, d, "pages").select("page_id", fusion.is_spam(F.col("url"), content, null, null, 600, r"(?i)cookie|subscribe", r"(?i)tion\b", ("?page=",), ("example.org",)).alias("is_spam"))
 
 
-@query()
+def _any_sql(x: str, needles) -> str:
+    return "(" + " OR ".join(f"contains({x}, '{n}')" for n in needles) + ")"
+
+
+_MADE = (*claims.COMMENCEMENT, *claims.AMENDMENT_VERBS, *claims.MODAL_VERBS, *claims.STRUCTURAL, "5 мрп", "10 дней", "документ является проектом закона", "настоящий закон", "статья 12 о новых условиях", "никакое слово", "коротко")
+_KINDS = ("legal_ref", "temporal", "factual", "legal_id", "normative")
+
+
+@query(rf"""WITH w AS (SELECT doc_id, [{", ".join(f"'{m}'" for m in _MADE)}][doc_id % {len(_MADE)} + 1] AS made, [{", ".join(f"'{k}'" for k in _KINDS)}][doc_id % {len(_KINDS)} + 1] AS kind, regexp_replace(coalesce(text, ''), '\d', '', 'g') AS t FROM documents),
+l AS (SELECT doc_id, kind, CASE WHEN made = 'коротко' THEN made ELSE made || ' ' || t END AS t, doc_id % 2 = 0 AS det, doc_id % 3 = 0 AS target FROM w)
+SELECT doc_id, length(trim(t)) < 20 OR {" OR ".join("regexp_matches(t, '" + p.replace("(?iuU)", "(?i)").replace("(?iu)", "(?i)").replace(chr(92) + "w", "[" + chr(92) + "p{L}" + chr(92) + "p{N}_]") + "')" for p in claims.META)} AS is_meta,
+  CASE WHEN {_any_sql("lower(t)", claims.COMMENCEMENT)} THEN true WHEN {_any_sql("lower(t)", claims.AMENDMENT_VERBS)} THEN false WHEN {_any_sql("lower(t)", claims.MODAL_VERBS)} THEN false
+  WHEN regexp_matches(lower(t), '(^|[^\p{{L}}\p{{N}}_])\d+\s*(?:мрп|аек|мзп|тәм|тенге|теңге|часов?|сағат|дней?|күн|күні|месяц|ай|лет|жыл|процент|пайыз|%)') THEN false WHEN kind IN ('factual', 'normative') THEN false WHEN kind = 'legal_id' THEN NOT det
+  WHEN kind = 'legal_ref' THEN NOT (det OR target OR regexp_matches(lower(t), 'стать[яи]\s*\d+.*[а-яё\s]{{10,}}')) ELSE {_any_sql("lower(t)", claims.STRUCTURAL)} END AS is_structural FROM l""")
 def structural_claims(spark, d):
-    """FLT-02, FLT-03 with their real patterns."""
-    rows = table(spark, d, "conversations").withColumn("kind", F.when(F.col("turn") % 2 == 0, "legal_ref").otherwise("temporal"))
-    none = F.lit(None).cast("string")
-    return rows.select("conv_id", "turn", claims.is_meta(F.col("text")).alias("is_meta"), claims.is_structural(F.col("text"), F.col("kind"), none, F.array().cast("array<string>")).alias("is_structural"))
+    """FLT-02, FLT-03: each word of the rules' lists, numbers with units, meta sentences and plain ones before the documents, by all kinds of claims."""
+    i = F.col("doc_id")
+    made = F.element_at(F.array(*[F.lit(m) for m in _MADE]), (i % len(_MADE) + 1).cast("int"))
+    kind = F.element_at(F.array(*[F.lit(k) for k in _KINDS]), (i % len(_KINDS) + 1).cast("int"))
+    text = F.when(made == "коротко", made).otherwise(F.concat(made, F.lit(" "), F.regexp_replace(F.coalesce("text", F.lit("")), r"\d", "")))
+    rows = table(spark, d, "documents").select("doc_id", text.alias("t"), kind.alias("kind"), F.when(i % 2 == 0, "said").alias("det"), F.when(i % 3 == 0, F.array(F.lit("94-V"))).otherwise(F.array().cast("array<string>")).alias("target"))
+    return rows.select("doc_id", claims.is_meta(F.col("t")).alias("is_meta"), claims.is_structural(F.col("t"), F.col("kind"), F.col("det"), F.col("target")).alias("is_structural"))
 
 
 # --- de-duplication ---------------------------------------------------------------------------------------------------
@@ -258,7 +282,7 @@ def claim_group_best(spark, d):
 @query()
 def claim_dedup(spark, d):
     """DED-03 with its whole key."""
-    rows = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("claim_text"), F.substring("text", 1, 60).alias("quote"), F.lit("temporal").alias("claim_type"), F.array().cast("array<string>").alias("entities"), F.array().cast("array<string>").alias("target_law_ids"), F.lit(None).cast("string").alias("deterministic_verdict"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("claim_text"), F.col("text").alias("quote"), F.lit("temporal").alias("claim_type"), F.array().cast("array<string>").alias("entities"), F.array().cast("array<string>").alias("target_law_ids"), F.lit(None).cast("string").alias("deterministic_verdict"))
     out = claims.dedup_claims(rows, ["conv_id"], "turn")
     return out.select("conv_id", "turn", "group_seq", F.size("quote_variants").alias("n_variants"))
 
@@ -430,15 +454,15 @@ def temporal_conflicts(spark, d):
     return fusion.temporal_pairs(_lines(spark, d)).drop("conflict_type")
 
 
-@query(r"""WITH x AS (SELECT doc_id AS id, source AS law_id, list_distinct(list_transform(regexp_extract_all(text, '(\d\d)', 1), lambda v: v::INT % 30)) AS ys FROM documents), y AS (SELECT * FROM x WHERE len(ys) > 0),
-p AS (SELECT a.law_id, a.id AS a_id, b.id AS b_id, a.ys AS ya, b.ys AS yb FROM y a JOIN y b ON a.law_id = b.law_id AND a.id < b.id WHERE a.id % 5 <> b.id % 5),
+@query(r"""WITH y AS (SELECT doc_id AS id, source || ' ' || lang AS law_id, [2000 + doc_id % 30] || CASE WHEN doc_id % 4 = 0 THEN [2000 + doc_id % 7] ELSE [] END AS ys FROM documents WHERE text IS NOT NULL AND source IS NOT NULL AND lang IS NOT NULL),
+p AS (SELECT a.law_id, a.id AS a_id, b.id AS b_id, a.ys AS ya, b.ys AS yb FROM y a JOIN y b ON a.law_id = b.law_id AND a.id < b.id WHERE a.id // 20 % 5 <> b.id // 20 % 5),
 m AS (SELECT law_id, a_id, b_id, min(abs(u - v)) AS gap FROM (SELECT law_id, a_id, b_id, u, unnest(yb) AS v FROM (SELECT law_id, a_id, b_id, yb, unnest(ya) AS u FROM p)) GROUP BY law_id, a_id, b_id)
 SELECT law_id, a_id, b_id FROM m WHERE gap > 2""")
 def temporal_text_conflicts(spark, d):
-    """JOI-07: two-digit numbers stand for years, base URLs are doc_id % 5."""
-    rows = table(spark, d, "documents")
-    content = F.array_join(F.transform(F.regexp_extract_all("text", F.lit(r"(\d\d)"), F.lit(1)), lambda v: F.concat(F.lit("20"), F.lpad((v.cast("int") % 30).cast("string"), 2, "0"))), " ")
-    chunks = rows.select(F.col("doc_id").alias("id"), F.col("source").alias("law_id"), F.lit(None).cast("date").alias("effective_date"), F.concat(F.lit("http://x/"), F.col("doc_id") % 5, F.lit("?p="), F.col("doc_id")).alias("source_url"), content.alias("content"))
+    """JOI-07: a year or two at the end of every text, which loses its own digits; five base URLs, laws source and language."""
+    i = F.col("doc_id")
+    content = F.concat(F.regexp_replace("text", r"\d", ""), F.lit(" "), 2000 + i % 30, F.when(i % 4 == 0, F.concat(F.lit(" "), 2000 + i % 7)).otherwise(""))
+    chunks = table(spark, d, "documents").select(i.alias("id"), F.concat("source", F.lit(" "), "lang").alias("law_id"), F.lit(None).cast("date").alias("effective_date"), F.concat(F.lit("http://x/"), F.floor(i / 20) % 5, F.lit("?p="), i).alias("source_url"), content.alias("content"))
     return fusion.temporal_text_pairs(chunks).drop("conflict_type")
 
 
@@ -719,9 +743,9 @@ def remap_labels(spark, d):
 
 @query()
 def verify_contradictions(spark, d):
-    """VRD-03, VRD-04: documents' first words as found values; rules are tested on fixtures."""
+    """VRD-03, VRD-04: whole texts as values, without their first word as found values; rules are tested on fixtures."""
     i = F.col("item_id")
-    v = table(spark, d, "benchmark").select("item_id", F.lit("CONTRADICTED").alias("status"), F.array((i * 3).cast("string")).alias("source_ids"), (i % 7 == 0).alias("is_deterministic"), F.substring("text", 1, 30).alias("document_value"), F.substring("text", 5, 40).alias("found_value"), F.substring("text", 1, 20).alias("contradiction_detail"))
+    v = table(spark, d, "benchmark").select("item_id", F.lit("CONTRADICTED").alias("status"), F.array((i * 3).cast("string")).alias("source_ids"), (i % 7 == 0).alias("is_deterministic"), F.col("text").alias("document_value"), F.regexp_replace("text", r"^\S+\s+", "").alias("found_value"), F.col("text").alias("contradiction_detail"))
     return audit.verify_contradictions(v, _chunks(spark, d).withColumn("id", F.col("id").cast("string")), ["item_id"]).select("item_id", "status", "rule")
 
 
@@ -767,10 +791,11 @@ def normative_base(spark, d):
     return report.normative_base(rows, "doc_id", [])
 
 
-@query("SELECT source_title, array_to_string(list_sort(list(DISTINCT source)), ',') AS law_ids, count(DISTINCT source) AS n_laws FROM (SELECT substr(text, 1, 6) AS source_title, source FROM documents) GROUP BY 1 HAVING count(DISTINCT source) > 1")
+@query("SELECT md5(text) AS title_md5, array_to_string(list_sort(list(DISTINCT source)), ',') AS law_ids, count(DISTINCT source) AS n_laws FROM documents WHERE text IS NOT NULL AND source IS NOT NULL GROUP BY text HAVING count(DISTINCT source) > 1")
 def grounding_integrity(spark, d):
-    """AGG-11."""
-    return report.grounding_integrity(table(spark, d, "documents").select(F.substring("text", 1, 6).alias("source_title"), F.col("source").alias("law_id")))
+    """AGG-11: whole texts as titles, copies under several sources."""
+    out = report.grounding_integrity(table(spark, d, "documents").select(F.col("text").alias("source_title"), F.col("source").alias("law_id")))
+    return out.select(F.md5(F.col("source_title").cast("binary")).alias("title_md5"), "law_ids", "n_laws")
 
 
 @query("""SELECT source, count(*) AS n_chunks, count(DISTINCT lang) AS n_articles, arg_min(t, doc_id) FILTER (WHERE t <> '') AS title FROM (SELECT *, CASE WHEN doc_id % 2 = 0 THEN '' ELSE lang || '-' || (doc_id % 5) END AS t FROM documents) GROUP BY source""")

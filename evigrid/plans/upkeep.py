@@ -280,11 +280,9 @@ def smoke_summary(spark, d):
 
 @query("""SELECT p_partkey, row_number() OVER (ORDER BY p_size, p_partkey % 10, p_partkey) AS nth FROM part""")
 def natural_order(spark, d):
-    """SRT-11: article numbers <size>-<n>; the numbering is over a fixed small table."""
-    from pyspark.sql import Window
-
-    key = upkeep.natural_key(F.concat(F.col("p_size").cast("string"), F.lit("-"), (F.col("p_partkey") % 10).cast("string")))
-    return table(spark, d, "part").select("p_partkey", F.row_number().over(Window.orderBy(key, "p_partkey")).cast("long").alias("nth"))
+    """SRT-11: article numbers <size>-<n> of all parts."""
+    article = F.concat(F.col("p_size").cast("string"), F.lit("-"), (F.col("p_partkey") % 10).cast("string"))
+    return upkeep.natural_order(table(spark, d, "part").select("p_partkey", "p_size"), article, "p_partkey").select("p_partkey", "nth")
 
 
 @query("""SELECT doc_id, doc_id % 11 < 6 AS authoritative, doc_id % 11 <> 10 AND doc_id % 3 = 0 AS shown, doc_id % 4 <> 3 AND length(text) <= 2000 AS admitted FROM documents""")
