@@ -40,12 +40,12 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
 
 
 def hashed_share(column: str, wanted: int, total: int) -> F.Column:
-    """Condition that about half as many rows again as `wanted` of `total` meet, by a hash of a column.
+    """Condition that about half as many values again as `wanted` of `total` meet, by a hash of a column; all of few.
 
     A bounded sample is then cut from these rows alone, so that what tasks send to the driver follows the sample and not the
     number of tasks.
     """
-    share = min(1.0, 1.5 * wanted / max(1, total))
+    share = min(1.0, 1.5 * (wanted + 8) / max(1, total))
     return F.pmod(F.xxhash64(F.lit("sample"), F.col(column)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
 
 

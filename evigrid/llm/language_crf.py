@@ -8,6 +8,7 @@ all words of a text and averages the words' posteriors.
 
 from __future__ import annotations
 
+import pickle
 import re
 import sys
 import unicodedata
@@ -18,7 +19,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .textbytes import mix, powers
@@ -44,8 +45,6 @@ def _word() -> tuple[re.Pattern, frozenset]:
 
 
 SLOTS = 1 << 17
-#: Languages that are learned at most: the most frequent ones.
-MOST_LANGUAGES = 256
 
 
 @dataclass
@@ -289,33 +288,45 @@ class Labeller:
         return langs, scores
 
 
-def language_sample(docs: DataFrame, most: int = 2000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], list[str]]:
-    """About `most` whole texts at most with their languages, of ids whose crc32 modulo 4 is not 2, by hash of the id.
+def sample_rows(docs: DataFrame, most: int = 2000, languages: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, h, text): at most `most` whole texts with their languages, of ids whose crc32 modulo 4 is not 2.
 
-    Each language has an equal share of the sample, so that rare ones are learned too; of more than MOST_LANGUAGES languages
-    the most frequent ones. Null ids, texts and languages are left out; without any row both lists are empty.
+    Each language has an equal share, so that rare ones are learned too, and leaves what it can't fill to the larger ones; of more than
+    `languages` languages the most frequent ones. A text is drawn by the hash h of id and text, and equal texts under one id count once, so
+    that neither an id on many rows nor many copies fill or empty the sample; counts and cuts are of distinct hashes. Null
+    ids, texts and languages are left out; without any row the sample is empty.
     """
     fold = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4))
     rows = docs.where((fold != 2) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    rows = rows.select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    counts = {r["l"]: r["count"] for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MOST_LANGUAGES).collect()}
-    if not counts:
-        return [], []
-    # what a language leaves of its share goes to the larger ones
+    rows = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     left, shares = most, {}
     for k, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
         shares[lang] = min(n, max(1, left // (len(counts) - k)))
         left -= shares[lang]
-    cut = F.lit(0)
-    for lang, n in counts.items():  # half as many rows again are sent to the driver, by hash, and the smallest hashes are taken
-        cut = F.when(F.col("l") == lang, F.lit(int(min(1.0, 1.5 * (shares[lang] + 8) / n) * (1 << 30)))).otherwise(cut)
-    rows = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "i"), F.lit(1 << 30)) < cut)
-    chosen, taken = [], Counter()
-    for r in sorted(rows.collect(), key=lambda r: (r["h"], r["i"], r["t"])):
-        taken[r["l"]] += 1
-        if taken[r["l"]] <= shares[r["l"]]:
-            chosen.append(r)
-    return [r["t"] for r in chosen], [r["l"] for r in chosen]
+    cut, share = F.lit(0), F.lit(0)
+    for lang, n in counts.items():  # half as many texts again go on, and the smallest hashes of each language are taken
+        cut = F.when(F.col("lang") == lang, F.lit(int(min(1.0, 1.5 * (shares[lang] + 8) / n) * (1 << 30)))).otherwise(cut)
+        share = F.when(F.col("lang") == lang, F.lit(shares[lang])).otherwise(share)
+    rows = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "h"), F.lit(1 << 30)) < cut).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("nth") <= share).drop("nth")
+
+
+def language_sample(docs: DataFrame, **options) -> tuple[list[str], list[str]]:
+    """Texts and languages of `sample_rows` on the driver."""
+    rows = sorted(sample_rows(docs, **options).collect(), key=lambda r: (r["h"], r["lang"]))
+    return [r["text"] for r in rows], [r["lang"] for r in rows]
+
+
+def fit_on_rows(rows: DataFrame) -> CrfModel:
+    """fit_crf in one task over a bounded sample (lang, h, text); the driver gets the model alone."""
+
+    def fit(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        order = sorted(zip(table["h"].to_pylist(), table["lang"].to_pylist(), table["text"].to_pylist(), strict=True))
+        return pa.table({"model": pa.array([pickle.dumps(fit_crf([t for *_, t in order], [lang for _, lang, _ in order]))], pa.binary())})
+
+    model = rows.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(fit, "model binary").first()
+    return fit_crf([], []) if model is None else pickle.loads(bytes(model["model"]))
 
 
 def label_languages(docs: DataFrame, model: CrfModel, id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:

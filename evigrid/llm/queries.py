@@ -12,7 +12,8 @@ from .cap_filters import link_vectors
 from .common import shared_dir
 from .conversations import damage, digests, repair_conversations
 from .importance import importance_resample
-from .language_crf import CrfModel, fit_crf, label_languages, language_sample
+from .language_crf import CrfModel, label_languages, sample_rows
+from .language_crf import fit_on_rows as fit_languages
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .mpegts import encode_media, parse_media
@@ -58,7 +59,7 @@ def op3_cap_filter_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def language_model(spark: SparkSession, sf_dir: str) -> CrfModel:
     """Learned from at most 2000 documents, none of the held-out fold."""
-    return fit_crf(*language_sample(documents(spark, sf_dir)))
+    return fit_languages(sample_rows(documents(spark, sf_dir)))
 
 
 def op4_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import hashed_share
@@ -137,19 +137,25 @@ def _telling_units(pairs: list[tuple[str, int]], least: float):
     return found, lambda k: word[ends[k] : ends[k + 1]].tolist()
 
 
-def fit_toxicity(texts: list[str], labels: list[int], prior: float | None = None, words: int = 8, dictionary: int = 16_384, least: float = 14.0) -> ToxicModel:
+def fit_toxicity(texts: list[str], labels: list[int], prior: float | None = None, words: int = 8, dictionary: int = 16_384, least: float = 14.0, windows: int = 60_000) -> ToxicModel:
     """Train dictionaries on three quarters of the labelled texts and calibrate on the rest. Depends on nothing but the texts.
 
     Toxic text is what the toxic texts have and ordinary ones lack: words or stems whose log-likelihood ratio over
-    documents is at least `least`. `prior` is the share of toxic texts that scores answer to, where the sample has another.
+    documents is at least `least`. `prior` is the share of toxic texts that scores answer to, where the sample has another;
+    `windows` bounds the ordinary windows to train on, an even share of each text. Texts that are null or blank are left out.
     """
     pairs = [(t, int(y)) for t, y in zip(texts, labels, strict=True) if t and t.strip()]
     own, rest = [p for k, p in enumerate(pairs) if k % 4], [p for k, p in enumerate(pairs) if not k % 4]
     strong, fresh = _telling_units(own, least)
     toxic_samples = [x for k, (_, y) in enumerate(own) if y for x in sorted(strong[w] for w in fresh(k) if w in strong)]
-    ordinary_samples = _spread_windows([t for t, y in own if not y], words)
-    units = [x for x, _ in Counter(toxic_samples).most_common()][::-1]
-    toxic = _train(toxic_samples, dictionary // 4) + b"".join(units)[-dictionary:]
+    ordinary_samples = _spread_windows([t for t, y in own if not y], words, windows)
+    units, room = [], dictionary
+    for unit, _ in Counter(toxic_samples).most_common():  # whole units, the most frequent ones last
+        room -= len(unit)
+        if room < 0:
+            break
+        units.append(unit)
+    toxic = _train(toxic_samples, dictionary // 4) + b"".join(reversed(units))
     ordinary = _train(ordinary_samples, dictionary)
     del ordinary_samples, fresh
     pair = _compressors(ordinary, toxic)
@@ -193,10 +199,12 @@ class Scorer:
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, most: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[DataFrame, float | None]:
-    """At most `most` whole texts of either label, (id, text, label), by hash of the id, leaving out ids whose crc32 modulo 4 is 2;
-    and the share of label 1 among all labels that may be learned from (null without labels).
+    """At most `most` whole texts of either label, (id, text, label), leaving out ids whose crc32 modulo 4 is 2; and the share of label
+    1 among all labels that may be learned from (null without labels).
 
-    Null ids, texts and labels are left out; ids with more than one label count with each.
+    Ids are chosen by their hash, at most `most` of either label, and of their texts, which may be many under one id, again `most` by the
+    hash of id and text; equal texts under one id count once. Null ids, texts and labels are left out; ids with more than
+    one label count with each.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label"))
@@ -204,7 +212,12 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, most: int = 3000, id_col:
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     prior = counts.get(1, 0) / sum(counts.values()) if counts else None
     chosen = [known.where((F.col("label") == y) & hashed_share("_id", most, counts.get(y, 0))).orderBy(F.xxhash64("_id"), "_id").limit(most) for y in (0, 1)]
-    return texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), F.col("id") == F.col("_id")).select("id", "text", "label"), prior
+    rows = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), F.col("id") == F.col("_id")).select("id", "text", "label").withColumn("h", F.xxhash64("id", "text"))
+    found = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count_distinct("h").alias("n")).collect()}
+    kept = [rows.where((F.col("label") == y) & hashed_share("h", most, found.get(y, 0))) for y in (0, 1)]
+    once = kept[0].unionByName(kept[1]).groupBy("label", "h").agg(F.min(F.struct("id", "text")).alias("r"))
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("h"))
+    return once.withColumn("nth", nth).where(F.col("nth") <= most).select("r.id", "r.text", "label"), prior
 
 
 def fit_on_rows(rows: DataFrame, prior: float | None) -> ToxicModel:
