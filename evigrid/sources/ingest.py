@@ -52,13 +52,50 @@ def txt_text(content: bytes) -> str:
         return content.decode("cp1251", "replace")
 
 
+#: SRC-03: a text layer of fewer characters is read again by its blocks.
+LEAST_LAYER = 100
+
+
+def ordered_blocks(blocks: list[tuple[float, float, float, float, str]]) -> list[str]:
+    """SRC-03/28: texts of blocks (left, top, right, bottom, text) in reading order, tops growing downwards.
+
+    Blocks whose middles lie inside one another's height stand in one row; rows go down the page, blocks of a row from the left.
+    """
+    rows: list[list[tuple[float, float, float, float, str]]] = []
+    for block in sorted((b for b in blocks if b[4].strip()), key=lambda b: (b[1] + b[3], b[0])):
+        middle = (block[1] + block[3]) / 2
+        if rows and any(r[1] <= middle <= r[3] and block[1] <= (r[1] + r[3]) / 2 <= block[3] for r in rows[-1]):
+            rows[-1].append(block)
+        else:
+            rows.append([block])
+    return [b[4].strip() for row in rows for b in sorted(row)]
+
+
+def page_blocks(page) -> list[tuple[float, float, float, float, str]]:
+    """Runs of text of a page with their boxes, as the library reports them while it reads; a run's width isn't known to it."""
+    found: list[tuple[float, float, float, float, str]] = []
+
+    def visit(text, cm, tm, font, size):
+        if text.strip():
+            found.append((tm[4], -tm[5] - (size or 1), tm[4], -tm[5], text))
+
+    page.extract_text(visitor_text=visit)
+    return found
+
+
 def pdf_text(content: bytes) -> str:
-    """SRC-03: the text layer, by an optional library; scanned pages need OCR, which isn't available offline."""
+    """SRC-03: the text layer, by an optional library; if it has fewer than 100 characters, its blocks in reading order, if those
+    say more. Scanned pages need OCR, which isn't available offline."""
     import io
 
     from pypdf import PdfReader  # optional
 
-    return "\n".join(page.extract_text() or "" for page in PdfReader(io.BytesIO(content)).pages)
+    pages = PdfReader(io.BytesIO(content)).pages
+    layer = "\n".join(page.extract_text() or "" for page in pages)
+    if len(layer.strip()) >= LEAST_LAYER:
+        return layer
+    by_block = "\n".join(t for page in pages for t in ordered_blocks(page_blocks(page)))
+    return by_block if len(by_block) > len(layer.strip()) else layer
 
 
 def parse_files(rows: DataFrame) -> DataFrame:

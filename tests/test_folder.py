@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evigrid.operators import audit, evaluation, ledger, search
-from evigrid.sources import folder, sidecar
+from evigrid.sources import folder, ingest, sidecar
 
 NS = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 CODES = {"K1400000235_": "235-V"}
@@ -148,6 +148,32 @@ def test_reports_feed_the_gate(spark, tmp_path):
     assert {r["law_id"]: r["verdict"] for r in verdicts.collect()} == {"1-V": "FAIL", "2-V": "FAIL", "3-V": "FAIL", "4-V": "FAIL", "5-V": "FAIL", "6-V": "FAIL"}
 
 
+# --- blocks of a page
+
+
+def test_blocks_in_reading_order():
+    blocks = [(50, 100, 90, 110, "right"), (0, 101, 40, 111, " left "), (0, 10, 90, 30, "title"), (0, 200, 10, 210, " "), (0, 112, 40, 122, "next line"), (60, 113, 90, 121, "beside")]
+    assert ingest.ordered_blocks(blocks) == ["title", "left", "right", "next line", "beside"]
+    assert ingest.ordered_blocks([]) == []
+
+
+@pytest.mark.parametrize(("layer", "want"), [("x" * 120, "x" * 120), ("", "top\na\nb"), ("short layer of text", "short layer of text")])
+def test_a_poor_text_layer_is_read_by_blocks(monkeypatch, layer, want):
+    import sys
+    import types
+
+    class Page:
+        def extract_text(self, visitor_text=None):
+            if visitor_text is None:
+                return layer
+            for x, y, text in ((60, 500, "b"), (10, 500, "a"), (10, 700, "top"), (0, 0, " ")):
+                visitor_text(text, None, (1, 0, 0, 1, x, y), None, 10)
+
+    library = types.SimpleNamespace(PdfReader=lambda file: types.SimpleNamespace(pages=[Page()]))
+    monkeypatch.setitem(sys.modules, "pypdf", library)
+    assert ingest.pdf_text(b"") == want
+
+
 # --- sidecars
 
 
