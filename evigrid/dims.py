@@ -52,23 +52,31 @@ HIERARCHY_SIGNALS = ("коап", "иерарх", "подзакон", "ппрк",
 TEMPORAL_SIGNALS = ("срок", "дата", "дней", "часов", "месяц", "вступает", "действие", "времен")
 
 # --- tokeniser word lists ---------------------------------------------------------------------------------------------
+#: SCA-06, SCA-16: stop words, fixed.
 STOP_WORDS = (
-    "и в на с по от до за при о об из или а но что как это не к для то же бы ли со да уж ведь вот ну ж the a an of in is are was were және жəне немесе бойынша "
-    "туралы бірақ алайда сондай-ақ сонымен яғни мен үшін арқылы дейін кейін бұл сол осы ол оның оған олар олардың bar жоқ болып болады болса болған керек тиіс деп "
-    "деген мынадай қарай қарсы ретінде тиісінше жағдайда сәйкес белгіленген көзделген айқындалған тәртіппен негізінде орай республикасы қазақстан қолданысқа "
-    "енгізіледі жарияланған настоящий вводится действие истечении официального опубликования республика казахстан внести изменения дополнения некоторые "
-    "законодательные акты вопросам"
-).split()
+    "и", "в", "на", "с", "по", "от", "до", "за", "при", "о", "об", "из", "или", "а", "но", "что", "как", "это", "не", "к", "для", "то", "же", "бы",
+    "ли", "со", "да", "уж", "ведь", "вот", "ну", "ж", "the", "a", "an", "of", "in", "is", "are", "was", "were", "және", "жəне", "немесе", "бойынша",
+    "туралы", "бірақ", "алайда", "сондай-ақ", "сонымен", "яғни", "мен", "үшін", "арқылы", "дейін", "кейін", "бұл", "сол", "осы", "ол", "оның", "оған",
+    "олар", "олардың", "bar", "жоқ", "болып", "болады", "болса", "болған", "керек", "тиіс", "деп", "деген", "мынадай", "қарай", "қарсы", "ретінде",
+    "тиісінше", "жағдайда", "сәйкес", "белгіленген", "көзделген", "айқындалған", "тәртіппен", "негізінде", "орай", "республикасы", "қазақстан",
+    "қолданысқа", "енгізіледі", "жарияланған", "настоящий", "вводится", "действие", "истечении", "официального", "опубликования", "республика",
+    "казахстан", "внести", "изменения", "дополнения", "некоторые", "законодательные", "акты", "вопросам",
+)
+#: SCA-07: stop words of legal texts, fixed.
 LEGAL_STOP_WORDS = (
-    "закон кодекс статья статье статьи республики казахстан утратил силу вводится действие постановление правительства республика закона кодекса об о и в на для рк "
-    "заң кодексі бап баптың туралы және қазақстан республикасы заңы үкіметі заңда үшін жәнінде болады емес немесе қорған рәсімі"
-).split()
+    "закон", "кодекс", "статья", "статье", "статьи", "республики", "казахстан", "утратил", "силу", "вводится", "действие", "постановление",
+    "правительства", "республика", "закона", "кодекса", "об", "о", "и", "в", "на", "для", "рк", "заң", "кодексі", "бап", "баптың", "туралы", "және",
+    "қазақстан", "республикасы", "заңы", "үкіметі", "заңда", "үшін", "жәнінде", "болады", "емес", "немесе", "қорған", "рәсімі",
+)
+#: SCA-07: suffixes in the order in which they are tried, fixed.
 SUFFIXES = (
-    "ями ами ому ему ого его ыми ими ых их ею ою ом ем ой ей ию ую яя ая ое ее ые ие ия ый ий ам ям ов ев ях ах а я о е и ы у ю ь "
-    "ға ге ғе да де на ні ның нің ды ді ты ті лар лер дар дер мен сен оны оні біз сіз ған ген ке қа ші шы"
-).split()
+    "ями", "ами", "ому", "ему", "ого", "его", "ыми", "ими", "ых", "их", "ею", "ою", "ом", "ем", "ой", "ей", "ию", "ую", "яя", "ая", "ое", "ее", "ые",
+    "ие", "ия", "ый", "ий", "ам", "ям", "ов", "ев", "ях", "ах", "а", "я", "о", "е", "и", "ы", "у", "ю", "ь", "ға", "ге", "ғе", "да", "де", "на", "ні",
+    "ның", "нің", "ды", "ді", "ты", "ті", "лар", "лер", "дар", "дер", "мен", "сен", "оны", "оні", "біз", "сіз", "ған", "ген", "ке", "қа", "ші", "шы",
+)
 DIGRAPHS = {"Gh": "Ғ", "Zh": "Ж", "Sh": "Ш", "Ch": "Ч", "Kh": "Қ", "gh": "ғ", "zh": "ж", "sh": "ш", "ch": "ч", "kh": "қ"}
-DIACRITICS = ("áÁıIñÑóÓúÚ", "әӘіІңҢөӨүҮ")
+#: SCA-01: letters with marks and what they stand for, fixed.
+DIACRITICS = {"á": "ә", "Á": "Ә", "ı": "і", "I": "І", "ñ": "ң", "Ñ": "Ң", "ó": "ө", "Ó": "Ө", "ú": "ү", "Ú": "Ү"}
 #: SCA-02: letters and words of Kazakh in Latin script, fixed.
 KAZAKH_LATIN_LETTERS = "áñóúığşý"
 KAZAKH_LATIN_WORDS = ("jane", "jáne", "bolady", "qazaqstan", "turaly", "týraly", "kodeksi", "zań", "zang", "memleket", "respyblıkasy", "respublika")

@@ -46,7 +46,7 @@ def transliterate(text: Column) -> Column:
     out = text
     for latin, cyrillic in dims.DIGRAPHS.items():
         out = F.replace(out, F.lit(latin), F.lit(cyrillic))
-    out = F.translate(out, *dims.DIACRITICS)
+    out = F.translate(out, "".join(dims.DIACRITICS), "".join(dims.DIACRITICS.values()))
     return F.when(text.rlike(r"(?iu)[áéíóúüñğqw]|gh|zh|sh|ch|kh"), out).otherwise(text)
 
 

@@ -9,18 +9,17 @@ from .. import dims
 from ..functions import text as T
 
 #: SCA-08: (pattern, claim type, severity, tag) in order; group 1 is the entity. Fixed values of the extraction.
-_KK_ARTICLE = r"(?:бап|бабы|бабында|бапта|баптың|бабының)"
 PATTERNS = (
     (r"(?iuU)(?:Закон\w*|Кодекс\w*|ЗРК|Заңы*|ҚРЗ)\s+[^№]*?№\s*(\d{2,4}[-‐–]\w{1,5}(?:\s*(?:ЗРК|ҚРЗ))?)", "legal_id", "critical", "law_id"),
     (r"(?iuU)№\s*(\d{2,4}[-‐–][IVXivxІі]{1,5}(?:\s*(?:ЗРК|ҚРЗ))?)\b", "legal_id", "critical", "law_id"),
     (r"(?iuU)стать[яиею]\s*(\d+(?:[-.]?\d+)?)\s*КоАП", "legal_ref", "critical", "koap_article"),
-    (r"(?iuU)ӘҚБтК\w*\s*(?:-\s*)?(\d+(?:[-.\d]+)?)\s*(?:-|–)?\s*" + _KK_ARTICLE, "legal_ref", "critical", "koap_article"),
-    (r"(?iuU)(\d+(?:[-.\d]+)?)\s*(?:-|–)?\s*" + _KK_ARTICLE + r"(?:[^0-9\n]*?)ӘҚБтК", "legal_ref", "critical", "koap_article"),
+    (r"(?iuU)ӘҚБтК\w*\s*(?:-\s*)?(\d+(?:[-.\d]+)?)\s*(?:-|–)?\s*(?:бап|бабы|бабында|бапта|баптың|бабының)", "legal_ref", "critical", "koap_article"),
+    (r"(?iuU)(\d+(?:[-.\d]+)?)\s*(?:-|–)?\s*(?:бап|бабы|бабында|бапта|баптың|бабының)(?:[^0-9\n]*?)ӘҚБтК", "legal_ref", "critical", "koap_article"),
     (r"(?iuU)стать[яиеюй]\w?\s+(\d+(?:[-.]?\d+)?)\s+(?:Уголовн\w+\s+[Кк]одекс\w*|УК)", "legal_ref", "critical", "uk_article"),
-    (r"(?iuU)ҚК\w*\s*(?:-\s*)?(\d+(?:[-.\d]+)?)\s*(?:-|–)?\s*" + _KK_ARTICLE, "legal_ref", "critical", "uk_article"),
-    (r"(?iuU)(\d+(?:[-.\d]+)?)\s*(?:-|–)?\s*" + _KK_ARTICLE + r"(?:[^0-9\n]*?)ҚК", "legal_ref", "critical", "uk_article"),
+    (r"(?iuU)ҚК\w*\s*(?:-\s*)?(\d+(?:[-.\d]+)?)\s*(?:-|–)?\s*(?:бап|бабы|бабында|бапта|баптың|бабының)", "legal_ref", "critical", "uk_article"),
+    (r"(?iuU)(\d+(?:[-.\d]+)?)\s*(?:-|–)?\s*(?:бап|бабы|бабында|бапта|баптың|бабының)(?:[^0-9\n]*?)ҚК", "legal_ref", "critical", "uk_article"),
     (r"(?iuU)(?:в\s+)?стать[яиеюй]\w?\s+(\d+(?:[-.]?\d+)?)\b(?!\s*(?:КоАП|ӘҚБтК|УК|ҚК))", "legal_ref", "high", "article_ref"),
-    (r"(?iuU)(\d+(?:[-.\d]+)?)\s*(?:-|–)?\s*" + _KK_ARTICLE + r"\b(?!\s*(?:КоАП|ӘҚБтК|УК|ҚК))", "legal_ref", "high", "article_ref"),
+    (r"(?iuU)(\d+(?:[-.\d]+)?)\s*(?:-|–)?\s*(?:бап|бабы|бабында|бапта|баптың|бабының)\b(?!\s*(?:КоАП|ӘҚБтК|УК|ҚК))", "legal_ref", "high", "article_ref"),
     (r"(?iuU)(?:ППРК|Постановлени[яею]\s+Правительства)[^№]*№?\s*(\d+)", "legal_ref", "critical", "pprkz_num"),
     (r"(?iuU)(\d[\d\s]*)\s*(?:\([^)]*\)\s*)?(?:МРП|АЕК)", "financial", "critical", "fine_mrp"),
     (r"(?iuU)айлық\s+есептік\s+көрсеткіш\w*\s*(?:дегеніміз\s*)?(\d[\d\s]*)\s*(?:\([^)]*\)\s*)?(?:еселенген|еселі|мөлшер)", "financial", "critical", "fine_mrp"),
