@@ -71,3 +71,12 @@ def golden_scores(expected: DataFrame, verdicts: DataFrame) -> DataFrame:
     rows = per.join(flagged, "case", "left").withColumn("fp", F.coalesce("fp", F.lit(0)))
     recall, precision = F.col("tp") / F.col("issues"), F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0)
     return rows.select("case", recall.alias("recall"), precision.alias("precision"), F.when(recall + precision > 0, 2 * recall * precision / (recall + precision)).otherwise(0.0).alias("f1"))
+
+
+def verdict_rates(cases: DataFrame, by: list[str]) -> DataFrame:
+    """AGG-16: of (by, kind, status) rows the planted ones (kind planted) and true ones, how many of either were confirmed, and the
+    two rates rounded to 3; 0 where there are none."""
+    planted, confirmed = F.col("kind") == "planted", F.col("status") == "CONFIRMED"
+    out = cases.groupBy(*by).agg(F.count_if(planted).alias("planted_total"), F.count_if(planted & confirmed).alias("planted_confirmed"), F.count_if(~planted).alias("true_total"), F.count_if(~planted & confirmed).alias("true_confirmed"))
+    rate = lambda hit, total: F.when(F.col(total) > 0, F.round(F.col(hit) / F.col(total), 3)).otherwise(0.0)
+    return out.withColumns({"false_confirm_rate": rate("planted_confirmed", "planted_total"), "true_confirm_rate": rate("true_confirmed", "true_total")})
