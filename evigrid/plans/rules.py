@@ -124,3 +124,40 @@ def facts_after_verification(spark, d):
     verdicts = known.select(F.lit(1).alias("analysis"), i.cast("string").alias("claim_id"), F.when(F.col("toxic") == 1, "CONTRADICTED").when(i % 2 == 0, "CONFIRMED").otherwise("UNVERIFIED").alias("status"), F.col("text").alias("document_value"), found.alias("found_value"))
     out = audit.resync_facts(facts, verdicts, ["analysis", "claim_id"])
     return out.select(F.col("claim_id").cast("long").alias("doc_id"), F.md5(F.col("claim").cast("binary")).alias("claim_md5"), "confidence", F.array_join("source_ids", ",").alias("source_ids"))
+
+
+#: A line for each of the patterns of SCA-08 in order, N standing for a number: (line, tag, entity).
+_LINES = (
+    ("Закон РК от 1 мая № N-V", "law_id", "N-V"),
+    ("смотри № N-IV", "law_id", "N-IV"),
+    ("статьи N КоАП", "koap_article", "N"),
+    ("ӘҚБтК N-бабы", "koap_article", "N-"),
+    ("N-бабы туралы ӘҚБтК", "koap_article", "N-"),
+    ("статьей N Уголовного кодекса", "uk_article", "N"),
+    ("ҚК N-бабы", "uk_article", "N-"),
+    ("N-бабы бойынша ҚК", "uk_article", "N-"),
+    ("в статье N закона", "article_ref", "N"),
+    ("N-бап талаптары", "article_ref", "N-"),
+    ("Постановление Правительства РК № N", "pprkz_num", "N"),
+    ("штраф N МРП", "fine_mrp", "N"),
+    ("айлық есептік көрсеткіштің N еселенген мөлшерде", "fine_mrp", "N"),
+    ("МРП составляет N 450 тенге", "mrp_value", "N450"),
+    ("не позднее N часов", "hours_deadline", "N"),
+    ("в течение N рабочих дней", "workdays_deadline", "N"),
+    ("N жұмыс күні ішінде", "workdays_deadline", "N"),
+    ("с 12 января 2024 года", "effective_date", "12 января 2024"),
+    ("вводится в действие через десять дней после", "enforcement_date", "через десять дней после"),
+    ("қолданысқа енгізіледі он күн өткен соң бастап", "enforcement_date", "он күн өткен соң бастап"),
+    ("қолданысқа енгiзiледi он күн кейін", "enforcement_date", "он күн кейiн"),  # the Cyrillic letter becomes the Latin one
+)
+
+
+@query(f"""SELECT doc_id, [{", ".join(f"'{t}'" for _, t, _ in _LINES)}][doc_id % {len(_LINES)} + 1] AS tag, replace([{", ".join(f"'{e}'" for *_, e in _LINES)}][doc_id % {len(_LINES)} + 1], 'N', (10 + doc_id % 900)::VARCHAR) AS entity FROM documents""")
+def claim_patterns(spark, d):
+    """SCA-08: a line for each pattern before every text; the claims with the line's tag."""
+    i = F.col("doc_id")
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (i % len(_LINES) + 1).cast("int"))
+    line = F.replace(pick([x for x, *_ in _LINES]), F.lit("N"), (10 + i % 900).cast("string"))
+    docs = table(spark, d, "documents").select("doc_id", F.concat(line, F.lit("\n"), F.regexp_replace(F.coalesce("text", F.lit("")), r"\d", "")).alias("text"), pick([t for _, t, _ in _LINES]).alias("want"))
+    found = claims.extract_claims(docs).join(docs.select("doc_id", "want"), "doc_id").where("tag = want")
+    return found.select("doc_id", "tag", "entity").distinct()
