@@ -193,3 +193,20 @@ def first_n(rows: DataFrame, by: list[str], order: list[Column], n: int) -> Data
     from pyspark.sql import Window
 
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+
+
+#: SRT-09: states of a check from worst to best, fixed order.
+STATE_ORDER = ("broken", "stale", "title_differs", "missing", "verified")
+
+
+def state_order(state: Column) -> Column:
+    """SRT-09: place of a state in the lists of the checks; unknown ones come last."""
+    return F.coalesce(*[F.when(state == s, F.lit(k)) for k, s in enumerate(STATE_ORDER)], F.lit(len(STATE_ORDER)))
+
+
+def listed(rows: DataFrame, by: list[str], state: str, size: str, key: str) -> DataFrame:
+    """SRT-07, SRT-09, SRT-12: rows with nth, their place in their group by state, then size from the largest, then key by length and value."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy(*by).orderBy(state_order(F.col(state)), F.col(size).desc(), F.length(key), F.col(key))
+    return rows.withColumn("nth", F.row_number().over(order))

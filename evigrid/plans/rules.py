@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import audit, claims, evaluation
+from ..operators import audit, claims, evaluation, fusion, texts
 from ..sources import ingest
 from .catalogue import _STOP, query, table
 
@@ -161,3 +161,38 @@ def claim_patterns(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.concat(line, F.lit("\n"), F.regexp_replace(F.coalesce("text", F.lit("")), r"\d", "")).alias("text"), pick([t for _, t, _ in _LINES]).alias("want"))
     found = claims.extract_claims(docs).join(docs.select("doc_id", "want"), "doc_id").where("tag = want")
     return found.select("doc_id", "tag", "entity").distinct()
+
+
+@query("""WITH c AS (SELECT doc_id, source || ' ' || lang AS law, doc_id % 50 AS art, 1 + doc_id % 11 AS rank, CASE WHEN doc_id % 3 = 0 THEN doc_id % 5 END AS dt, doc_id % 7 = 0 AS web, 2000 + doc_id % 30 AS year, doc_id % 4 + 1 AS mrp, doc_id % 6 = 0 AS gap, doc_id // 20 % 5 AS base,
+    row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) > 1 AS dup FROM documents WHERE text IS NOT NULL AND source IS NOT NULL AND lang IS NOT NULL), a AS (SELECT *, NOT web AND rank <= 7 AS norm, web AND gap AS practice FROM c WHERE NOT dup),
+  p AS (SELECT a.doc_id, bool_or(abs(a.rank - b.rank) > 2) AS h, bool_or(coalesce(a.art = b.art AND a.dt <> b.dt, false) OR a.dt IS NULL AND b.dt IS NULL AND a.base <> b.base AND abs(a.year - b.year) > 2) AS t, bool_or(a.art = b.art AND a.mrp <> b.mrp) AS f, bool_or(a.norm AND b.practice OR b.norm AND a.practice) AS g
+    FROM a JOIN a b ON a.law = b.law AND a.doc_id <> b.doc_id GROUP BY a.doc_id)
+SELECT doc_id, dup AS is_duplicate, array_to_string(list_filter([CASE WHEN g THEN 'ENFORCEMENT_GAP' END, CASE WHEN f THEN 'FACTUAL' END, CASE WHEN h THEN 'HIERARCHY' END, CASE WHEN t THEN 'TEMPORAL' END], lambda x: x IS NOT NULL), ',') AS conflict_types FROM c LEFT JOIN p USING (doc_id)""")
+def fused_conflicts(spark, d):
+    """VRD-17: exact copies flagged first, then all four kinds of conflicts among the rest."""
+    i = F.col("doc_id")
+    docs = table(spark, d, "documents").where("text is not null and source is not null and lang is not null")
+    content = F.concat(F.regexp_replace("text", r"\d", ""), F.lit(" "), 2000 + i % 30, F.lit(" год, штраф "), i % 4 + 1, F.lit(" мрп"), F.when(i % 6 == 0, " на практике").otherwise(""))
+    flagged = fusion.flag_exact_duplicates(docs, T.content_id(F.col("text")), "doc_id")
+    chunks = flagged.select(
+        i.alias("id"), F.concat("source", F.lit(" "), "lang").alias("law_id"), (i % 50).alias("article"), (1 + i % 11).cast("int").alias("legal_rank"), F.when(i % 7 == 0, "TIER_2").alias("web_tier"),
+        F.when(i % 3 == 0, F.date_add(F.lit("2020-01-01").cast("date"), (i % 5).cast("int"))).alias("effective_date"), F.concat(F.lit("http://x/"), F.floor(i / 20) % 5, F.lit("#"), i).alias("source_url"), content.alias("content"), "is_duplicate",
+    )
+    out = fusion.detect_conflicts(chunks)
+    return out.select(F.col("id").alias("doc_id"), "is_duplicate", F.array_join(F.coalesce("conflict_types", F.array().cast("array<string>")), ",").alias("conflict_types"))
+
+
+@query("""SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY CASE doc_id % 7 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 4 ELSE 5 END, n_chars DESC, length(doc_id::VARCHAR), doc_id::VARCHAR) AS nth FROM documents""")
+def listed_checks(spark, d):
+    """SRT-07, SRT-09, SRT-12: documents of a source by state, size and key."""
+    k = F.col("doc_id") % 7
+    state = F.when(k == 0, "broken").when(k == 1, "stale").when(k == 2, "title_differs").when(k == 3, "missing").when(k == 4, "verified").otherwise("?")
+    rows = table(spark, d, "documents").select("doc_id", "source", "n_chars", state.alias("state"), F.col("doc_id").cast("string").alias("key"))
+    return texts.listed(rows, ["source"], "state", "n_chars", "key").select("doc_id", F.col("nth").cast("long").alias("nth"))
+
+
+@query("""SELECT q, page_id FROM (SELECT page_id % 11 AS q, page_id, row_number() OVER (PARTITION BY page_id % 11 ORDER BY length(html) DESC, page_id) AS n FROM pages) WHERE n <= 5""")
+def first_links(spark, d):
+    """LIM-02, SRT-02: the first five of each query, which is the feature."""
+    rows = table(spark, d, "pages").select((F.col("page_id") % 11).alias("q"), "page_id", F.length("html").alias("size"))
+    return texts.first_n(rows, ["q"], [F.col("size").desc(), F.col("page_id")], 5).select("q", "page_id")
