@@ -130,9 +130,11 @@ def normaliser(index: Bm25Index, corpus: DataFrame, tokenize=T.tokens, id_col: s
     ready = ready or blocks(index)
     heads = corpus.select(F.col(id_col).alias("query_id"), F.substring(text_col, 1, 200).alias("text")).where(F.size(tokenize(F.col("text"))) > 0)
     asked = written(query_terms(heads, tokenize), "heads")
-    own = asked.join(ready.weights.select(F.col("id").alias("query_id"), "term", "weight"), ["query_id", "term"]).groupBy("query_id").agg(F.sum(F.col("qtf") * F.col("weight")).alias("start"))
+    ids = heads.select("query_id").distinct()
+    # a head of one word that is cut short shares nothing with its document and starts at 0
+    own = score_pairs(ready, asked, ids.withColumn("id", F.col("query_id"))).select("query_id", F.col("score").alias("start"))
     best = best_scores(ready, asked, own)
-    value = best.agg(F.median(F.greatest("best", F.lit(0.0))).alias("m"))
+    value = heads.select("query_id").join(best, "query_id", "left").agg(F.median(F.greatest(F.coalesce("best", F.lit(0.0)), F.lit(0.0))).alias("m"))
     return value.select(F.when(F.coalesce("m", F.lit(0.0)) < 0.001, 1.0).otherwise(F.col("m")).alias("norm"))
 
 

@@ -144,6 +144,13 @@ def test_normaliser_is_the_exhaustive_one(spark):
         assert {r["query_id"]: r["best"] for r in search.best_scores(ready, asked, zero).collect()} == pytest.approx(best)
 
 
+def test_heads_of_one_cut_word_count_as_zero(spark):
+    docs = spark.createDataFrame([(1, "x" * 300), (2, "y" * 300), (3, "alpha beta gamma")] + [(k, f"word{k} other{k}") for k in range(4, 6)], "id long, text string")
+    index = search.build_index(docs)
+    best = [0.0, 0.0] + [r["best"] for r in search.score(index, docs.where("id > 2").withColumnRenamed("id", "query_id")).groupBy("query_id").agg(F.max("score").alias("best")).collect()]
+    assert search.normaliser(index, docs).first()["norm"] == pytest.approx(statistics.median(best))
+
+
 def test_challengers_grow_with_the_corpus_only(spark):
     counts = {}
     for n in (200, 400, 800):
