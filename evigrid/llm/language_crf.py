@@ -180,7 +180,10 @@ def posteriors(emission: np.ndarray, lengths: np.ndarray, transitions: np.ndarra
 
 
 def fit_crf(texts: list[str], langs: list[str], steps: int = 240, batch: int = 48, length: int = 40, seed: int = 11) -> CrfModel:
-    """Fit by AdaGrad on random sequences of `length` words, each of one to three pieces of texts with their labels."""
+    """Fit by AdaGrad on random sequences of `length` words, each of one to three pieces of texts with their labels.
+
+    Texts are strings, no nulls; those without a letter teach nothing. Without any text the model has no label and every text is `und`.
+    """
     labels = sorted(set(langs))
     n = max(1, len(labels))
     split = [(words_of(t), labels.index(y)) for t, y in zip(texts, langs, strict=True)]

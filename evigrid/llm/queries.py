@@ -46,14 +46,17 @@ def tokenizer_files() -> dict[str, str]:
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each document the mixture takes. Null sources are a source of their own, the last; null texts have size 0; repeated rows each have a place."""
     return mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op2_toxicity_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every whole text. Null and empty texts score like texts without a toxic window; without labels every text has the prior."""
     return score_toxicity(documents(spark, sf_dir), toxic_model(spark, sf_dir)).select("doc_id", held_out().alias("held_out"), "score", "predicted", "toxic_windows")
 
 
 def op3_cap_filter_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and representative of every vector. Vectors that are null, zero or hold null or non-finite numbers link with nothing; lengths are compared apart."""
     return link_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
@@ -63,10 +66,12 @@ def language_model(spark: SparkSession, sf_dir: str) -> CrfModel:
 
 
 def op4_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text; null texts and texts without a letter are `und` with score 0."""
     return label_languages(documents(spark, sf_dir), language_model(spark, sf_dir)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document after its frequent lines went. Null texts are one empty line; rows that share an id count as one document."""
     return dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
@@ -84,19 +89,23 @@ def op6_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class, links and component of every document. Texts without words link with nothing; shorter ones than five words are one n-gram."""
     return ngram_jaccard_join(documents(spark, sf_dir)).drop("text_hash")
 
 
 def op8_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard and slot of every document under the law `bytes`. Null texts have size 1; a null id's place is that of its text."""
     out = shard_by_ring(documents(spark, sf_dir))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op9_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document; null texts are the end id alone."""
     return pack_by_retrieval(documents(spark, sf_dir), **tokenizer_files()).drop("ids")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of repeated windows; null texts have no words, repeated rows remove each other's windows."""
     out = substring_dedup(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 

@@ -258,7 +258,8 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", t
 
 
 def drop_toxic(docs: DataFrame, model: ToxicModel, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """docs without the rows that score `threshold` or more; every column stays as it is."""
+    """docs without the rows that score `threshold` or more; every column stays as it is, whatever its name. Null and empty texts
+    score like texts without a toxic window; repeated rows go or stay together; an empty table stays empty."""
     schema = docs.schema
 
     def keep(batches):
