@@ -23,7 +23,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.3 or more go. The model learns from the labelled documents of sf_dir outside the held-out fold."""
+    """Documents that score 0.3 or more go. The model learns from the labelled documents of sf_dir outside the held-out fold.
+    Null texts stay; columns other than those of documents are left behind here."""
     return drop_toxic(docs.select(*COLUMNS), toxic_model(spark, sf_dir))
 
 
@@ -35,7 +36,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that link at a similarity of 0.8 or more, the one with the smallest doc_id stays."""
+    """Of each group of documents that link at a similarity of 0.8 or more, the one with the smallest doc_id stays. Documents
+    without words all stay; of rows equal in id and text one stays; a null doc_id comes after all others."""
     return drop_near_duplicates(docs.select(*COLUMNS))
 
 
@@ -46,7 +48,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 ids, each filled with lexical neighbours of its first document."""
+    """Sequences of at most 2048 ids, each filled with lexical neighbours of its first document. A null text is the end id alone;
+    repeated rows and null ids are documents like others."""
     return pack_by_retrieval(docs, **tokenizer_files())
 
 
