@@ -1,22 +1,22 @@
 """Line de-duplication over levelled sorted runs of line hashes. DataFrame operations only.
 
-A run is a bucketed, sorted table of (hash, hash2, n, keeper): a line's 128-bit hash, the documents of the run that hold
-it and the largest id among them. Batches arrive by falling document id. Each batch merge-anti-joins the settled run (the
+A run is a sorted table of (hash, hash2, n, keeper): a line's 128-bit hash, the documents of the run that hold
+it and the largest id among them. Batches arrive by falling document id. Each batch anti-joins the settled runs (the
 lines already known to be frequent; their keeper is in a run, since later ids are smaller) and adds what is left as a run of level 0; when a
 level holds `fanout` runs they are compacted into one run of the next level, and lines that have reached the
-frequency move to the settled run. Lines below the frequency stay in the batches' runs, since their counts are needed; so a
-batch is joined against the settled runs alone. Runs of a store have equal buckets, so that a batch meets them
-without an exchange of the runs; Spark sorts both sides again, as bucket files don't promise their order.
+frequency move to a settled run. Lines below the frequency stay in the batches' runs, since their counts are needed; so a
+batch is joined against the settled runs alone. A run has as many files as its size asks for, not one for each shuffle
+partition: its entries are small, so that to shuffle a run again costs less than to write and open many small files.
 """
 
 from __future__ import annotations
 
-import uuid
+import functools
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STRIP_CHARS, materialize, shared_dir
+from .common import STRIP_CHARS, materialize
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -30,66 +30,42 @@ def line_key(line: F.Column) -> F.Column:
 class LineRuns:
     """The levelled runs of one store, in the shared folder."""
 
-    def __init__(self, spark: SparkSession, min_docs: int, buckets: int | None = None, fanout: int = 4):
-        self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.levels: list[list[str]] = []
-        self.settled: list[str] = []
-        self.names: list[str] = []  # of every run ever written
-
-    def _write(self, rows: DataFrame) -> str:
-        """rows as one sorted run: a file a bucket."""
-        name = f"line_run_{uuid.uuid4().hex}"
-        (
-            rows.select("hash", "hash2", "n", "keeper").repartition(self.buckets, "hash", "hash2").write
-            .bucketBy(self.buckets, "hash", "hash2").sortBy("hash", "hash2")
-            .option("path", f"{shared_dir(self.spark)}/evigrid/{name}").option("compression", "zstd").saveAsTable(name)
-        )
-        self.names.append(name)
-        return name
-
-    def _union(self, names: list[str]) -> DataFrame:
-        """All entries of the runs. The hashes are made anew: Spark 4.1 takes a union of bucketed scans for
-        partitioned by them even where its partitions are not aligned, and then leaves out the exchange of an aggregation."""
-        out = None
-        for name in names:
-            run = self.spark.table(name).withColumns({c: F.bitwise_not(F.bitwise_not(c)) for c in ("hash", "hash2")})
-            out = run if out is None else out.unionByName(run)
-        return out
+    def __init__(self, min_docs: int, fanout: int = 4):
+        self.min_docs, self.fanout = min_docs, fanout
+        self.levels: list[list[DataFrame]] = []
+        self.settled: list[DataFrame] = []
 
     def add(self, counted: DataFrame) -> None:
         """Add one batch, (hash, hash2, n, keeper) with each hash once: what no settled run holds becomes a run."""
-        for name in self.settled:
-            counted = counted.join(self.spark.table(name), ["hash", "hash2"], "left_anti")
-        self._place(self._write(counted), 0)
+        for run in self.settled:
+            counted = counted.join(run, ["hash", "hash2"], "left_anti")
+        self._place(materialize(counted.sortWithinPartitions("hash", "hash2"), "line-run"), 0)
 
-    def _place(self, name: str, level: int) -> None:
+    def _place(self, run: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(name)
+        self.levels[level].append(run)
         if len(self.levels[level]) == self.fanout:
             self._compact(level)
 
-    def _merged(self, names: list[str]) -> DataFrame:
-        return self._union(names).groupBy("hash", "hash2").agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper"))
+    def _merged(self, runs: list[DataFrame]) -> DataFrame:
+        every = functools.reduce(DataFrame.unionByName, runs)
+        return every.groupBy("hash", "hash2").agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper"))
 
     def _compact(self, level: int) -> None:
-        names, self.levels[level] = self.levels[level], []
-        merged = self.spark.table(self._write(self._merged(names)))
-        self.settled.append(self._write(merged.where(F.col("n") >= self.min_docs)))
+        runs, self.levels[level] = self.levels[level], []
+        merged = self._merged(runs).withColumn("settled", F.col("n") >= self.min_docs)
+        # both runs in one pass, in a folder each
+        both = materialize(merged.sortWithinPartitions("settled", "hash", "hash2"), "line-run", ["settled"])
+        self.settled.append(both.where("settled").drop("settled"))
         if len(self.settled) == self.fanout:  # lines settle once, so settled runs only need to be put together
-            self.settled = [self._write(self._merged(self.settled))]
-        self._place(self._write(merged.where(F.col("n") < self.min_docs)), level + 1)
-
-    def drop(self) -> None:
-        """Forget the tables of all runs, once what frequent() gave has been written; their files go with the shared folder."""
-        for name in self.names:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            self.settled = [materialize(self._merged(self.settled).sortWithinPartitions("hash", "hash2"), "line-run")]
+        self._place(both.where("NOT settled").drop("settled"), level + 1)
 
     def frequent(self) -> DataFrame:
         """(hash, hash2, keeper) of all lines in at least min_docs documents."""
         # a settled line may have entries in older runs too, whose ids are larger
-        runs = [name for level in self.levels for name in level] + self.settled
+        runs = [run for level in self.levels for run in level] + self.settled
         return self._merged(runs).where(F.col("n") >= self.min_docs).select("hash", "hash2", "keeper")
 
 
@@ -117,13 +93,12 @@ def dedup_lines(
         batch = batch + F.when(F.coalesce(F.col("_id").cast("double") > F.lit(bound), F.lit(False)), 0).otherwise(1)
     found = lines.groupBy("_id", "_same", "hash", "hash2").agg(F.collect_set("_pos").alias("positions")).withColumn("_batch", batch)
     found = materialize(found, "lines", ["_batch"])
-    store = LineRuns(docs.sparkSession, min_docs, fanout=fanout)
+    store = LineRuns(min_docs, fanout)
     for k in range(len(bounds or []) + 1):
         own = found.where(F.col("_batch") == k)
         distinct = own.groupBy("hash", "hash2").agg(F.countDistinct(F.struct("_id")).alias("n"), F.max("_id").alias("keeper"))
         store.add(distinct)
     frequent = materialize(store.frequent(), "frequent")
-    store.drop()
     gone = found.join(frequent, ["hash", "hash2"]).where(~F.col("_id").eqNullSafe(F.col("keeper")))
     gone = gone.groupBy("_id", "_same").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("_gone"))
     gone = gone.select(F.col("_id").alias("_gid"), F.col("_same").alias("_gsame"), "_gone")

@@ -4,11 +4,13 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from evigrid.llm import mpegts
 from evigrid.llm.cap_filters import choose_codes, found_share, link_vectors
@@ -121,6 +123,22 @@ def test_line_dedup(spark):
         assert out[k]["n_lines"] - out[k]["n_dropped"] == len(kept)
 
 
+def test_line_dedup_runs_have_few_files(spark):
+    """Files of the runs follow the lines, not the shuffle partitions: each one made costs its executor two processes."""
+    text = F.concat_ws("\n", F.concat(F.lit("own line of the document "), F.col("id")), F.lit("a line that all documents share"))
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), text.alias("text"))
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) / "evigrid"
+    found = lambda: set(folder.glob("**/*.parquet"))
+    before, partitions = found(), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 64)
+    try:
+        dropped = dedup_lines(docs).agg(F.sum("n_dropped")).first()[0]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert dropped == 399
+    assert 0 < len(found() - before) < 64
+
+
 def test_mix_targets(spark):
     rows = [(k, " ".join(["w"] * (k % 13)), f"s{k % 4}" if k % 5 else None) for k in range(300)]
     out = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
