@@ -76,7 +76,7 @@ def audit_facts(facts: DataFrame, claims: DataFrame, chunks: DataFrame, tokenize
     """
     index = search.build_index(chunks, tokenize, text_col="content")
     ready = search.blocks(index)
-    norm = written(search.normaliser(index, chunks, tokenize, text_col="content", ready=ready), "norm")
+    norm = written(search.normaliser(index, chunks, tokenize, text_col="content"), "norm")
     rows, pairs = branches(with_claims(facts, claims), chunks)
     rows, pairs = written(rows, "branches"), written(pairs, "candidates")
     key = F.struct(*FACT).alias("query_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import assess, audit, corpus, laws, search
 from .catalogue import _bm25_sql, _tokens_sql, query, table
 
@@ -53,13 +54,11 @@ def fact_audit(spark, d):
 @query(f"""WITH {_bm25_sql("SELECT doc_id AS id, text FROM documents", "SELECT doc_id AS query_id, substr(text, 1, 200) AS text FROM documents")}, h AS (SELECT doc_id AS query_id FROM documents WHERE len({_tokens_sql('substr(text, 1, 200)')}) > 0)
 SELECT query_id AS doc_id, round(greatest(coalesce(best, 0), 0), 6) AS best FROM h LEFT JOIN (SELECT query_id, max(score) AS best FROM scored GROUP BY query_id) USING (query_id)""")
 def head_scores(spark, d):
-    """RNK-02 before its median: the best score of every document's head over the whole corpus, by block-max bounds."""
+    """RNK-02 before its median: the best score of every document's head over the whole corpus, by bounds in shards."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), "text")
-    ready = search.blocks(search.build_index(docs, id_col="query_id"))
-    asked = search.query_terms(docs.select("query_id", F.substring("text", 1, 200).alias("text")))
-    own = asked.select("query_id").distinct()
-    own = search.score_pairs(ready, asked, own.select("query_id", F.col("query_id").alias("id"))).select("query_id", F.col("score").alias("start"))
-    return search.best_scores(ready, asked, own).select(F.col("query_id").alias("doc_id"), F.round(F.greatest("best", F.lit(0.0)), 6).alias("best"))
+    heads = docs.select("query_id", F.substring("text", 1, 200).alias("text")).where(F.size(T.tokens(F.col("text"))) > 0)
+    found = search.head_bests(search.build_index(docs, id_col="query_id"), heads)
+    return found.select(F.col("query_id").alias("doc_id"), F.round(F.greatest("best", F.lit(0.0)), 6).alias("best"))
 
 
 def _parts(spark, d) -> DataFrame:

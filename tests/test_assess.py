@@ -163,6 +163,19 @@ def test_challengers_grow_with_the_corpus_only(spark):
     assert counts[800] < 0.1 * 800 * 800 and counts[800] < 2.6 * counts[400] < 2.6 * 2.6 * counts[200], counts
 
 
+def test_best_scores_stream_through_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(search, "SHARD_POSTINGS", 300)
+    monkeypatch.setattr(search, "LEAST_POSTINGS", 100)
+    rows = texts(11, 150)
+    docs = spark.createDataFrame([*rows, *((1000 + i, t + " " + u) for (i, t), (_, u) in zip(rows[:40], rows[40:80], strict=True)), (2000, rows[0][1])], "id long, text string")
+    index = search.build_index(docs)
+    heads = docs.select(F.col("id").alias("query_id"), F.substring("text", 1, 200).alias("text"))
+    want = {r["query_id"]: max(0.0, r["best"]) for r in search.score(index, heads).groupBy("query_id").agg(F.max("score").alias("best")).collect()}
+    assert {r["query_id"]: max(0.0, r["best"]) for r in search.head_bests(index, heads).collect()} == pytest.approx(want)
+    none = docs.where("id < 0")
+    assert search.head_bests(search.build_index(none), heads.where("query_id < 0")).count() == 0
+
+
 # --- greedy rounds
 
 
