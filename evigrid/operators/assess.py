@@ -71,18 +71,18 @@ def audit_facts(facts: DataFrame, claims: DataFrame, chunks: DataFrame, tokenize
     """VRD-06 and VRD-07: facts with source_ids, branch, validation_status and bm25_score.
 
     A fact is scored against the best of its own candidates by BM25 over the whole corpus, divided by the corpus's normaliser; the
-    candidates meet the postings by document and term, so no posting list is read for them. Facts without a source go through
+    candidates meet their documents' rows, so no posting list is read for them. Facts without a source go through
     the layered search. A number that the candidates contradict lowers the state. Whatever has no evidence is UNVERIFIED.
     """
-    index = search.build_index(chunks, tokenize, text_col="content")
-    ready = search.blocks(index)
-    norm = written(search.normaliser(index, chunks, tokenize, text_col="content"), "norm")
+    index = search.kept(search.build_index(chunks, tokenize, text_col="content"))
+    ready = search.vectors(index)
+    norm = written(search.normaliser(index, chunks, tokenize, text_col="content", ready=ready), "norm")
     rows, pairs = branches(with_claims(facts, claims), chunks)
     rows, pairs = written(rows, "branches"), written(pairs, "candidates")
     key = F.struct(*FACT).alias("query_id")
 
     asked = search.query_terms(rows.where("branch in ('exact', 'linked')").select(key, F.when(F.col("branch") == "exact", F.col("exact_text")).otherwise(F.col("claim")).alias("text")), tokenize)
-    scored = search.score_pairs(ready, asked, pairs.select(key, "id")).groupBy("query_id").agg(F.max("score").alias("raw"))
+    scored = search.vector_scores(index, ready, asked, pairs.select(key, "id")).groupBy("query_id").agg(F.max("score").alias("raw"))
     scored = scored.join(F.broadcast(norm)).select("query_id.*", search.normalised(F.col("raw"), F.col("norm")).alias("_score"))
 
     wanted = rows.where("branch = 'search'")

@@ -176,6 +176,16 @@ def test_best_scores_stream_through_many_shards(spark, monkeypatch):
     assert search.head_bests(search.build_index(none), heads.where("query_id < 0")).count() == 0
 
 
+def test_vector_scores_are_those_of_the_postings(spark):
+    docs = spark.createDataFrame([*texts(13, 60), (900, "zzzz yyyy")], "id long, text string")
+    index = search.kept(search.build_index(docs))
+    asked = search.query_terms(docs.where("id % 7 = 0").select(F.struct("id").alias("query_id"), "text"))
+    pairs = asked.select("query_id").distinct().crossJoin(docs.select("id"))
+    want = {(r["query_id"]["id"], r["id"]): r["score"] for r in search.score_pairs(search.blocks(index), asked, pairs).collect()}
+    got = {(r["query_id"]["id"], r["id"]): r["score"] for r in search.vector_scores(index, search.vectors(index), asked, pairs).collect()}
+    assert got == pytest.approx(want) and 0.0 in got.values()
+
+
 # --- greedy rounds
 
 
